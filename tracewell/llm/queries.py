@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, quality, simhash
+from . import bpe, exact_dedup, packing, quality, simhash
 from .common import table
 
 #: Vocabulary files, by path; TOKENIZER_DIR overrides the installed package's place.
@@ -32,6 +32,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -41,6 +45,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
     "op6_simhash": op6_simhash,
+    "op7_packing": op7_packing,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
