@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language, packing, quality, simhash, url_filter
+from . import bpe, exact_dedup, language, packing, pii, quality, simhash, url_filter
 from .common import table
 
 #: Vocabulary files, by path; TOKENIZER_DIR overrides the installed package's place.
@@ -49,6 +49,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
@@ -57,6 +61,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_url_filter": op8_url_filter,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL = {
