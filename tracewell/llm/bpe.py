@@ -200,10 +200,23 @@ def decode(ids: Column, path: str) -> Column:
     return bpe_decode(ids)
 
 
+def round_trip(text: Column, path: str) -> Column:
+    """struct(ids, decoded): encode() and decode() of it in one pass, as chained functions would encode twice."""
+
+    @F.arrow_udf("struct<ids binary, decoded string>")
+    def bpe_round_trip(texts: pa.Array) -> pa.Array:
+        bpe = load(path)
+        ids = [bpe.encode(t.as_py()) for t in texts]
+        decoded = pa.array(map(bpe.decode, ids), pa.string(), size=len(ids))
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), decoded], ["ids", "decoded"])
+
+    return bpe_round_trip(text)
+
+
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, decoded) of every row; repeated rows stay, further columns are left out."""
-    coded = docs.select(F.col(id_col).alias("doc_id"), encode(F.col(text_col), path).alias("ids"))
-    return coded.select("doc_id", "ids", decode(F.col("ids"), path).alias("decoded"))
+    coded = docs.select(F.col(id_col).alias("doc_id"), round_trip(F.col(text_col), path).alias("coded"))
+    return coded.select("doc_id", "coded.ids", "coded.decoded")
 
 
 def digest_columns(coded: DataFrame) -> DataFrame:
