@@ -20,16 +20,17 @@ from .common import ASCII_LOWER, ASCII_UPPER, written
 HOT_SHARE = 1000
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """(doc_id, digest, row): SHA-256 of the text with A-Z lower-cased.
 
-    A null text counts as empty. ``row`` tells apart rows that repeat a doc_id.
+    A null text counts as empty. ``row`` tells apart rows that repeat a doc_id;
+    it is drawn here unless a column of unique longs is named.
     """
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), ASCII_UPPER, ASCII_LOWER)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"),
-        F.monotonically_increasing_id().alias("row"),
+        (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"),
     )
 
 
@@ -55,17 +56,19 @@ class DigestIndex:
             .saveAsTable(self.name)
         )
 
-    def ingest(self, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def ingest(
+        self, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None
+    ) -> DataFrame:
         """Deduplicate ``batch`` against the index and itself, and append its new digests.
 
         Returns a row per batch row: doc_id, keep_id, group_size, kept,
-        text_sha256, known. Of equal new texts the row with the largest doc_id
+        text_sha256, known, row. Of equal new texts the row with the largest doc_id
         stays (null ids last; of rows that repeat that id, one). A text that the
         index already has is ``known``: none of its rows is kept and keep_id is
         the index's. group_size counts the batch's rows with the text. An empty
         batch gives an empty result; further columns are ignored.
         """
-        rows = written(digests(batch, id_col, text_col), "digests")
+        rows = written(digests(batch, id_col, text_col, row_col), "digests")
         entries = rows.groupBy("digest").agg(
             F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size")
         )
@@ -100,13 +103,16 @@ class DigestIndex:
             (F.col("keep_row").isNotNull() & (F.col("row") == F.col("keep_row"))).alias("kept"),
             F.lower(F.hex("digest")).alias("text_sha256"),
             F.col("keep_row").isNull().alias("known"),
+            "row",
         )
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 64) -> DataFrame:
+def dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, buckets: int = 64
+) -> DataFrame:
     """Deduplicate one table against itself, through a new index."""
     index = DigestIndex(docs.sparkSession, f"digest_index_{uuid.uuid4().hex}", buckets)
-    return index.ingest(docs, id_col, text_col)
+    return index.ingest(docs, id_col, text_col, row_col)
 
 
 ORACLE_SQL = f"""

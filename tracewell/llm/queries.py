@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, packing, pii, quality, simhash, url_filter
+from . import bpe, chat, exact_dedup, language, nearest, packing, pii, quality, simhash, url_filter
 from .common import table
 
 #: Vocabulary files, by path; TOKENIZER_DIR overrides the installed package's place.
@@ -32,8 +33,17 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +67,8 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
     "op3_language": op3_language,
+    "op4_nearest": op4_nearest,
+    "op5_chat": op5_chat,
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
     "op8_url_filter": op8_url_filter,
@@ -65,5 +77,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_chat": chat.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
 }

@@ -152,8 +152,12 @@ def links(prints: DataFrame) -> DataFrame:
     return dealt.repartition(*by).sortWithinPartitions(*by).mapInPandas(_links, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every document.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(doc_id, fingerprint, component_id, component, row) of every document.
+
+    component_id is the smallest doc_id of the component and ``component`` a key
+    of it that is never null; ``row`` is the column of unique longs if one is
+    named, and else null.
 
     Null, empty and wordless texts have fingerprint zero and link like any
     other. Rows that repeat a doc_id each get their row; null ids take part in
@@ -161,7 +165,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids. Further columns are left out; an empty table gives an empty result.
     """
     prints = written(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_column(F.col(text_col)).alias("fp")), "fingerprints"
+        docs.select(
+            F.col(id_col).cast("long").alias("doc_id"),
+            fingerprint_column(F.col(text_col)).alias("fp"),
+            (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"),
+        ),
+        "fingerprints",
     )
     # One row a fingerprint, which is its own node: equal ones need no link.
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
@@ -170,12 +179,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "fp", "least", F.coalesce("component", "fp").alias("component")
     )
     smallest = groups.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = written(groups.join(smallest, "component").select("fp", "component_id"), "labels")
+    labels = written(groups.join(smallest, "component").select("fp", "component", "component_id"), "labels")
     return with_labels(prints, labels).select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component", "row"
     )
 
 
+def keepers(found: DataFrame) -> DataFrame:
+    """(row): of each component the row with the smallest doc_id, null ids last; of rows that repeat it, one."""
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least")
+    return found.groupBy("component").agg(least).select("least.row")
+
+
 def with_labels(prints: DataFrame, labels: DataFrame, share: int = 1000) -> DataFrame:
     """Join component ids onto fingerprints; those held by over 1/share of the rows, at most ``share``, by broadcast."""
     sizes = prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
