@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import investigations
+from . import investigations, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (investigations,):
+for module in (investigations, texts):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
