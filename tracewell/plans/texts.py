@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as text_fn
 from ..functions import urls
-from ..operators import cases, citations, similarity
+from ..operators import cases, citations, pages, similarity
 from ..sources.shared import written
 from .views import table
 
@@ -283,6 +283,13 @@ def word_counts(spark, sf_dir):
     )
 
 
+def extracted_pages(spark, sf_dir):
+    """Title, number of paragraphs and their digest of each page."""
+    found = pages.pages(table(spark, sf_dir, "pages"))
+    joined = F.array_join("paragraphs", "\n")
+    return found.select("page_id", "title", F.size("paragraphs").alias("n_paragraphs"), F.sha2(joined, 256).alias("paragraphs_sha"), F.size("links").alias("n_links"))
+
+
 def claim_disagreements(spark, sf_dir):
     return citations.disagreements(_relations(spark, sf_dir).select("case_id", "evidence_id", "relation"))
 
@@ -352,7 +359,7 @@ QUERIES = {
         duplicate_passages, url_mentions, near_duplicate_texts, duplicate_groups, statement_families, near_vector_hashes,
         contained_sentences, evidence_diff, current_heads, revision_gaps, stale_bindings, historical_versions, upserted_heads,
         affected_relations, sticky_warnings, integrity_violations, repeated_items, case_violations, watchlist_matches, change_notices,
-        word_counts, claim_disagreements, claim_accounts, claim_relations,
+        word_counts, extracted_pages, claim_disagreements, claim_accounts, claim_relations,
     )
 }
 
