@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The stop lists of the tokenizers, which differ on purpose.
 PAGE_STOP = (
@@ -182,7 +183,7 @@ def historical_media_cue(text: Column) -> Column:
     return F.coalesce((F.length(text) <= 1200) & media & time, F.lit(False))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
