@@ -295,10 +295,10 @@ def joined(spans: Column) -> Column:
 def report(found: DataFrame) -> DataFrame:
     """The query's columns: base counts, the digest of base spans, and all spans."""
     base = F.filter("spans", lambda s: s["base"])
-    counts = [
-        F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{name}")
-        for k, name in enumerate(KINDS)
-    ]
+    def count_of(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
+
+    counts = [count_of(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select(
         "doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
     )
