@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
+__all__ = ["ASCII_LOWER", "ASCII_UPPER", "crc_mod", "table", "written"]
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -16,34 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is what ``spark.checkpoint.dir`` names. Only a local session, where
-    driver and executors are one process, falls back to a temporary folder.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts lineage so that a lost executor costs a reread, not a recomputation,
-    and so that two consumers see one and the same result.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_mod(col: Column, n: int) -> Column:
     """crc32 of the value as text, modulo n (null for null)."""
     return F.crc32(col.cast("string").cast("binary")) % F.lit(n)

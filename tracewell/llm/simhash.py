@@ -22,8 +22,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected
 from .common import written
-from .components import connected
 
 RADIUS = 3
 #: Fingerprints in a block of a large bucket, on average: BLOCK while that gives
