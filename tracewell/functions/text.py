@@ -79,9 +79,14 @@ def runs(words: Column, n: int, first: int = 1, short: int = 0) -> Column:
     return let(words, of)
 
 
+def shingle_runs(text: Column, n: int = 5) -> Column:
+    """shingles() with repeats."""
+    return runs(_plain_words(text), n)
+
+
 def shingles(text: Column, n: int = 5) -> Column:
     """Distinct word n-grams of a text in lower case; letters with accents split words."""
-    return F.array_distinct(runs(_plain_words(text), n))
+    return F.array_distinct(shingle_runs(text, n))
 
 
 def jaccard(a: Column, b: Column) -> Column:

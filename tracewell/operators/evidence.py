@@ -147,11 +147,16 @@ def place_spans(claims: DataFrame, lexicon: DataFrame, most_words: int = 4) -> D
     ``claims`` is (claim_id, text) and ``lexicon`` (place) in lower case.
     """
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}'-]+"), F.lit(0))
-    tokens = claims.select("claim_id", F.posexplode(words).alias("at", "word"), words.alias("words"))
-    after = tokens.where(F.col("word").isin("in", "at", "near", "from", "outside", "inside", "around"))
-    sizes = F.sequence(F.lit(1), F.lit(most_words))
-    runs = after.select("claim_id", "at", "words", F.explode(sizes).alias("n"))
-    names = runs.select("claim_id", "at", "n", F.array_join(F.slice("words", F.col("at") + 2, F.col("n")), " ").alias("place")).where("place <> ''")
+    before = ("in", "at", "near", "from", "outside", "inside", "around")
+
+    def hits(w: Column) -> Column:
+        place = lambda i: F.struct((i - 1).alias("at"), F.element_at(w, i).alias("word"), F.slice(w, i + 1, most_words).alias("next"))
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1))), place)
+        return F.filter(F.when(F.size(w) > 0, every), lambda h: h["word"].isin(*before))
+
+    after = claims.select("claim_id", F.explode(text_fn.let(words, hits)).alias("h"))
+    runs = after.select("claim_id", "h.at", "h.next", F.explode(F.sequence(F.lit(1), F.lit(most_words))).alias("n"))
+    names = runs.where("n <= size(next)").select("claim_id", "at", "n", F.array_join(F.slice("next", 1, F.col("n")), " ").alias("place"))
     found = names.join(lexicon.select("place").distinct(), "place")
     return found.groupBy("claim_id", "at").agg(F.max_by("place", "n").alias("place"))
 
