@@ -32,8 +32,7 @@ DOSSIER_STOP = (
 
 
 def _plain_words(text: Column) -> Column:
-    spaced = F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " ")
-    return F.filter(F.split(spaced, r"\s+"), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def _letter_words(text: Column) -> Column:
@@ -79,14 +78,19 @@ def runs(words: Column, n: int, first: int = 1, short: int = 0) -> Column:
     return let(words, of)
 
 
-def shingle_runs(text: Column, n: int = 5) -> Column:
-    """shingles() with repeats."""
-    return runs(_plain_words(text), n)
+def shingle_hashes(text: Column, n: int = 5) -> Column:
+    """Hashes of shingles() with repeats: a run's words are hashed one after another and never joined."""
+
+    def of(w: Column) -> Column:
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
+
+    return let(_plain_words(text), of)
 
 
 def shingles(text: Column, n: int = 5) -> Column:
     """Distinct word n-grams of a text in lower case; letters with accents split words."""
-    return F.array_distinct(shingle_runs(text, n))
+    return F.array_distinct(runs(_plain_words(text), n))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -132,7 +132,7 @@ def url_mentions(spark, sf_dir):
 def near_duplicate_texts(spark, sf_dir):
     """Pairs of distinct long texts of a language with 5-gram Jaccard of 60 % or more, by their shingles."""
     docs = table(spark, sf_dir, "documents").where(F.length("text") >= 400)
-    sets = docs.select(F.col("lang").alias("scope"), F.col("doc_id").alias("id"), text_fn.shingle_runs(F.col("text")).alias("tokens"))
+    sets = docs.select(F.col("lang").alias("scope"), F.col("doc_id").alias("id"), text_fn.shingle_hashes(F.col("text")).alias("tokens"))
     classes = written(similarity.set_classes(sets), "classes")
     pairs = similarity.similar_sets(classes, 60)
     return pairs.select("a", "b", "common", "union")
@@ -141,7 +141,7 @@ def near_duplicate_texts(spark, sf_dir):
 def duplicate_groups(spark, sf_dir):
     """Groups of texts linked by near_duplicate_texts or equal shingles, each named by its least id."""
     docs = table(spark, sf_dir, "documents").where(F.length("text") >= 400)
-    sets = docs.select(F.col("lang").alias("scope"), F.col("doc_id").alias("id"), text_fn.shingle_runs(F.col("text")).alias("tokens"))
+    sets = docs.select(F.col("lang").alias("scope"), F.col("doc_id").alias("id"), text_fn.shingle_hashes(F.col("text")).alias("tokens"))
     classes = written(similarity.set_classes(sets), "classes")
     return similarity.groups(classes, similarity.similar_sets(classes, 60))
 
