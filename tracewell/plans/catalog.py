@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import events, evidence, investigations, texts
+from . import events, evidence, investigations, research, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (investigations, texts, events, evidence):
+for module in (investigations, texts, events, evidence, research):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
