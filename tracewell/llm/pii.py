@@ -40,6 +40,8 @@ SPELT_EMAIL = re.compile(
 LOCAL_PHONE = re.compile(r"(?<![\w+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])")
 FULL_PHONE = re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-][0-9]{3,4}){2}(?![0-9-])")
 CARD_GROUPS = re.compile(r"(?<![0-9A-Za-z-])(?:[0-9]{13,16}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![0-9A-Za-z-])")
+# Within a run of digits and separators, at every group of it; the overlapping ones too.
+CARD_IN_RUN = re.compile(r"(?<![0-9])(?=([0-9]{13,16}(?![0-9])|[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}(?![0-9])|[0-9]{4}([ -])[0-9]{6}\3[0-9]{4,5}(?![0-9])))")
 IP6 = re.compile(r"(?<![\w:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![\w:])")
 
 # Gazetteers and cue words.
@@ -101,7 +103,12 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
 
 
 def candidates(text: str, kept: list[tuple[int, int, int]], failed: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of further candidates, none of which touches a base span or an earlier candidate."""
+    """(start, kind, end) of further candidates, none of which touches a base span or an earlier candidate.
+
+    Valid card numbers within any longer run of digits go before the others, and
+    may overlap each other.
+    """
+    cards = valid_cards(text)
     # A match that failed its check may hold a narrower span; the narrower goes first.
     found = []
     for start, kind, end in failed:
@@ -114,8 +121,31 @@ def candidates(text: str, kept: list[tuple[int, int, int]], failed: list[tuple[i
     found += [(m.start(), 3, m.end()) for m in LOCAL_PHONE.finditer(text)]
     if text.count(":") >= 7:
         found += [(m.start(), 1, m.end()) for m in IP6.finditer(text)]
+    cards = _free(cards, kept)
+    out = []
+    for s, k, e in _free(found, sorted(kept + cards)):
+        if not out or s >= out[-1][2]:
+            out.append((s, k, e))
+    return sorted(out + cards)
+
+
+def valid_cards(text: str) -> list[tuple[int, int, int]]:
+    """Card numbers whose checksum and prefix hold, wherever a run of digits has them."""
+    found = []
+    for run in DIGITS.finditer(text):
+        if run.end() - run.start() < 13:
+            continue
+        for m in CARD_IN_RUN.finditer(run.group()):
+            digits = _digits(m.group(1))
+            if CARD_PREFIX.match(digits) and luhn(digits):
+                found.append((run.start() + m.start(1), 2, run.start() + m.end(1)))
+    return found
+
+
+def _free(found: list[tuple[int, int, int]], spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Those of ``found`` that touch none of the sorted ``spans``, by start, then end."""
     taken: list[list[int]] = []
-    for s, _, e in kept:
+    for s, _, e in spans:
         if taken and s < taken[-1][1]:
             taken[-1][1] = max(taken[-1][1], e)
         else:
@@ -123,9 +153,8 @@ def candidates(text: str, kept: list[tuple[int, int, int]], failed: list[tuple[i
     out, ends, at = [], [e for _, e in taken], 0
     for s, k, e in sorted(found, key=lambda x: (x[0], x[2])):
         at = bisect.bisect_right(ends, s, at)
-        if at < len(taken) and taken[at][0] < e or out and s < out[-1][2]:
-            continue
-        out.append((s, k, e))
+        if not (at < len(taken) and taken[at][0] < e):
+            out.append((s, k, e))
     return out
 
 
