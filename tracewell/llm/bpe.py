@@ -214,7 +214,12 @@ def round_trip(text: Column, path: str) -> Column:
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, decoded) of every row; repeated rows stay, further columns are left out."""
+    """(doc_id, ids, decoded) of every row.
+
+    A null text counts as empty and has no ids; very long texts are encoded
+    whole. Repeated rows stay, null ids too; an empty table gives an empty
+    result; further columns, whatever their names, are left out.
+    """
     coded = docs.select(F.col(id_col).alias("doc_id"), round_trip(F.col(text_col), path).alias("coded"))
     return coded.select("doc_id", "coded.ids", "coded.decoded")
 

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod
@@ -26,8 +26,6 @@ from .common import crc_mod
 BUCKETS = 1 << 16
 #: Labelled texts the fit reads at most, for each language: the first by a hash of their id.
 SAMPLE_PER_LANGUAGE = 2_000
-#: Languages the fit takes at most, those with the most labelled texts first.
-LANGUAGES = 256
 SWITCH = 6.0
 #: Runs of letters and their marks. Among Latin letters and signs the plain pattern finds the same faster.
 WORD, LATIN_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*"), re.compile(r"[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+")
@@ -94,8 +92,10 @@ class Model:
     cache: dict[str, int] = field(default_factory=dict, repr=False)
     rows: np.ndarray | None = field(default=None, repr=False)
 
-    #: Words whose scores a worker keeps.
-    MOST = 300_000
+    @property
+    def most(self) -> int:
+        """Words whose scores a worker keeps: some 64 MB of them."""
+        return max(10_000, min(300_000, (64 << 20) // (4 * max(len(self.langs), 1))))
 
     def __getstate__(self) -> dict:
         return {"langs": self.langs, "logp": self.logp, "allowed": self.allowed, "cache": {}, "rows": None}
@@ -117,7 +117,7 @@ class Model:
 
     def scored(self, words: list[str]) -> np.ndarray:
         """Emissions of a text batch's words in order, from the cache where they are there."""
-        if self.rows is None or len(self.cache) > self.MOST:
+        if self.rows is None or len(self.cache) > self.most:
             self.cache, self.rows = {}, np.zeros((0, len(self.langs)), np.float32)
         new = [w for w in dict.fromkeys(words) if w not in self.cache]
         if new:
@@ -142,8 +142,9 @@ def viterbi(emit: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> np
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
     score = emit[starts[lengths > 0]].copy()
-    came = np.zeros((n, k), np.uint8)
-    keep, steps = np.arange(k, dtype=np.uint8), int(lengths.max(initial=0))
+    number = np.uint8 if k <= 256 else np.uint16 if k <= 65_536 else np.uint32
+    came = np.zeros((n, k), number)
+    keep, steps = np.arange(k, dtype=number), int(lengths.max(initial=0))
     running = np.searchsorted(-lengths, -np.arange(steps + 1), side="left")
     for t in range(1, steps):
         live = running[t]
@@ -151,10 +152,10 @@ def viterbi(emit: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> np
         top = s.argmax(axis=1)
         best = s[np.arange(live), top][:, None] - switch
         at = starts[:live] + t
-        came[at] = np.where(best > s, top[:, None], keep)
+        came[at] = np.where(best > s, top[:, None].astype(number), keep)
         score[:live] = np.maximum(s, best) + emit[at]
-    labels = np.zeros(n, np.uint8)
-    state = score.argmax(axis=1).astype(np.uint8)
+    labels = np.zeros(n, number)
+    state = score.argmax(axis=1).astype(number)
     for t in range(steps - 1, -1, -1):
         live = running[t]
         at = starts[:live] + t
@@ -171,7 +172,8 @@ def predict(texts: list[str | None], model: Model) -> list[tuple[str, float]]:
     that sorts first.
     """
     found: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
-    for lo, hi in _batches(texts):
+    # A word takes several numbers a language while its batch is labelled.
+    for lo, hi in _batches(texts, max(100_000, 20_000_000 // max(len(model.langs), 10))):
         words, counts = [], []
         for text in texts[lo:hi]:
             own = words_of(text) if text else []
@@ -234,40 +236,47 @@ def _counts(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang": lang, "bucket": at, "n": counts[at]})
 
 
+_BLOCK = 1 << 12
+
+
 def train(docs: DataFrame, trainable: Column) -> Model:
-    """Learn from a bounded sample of texts with a language; whole texts are counted.
+    """Learn from a bounded sample of texts of each language, of which there may be any number; whole texts are counted.
 
-    The counts are summed by Spark; the driver gets at most LANGUAGES times
-    BUCKETS of them.
+    Spark sums the counts and lays a language's out as rows of at most _BLOCK
+    pairs. The driver gets at most BUCKETS counts a language, in blocks, and
+    keeps the model's 4 * BUCKETS bytes a language.
     """
     usable = docs.where(trainable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = usable.groupBy("lang").count().orderBy("lang").collect()
     if not sizes:
         return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros((len(NAMES), 0), bool))
     # A hash below this share keeps some SAMPLE_PER_LANGUAGE texts of each language, evenly over the table.
-    share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, SAMPLE_PER_LANGUAGE / r["count"]))])
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, SAMPLE_PER_LANGUAGE / r["count"])) for r in sizes], "lang string, share double")
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) / float(1 << 20)
-    sample = usable.where(draw < share[F.col("lang")]).select("lang", "text")
+    sample = usable.select("lang", "text", draw.alias("draw")).join(F.broadcast(shares), "lang").where("draw < share").select("lang", "text")
     counts = sample.mapInPandas(_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    frame = counts.toPandas()
-    langs = sorted(frame["lang"].unique())
-    number = {x: i for i, x in enumerate(langs)}
-    table = np.zeros((len(langs), BUCKETS + len(NAMES)))
-    table[frame["lang"].map(number).to_numpy(int), frame["bucket"].to_numpy(int)] = frame["n"]
-    seen, scripts = table[:, :BUCKETS] + 0.5, table[:, BUCKETS:]
-    logp = np.log(seen / seen.sum(axis=1, keepdims=True)).astype(np.float32)
+    blocks = counts.groupBy("lang", F.floor(F.col("bucket") / _BLOCK).alias("block")).agg(F.collect_list(F.struct("bucket", "n")).alias("pairs"))
+    sums: dict[str, np.ndarray] = {}
+    for row in blocks.toLocalIterator():
+        at, n = np.array(row["pairs"], np.int64).T
+        sums.setdefault(row["lang"], np.zeros(BUCKETS + len(NAMES), np.int64))[at] = n
+    langs = sorted(sums)
+    logp, scripts = np.zeros((len(langs), BUCKETS), np.float32), np.zeros((len(langs), len(NAMES)))
+    for i, lang in enumerate(langs):
+        seen = sums[lang][:BUCKETS] + 0.5
+        logp[i], scripts[i] = np.log(seen / seen.sum()), sums[lang][BUCKETS:]
     # A script counts for a language that writes at least one word in 1,000 with it.
     allowed = (scripts >= np.maximum(1, scripts.sum(axis=1, keepdims=True) / 1000)).T
     return Model(langs, logp, allowed)
 
 
-def language_column(text: Column, model: Model) -> Column:
-    """struct(lang_pred, score) of a text column."""
-    spark_model = [model]
+def language_column(text: Column, model: Model, spark: SparkSession) -> Column:
+    """struct(lang_pred, score) of a text column; the model is broadcast, 4 * BUCKETS bytes a language."""
+    sent = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred string, score double>")
     def identify(texts: pa.Array) -> pa.Array:
-        found = predict(texts.to_pylist(), spark_model[0])
+        found = predict(texts.to_pylist(), sent.value)
         return pa.StructArray.from_arrays(
             [pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())],
             ["lang_pred", "score"],
@@ -281,10 +290,11 @@ def identify(docs: DataFrame, fold: int = 4, held: int = 2) -> DataFrame:
 
     Documents whose crc32(doc_id as text) modulo ``fold`` is ``held``, or whose
     doc_id is null, are held out of the fit. Null, empty and letterless texts
-    are "und" with score 0, as are all texts if nothing could be learned.
-    Repeated rows each get their row; other columns are left out.
+    are "und" with score 0, as are all texts if nothing could be learned. Very
+    long texts are labelled whole. Repeated rows each get their row, an empty
+    table none; other columns, whatever their names, are left out.
     """
     learn = F.coalesce(crc_mod(F.col("doc_id"), fold) != held, F.lit(False))
     model = train(docs, learn)
-    found = docs.select("doc_id", (~learn).alias("held_out"), language_column(F.col("text"), model).alias("found"))
+    found = docs.select("doc_id", (~learn).alias("held_out"), language_column(F.col("text"), model, docs.sparkSession).alias("found"))
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")

@@ -8,6 +8,11 @@ the columns are scanned in blocks; after each block a candidate is abandoned if
 its partial distance is too large, by a hypothesis test, for a place among the
 nearest so far.
 
+Equal vectors have equal scores, so of each vector only the k + 1 smallest ids
+can ever be found, and queries with equal vectors are searched once. Candidates
+within rounding of the last place are kept, however many, until exact scores and
+ids decide.
+
 Work is dealt by (bundle of lists, share of the queries that probe it); each
 such cell holds a bounded number of vectors and queries.
 """
@@ -17,25 +22,26 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratch, written
 
 #: Vectors that k-means reads at most, and rounds it makes.
 SAMPLE, ROUNDS = 20_000, 6
 MOST_LISTS = 4_096
-#: Vectors and queries in a cell, on average at most.
-BUNDLE, CELL_QUERIES = 4_096, 2_048
+#: Vectors and queries in a cell, on average at most; queries scanned together.
+BUNDLE, CELL_QUERIES, TOGETHER = 4_096, 2_048, 512
 COLUMNS = 16
-#: The share of lists each query probes, nearest first, and the least number of
-#: lists. Vectors without any cluster structure need a share this large: see the
-#: recall figures in the README.
-PROBES, LEAST_PROBES = 0.75, 16
+#: The share of the sample's own neighbours that lie in the probed lists; it sets
+#: how many lists a query probes. The sample is sparser than the table, so its
+#: neighbours lie further out and the estimate errs to the careful side.
+RECALL, TRIAL_QUERIES, LEAST_PROBES = 0.96, 256, 8
 #: Width of the hypothesis test; 2.1 rejects a true neighbour in well under 1 of 100 cases.
 EPSILON = 2.1
+#: Rotated distances are within this share of the squared lengths of the true ones.
+ROUNDING = 1e-11
 
 
 @dataclass(frozen=True)
@@ -53,6 +59,10 @@ class Index:
 
     def order(self, y: np.ndarray, most: int) -> np.ndarray:
         """Numbers of the ``most`` nearest lists of each row, nearest first."""
+        blocks = [self._order(y[i : i + 1024], most) for i in range(0, len(y), 1024)]
+        return np.concatenate(blocks) if blocks else np.zeros((0, most), np.int64)
+
+    def _order(self, y: np.ndarray, most: int) -> np.ndarray:
         c = self.centroids
         d = (c * c).sum(axis=1) - 2 * (y @ c.T)
         if most >= len(c):
@@ -79,6 +89,21 @@ def fit(sample: np.ndarray, square: float, lists: int, seed: int = 5) -> Index:
     return Index(rotation, centroids, square)
 
 
+def probes_for(index: Index, sample: np.ndarray, k: int, recall: float) -> int:
+    """The number of nearest lists that hold a share ``recall`` of the k nearest of some of the sample's vectors."""
+    lists, asked = len(index.centroids), np.unique(np.linspace(0, len(sample) - 1, min(TRIAL_QUERIES, len(sample))).astype(int))
+    k = min(k, len(sample) - 1)
+    if recall >= 1 or k < 1:
+        return lists
+    own = index.order(index.extend(sample), 1)[:, 0]
+    place = np.argsort(index.order(index.extend(sample[asked], query=True), lists), axis=1)
+    scores = sample[asked] @ sample.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    needed = np.sort(np.take_along_axis(place, own[near], 1).ravel())
+    return min(lists, max(LEAST_PROBES, 1 + int(needed[int(np.ceil(recall * len(needed))) - 1])))
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, v): rows with an id whose vector is not null or zero and has finite components only."""
     v = F.col(vector_col).cast("array<double>")
@@ -94,22 +119,20 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
 
 
-def _scan(
-    x: np.ndarray, y: np.ndarray, lists: list[np.ndarray], probed: np.ndarray, same: np.ndarray, queries: np.ndarray, k: int
-) -> np.ndarray:
-    """The k rows of y nearest to each row of x among the lists it probes (-1: none).
+def _scan(x: np.ndarray, y: np.ndarray, lists: list[np.ndarray], probed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of x, rows of y): for each row of x the k nearest among the lists it probes, and all within rounding of the last.
 
-    lists holds the rows of each list and probed says who probes which. Candidates
-    with the query's own id (same: y's ids, queries: x's) are skipped.
+    lists holds the rows of each list and probed says who probes which.
     """
     m, d = x.shape
-    best, which = np.full((m, k), np.inf), np.full((m, k), -1)
+    best, pool = np.full((m, k), np.inf), [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
     xx = np.cumsum(x * x, axis=1)
+    margin = ROUNDING * (xx[:, -1] + ((y * y).sum(axis=1).max() if len(y) else 0))
     for j in np.argsort([-len(r) for r in lists], kind="stable"):
         rows, asks = lists[j], np.flatnonzero(probed[:, j])
         if not len(rows) or not len(asks):
             continue
-        part, yy = y[rows], np.cumsum(y[rows] ** 2, axis=1)
+        part, yy, slack = y[rows], np.cumsum(y[rows] ** 2, axis=1), margin[asks]
         # A block over all pairs while most are open, then over the open ones alone.
         dots, open_pairs, worst = np.zeros((len(asks), len(rows))), None, best[asks].max(axis=1)
         for lo in range(0, d, COLUMNS):
@@ -118,44 +141,91 @@ def _scan(
             if open_pairs is None:
                 dots += x[asks, lo:hi] @ part[:, lo:hi].T
                 near = xx[asks, hi - 1][:, None] + yy[:, hi - 1][None, :] - 2 * dots
-                keep = near <= wide[:, None]
+                if hi == d and len(rows) > k:
+                    wide = np.minimum(wide, np.partition(near, k - 1, axis=1)[:, k - 1])
+                keep = near <= (wide + slack)[:, None]
                 if hi == d or keep.mean() < 0.25:
-                    a, b = np.nonzero(keep & (same[rows][None, :] != queries[asks][:, None]))
-                    open_pairs, value = (a, b), dots[a, b]
-                    if hi == d:
-                        break
+                    open_pairs = a, b = np.nonzero(keep)
+                    value, far = dots[a, b], near[a, b]
             else:
                 a, b = open_pairs
                 value = value + np.einsum("ij,ij->i", x[asks[a], lo:hi], part[b, lo:hi])
-                near = xx[asks[a], hi - 1] + yy[b, hi - 1] - 2 * value
-                keep = near <= wide[a]
-                open_pairs, value = (a[keep], b[keep]), value[keep]
+                far = xx[asks[a], hi - 1] + yy[b, hi - 1] - 2 * value
+                keep = far <= wide[a] + slack[a]
+                open_pairs, value, far = (a[keep], b[keep]), value[keep], far[keep]
         a, b = open_pairs
-        far = xx[asks[a], d - 1] + yy[b, d - 1] - 2 * value
-        _merge(best, which, asks[a], rows[b], far, k)
-    return which
+        pool.append((asks[a], rows[b], far))
+        _lower(best, asks[a], far, k)
+        who, row, far = map(np.concatenate, zip(*pool))
+        near = far <= best[who].max(axis=1) + margin[who]
+        pool = [(who[near], row[near], far[near])]
+    return pool[0][:2]
 
 
-def _merge(best: np.ndarray, which: np.ndarray, who: np.ndarray, row: np.ndarray, far: np.ndarray, k: int) -> None:
-    """Put new (query, row, distance) triples among each query's k best."""
+def _lower(best: np.ndarray, who: np.ndarray, far: np.ndarray, k: int) -> None:
+    """Put new (query, distance) pairs among each query's k least distances."""
     if not len(who):
         return
-    order = np.lexsort((row, far, who))
-    who, row, far = who[order], row[order], far[order]
-    starts = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-    place = np.arange(len(who)) - np.repeat(starts, np.diff(np.r_[starts, len(who)]))
+    order = np.lexsort((far, who))
+    who, far = who[order], far[order]
+    asks, place = _places(who)
     few = place < k
-    asks = who[starts]
-    new_far, new_row = np.full((len(asks), k), np.inf), np.full((len(asks), k), -1)
-    at = np.searchsorted(asks, who[few])
-    new_far[at, place[few]], new_row[at, place[few]] = far[few], row[few]
-    both_far, both_row = np.hstack([best[asks], new_far]), np.hstack([which[asks], new_row])
-    top = np.argsort(both_far, axis=1, kind="stable")[:, :k]
-    best[asks], which[asks] = np.take_along_axis(both_far, top, 1), np.take_along_axis(both_row, top, 1)
+    fresh = np.full((len(asks), k), np.inf)
+    fresh[np.searchsorted(asks, who[few]), place[few]] = far[few]
+    best[asks] = np.sort(np.hstack([best[asks], fresh]), axis=1)[:, :k]
+
+
+def _places(who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values, the place of each row within its value's run) of a sorted array."""
+    starts = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.zeros(0, int)
+    return who[starts], np.arange(len(who)) - np.repeat(starts, np.diff(np.r_[starts, len(who)]))
+
+
+def _found(index: Index, queries: pa.Table, held: pa.Table, k: int) -> pa.Table:
+    """The k best candidates that a cell holds for each of its queries, by exact score, then id."""
+    out = pa.schema([("rep", pa.int64()), ("vec_id", pa.int64()), ("copies", pa.int64()), ("score", pa.float64())])
+    if not len(queries) or not len(held):
+        return out.empty_table()
+    q, v = (_matrix(t.column("v").combine_chunks()) for t in (queries, held))
+    q_ids, v_ids = queries.column("rep").to_numpy(), held.column("vec_id").to_numpy()
+    numbers, of = np.unique(held.column("list").to_numpy(), return_inverse=True)
+    members = [np.flatnonzero(of == j) for j in range(len(numbers))]
+    probed, flat = np.zeros((len(q), len(numbers)), bool), queries.column("probed").combine_chunks()
+    who, named = np.repeat(np.arange(len(q)), flat.value_lengths().to_numpy()), flat.flatten().to_numpy()
+    there = np.isin(named, numbers)
+    probed[who[there], np.searchsorted(numbers, named[there])] = True
+    y, parts = index.extend(v), []
+    for i in range(0, len(q), TOGETHER):
+        some = slice(i, i + TOGETHER)
+        a, b = _scan(index.extend(q[some], query=True), y, members, probed[some], k)
+        score = np.einsum("ij,ij->i", q[some][a], v[b])
+        order = np.lexsort((v_ids[b], -score, a))
+        a, b, score = a[order], b[order], score[order]
+        top = _places(a)[1] < k
+        parts.append((a[top] + i, b[top], score[top]))
+    a, b, score = map(np.concatenate, zip(*parts))
+    copies = held.column("copies").to_numpy()
+    return pa.Table.from_arrays([pa.array(q_ids[a]), pa.array(v_ids[b]), pa.array(copies[b]), pa.array(score)], schema=out)
+
+
+def _bundles(count: dict[int, int], lists: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first bundle, number of bundles) of each list: lists go to bundles in order; one larger than BUNDLE is dealt over several."""
+    first, parts, at, room = np.zeros(lists, int), np.ones(lists, int), 0, BUNDLE
+    for j in range(lists):
+        size = count.get(j, 0)
+        parts[j] = max(1, -(-size // BUNDLE))
+        if size > room:
+            at, room = at + 1, BUNDLE
+        first[j] = at
+        if parts[j] > 1:
+            at, room = at + parts[j], BUNDLE
+        else:
+            room -= size
+    return first, parts
 
 
 def search(
-    vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", probes: float = PROBES
+    vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of each query row.
 
@@ -164,43 +234,41 @@ def search(
     or non-finite components, take no part, nor do vectors of another length
     than the most frequent one (the longest of those equally frequent). Rows
     that repeat an id are all candidates; a repeated query id is searched once,
-    with the least of its vectors. Ties go to the smaller id.
+    with the least of its vectors. Ties go to the smaller id, however many
+    there are. An empty table gives an empty result; further columns, whatever
+    their names, are left out. ``recall`` 1 probes all lists.
     """
-    rows = usable(vectors, id_col, vector_col)
+    with scratch(vectors.sparkSession) as keep:
+        return _search(usable(vectors, id_col, vector_col), is_query, k, recall, keep)
+
+
+def _search(rows: DataFrame, is_query: Column, k: int, recall: float, keep) -> DataFrame:
+    spark = rows.sparkSession
     sizes = rows.groupBy(F.size("v").alias("d")).agg(
         F.count(F.lit(1)).alias("n"),
         F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("square"),
     )
     most = sizes.orderBy(F.desc("n"), F.desc("d")).first()
-    schema = "query_id long, rank int, vec_id long, score double"
     if most is None:
-        return vectors.sparkSession.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d, n, square = most
     rows = rows.where(F.size("v") == d)
     lists = max(1, min(MOST_LISTS, round(np.sqrt(n))))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
-    index = fit(_matrix(sample.column("v").combine_chunks()), square * (1 + 1e-9), lists)
-    lists = len(index.centroids)
+    sample = _matrix(sample.column("v").combine_chunks())
+    index = fit(sample, square * (1 + 1e-9), lists)
+    lists, probe = len(index.centroids), probes_for(index, sample, k, recall)
 
     @F.arrow_udf("int")
     def nearest_list(v: pa.Array) -> pa.Array:
         return pa.array(index.order(index.extend(_matrix(v)), 1)[:, 0] if len(v) else [], pa.int32())
 
-    listed = written(rows.select("vec_id", "v", nearest_list("v").alias("list")), "listed")
-    count = {r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}
-    # Lists go to bundles in order; one larger than BUNDLE is dealt over several.
-    first, parts, at, room = np.zeros(lists, int), np.ones(lists, int), 0, BUNDLE
-    for j in range(lists):
-        size = count.get(j, 0)
-        parts[j] = max(1, -(-size // BUNDLE))
-        if size > room:
-            at, room = at + 1, BUNDLE
-        first[j] = at
-        if parts[j] > 1:
-            at, room = at + parts[j], BUNDLE
-        else:
-            room -= size
-    probe = lists if probes >= 1 else min(lists, max(LEAST_PROBES, int(np.ceil(probes * lists))))
+    # Rows of one id and vector become one with its number of copies, then of each vector the k + 1 smallest ids stay.
+    unique = rows.groupBy("v", "vec_id").agg(F.count(F.lit(1)).alias("copies"))
+    place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    held = unique.withColumn("place", place).where(F.col("place") <= k + 1)
+    listed = written(held.select("vec_id", F.least("copies", F.lit(k)).alias("copies"), "v", nearest_list("v").alias("list")), "listed")
+    first, parts = _bundles({r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}, lists)
 
     @F.arrow_udf("array<struct<bundle int, probed array<int>>>")
     def bundles_of(v: pa.Array) -> pa.Array:
@@ -214,52 +282,32 @@ def search(
             out.append([{"bundle": b, "probed": x} for b, x in by.items()])
         return pa.array(out, pa.list_(pa.struct([("bundle", pa.int32()), ("probed", pa.list_(pa.int32()))])))
 
-    asked = listed.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = asked.select("vec_id", "v", F.explode(bundles_of("v")).alias("to")).select("vec_id", "v", "to.*")
+    # Queries of one vector are searched once, under the least of their ids.
+    queries = written(rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    reps = written(queries.groupBy("v").agg(F.min("vec_id").alias("rep")), "reps")
+    members = keep(written(queries.join(reps, "v").select("rep", F.col("vec_id").alias("query_id")), "members"))
+    asked = reps.select("rep", "v", F.explode(bundles_of("v")).alias("to")).select("rep", "v", "to.*")
     asked = written(asked, "asked")
     shares = asked.groupBy("bundle").count().select("bundle", F.ceil(F.col("count") / CELL_QUERIES).cast("int").alias("shares"))
-    lookup = F.array(*[F.struct(F.lit(int(f)).alias("first"), F.lit(int(p)).alias("parts")) for f, p in zip(first, parts)])
-    place = F.element_at(lookup, F.col("list") + 1)
-    stored = listed.withColumn("bundle", (place["first"] + F.pmod(F.xxhash64("vec_id"), place["parts"])).cast("int"))
+    places = spark.createDataFrame([(j, int(first[j]), int(parts[j])) for j in range(lists)], "list int, first int, parts int")
+    stored = listed.join(F.broadcast(places), "list").withColumn(
+        "bundle", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int")
+    )
     stored = stored.join(shares, "bundle").select(
-        "bundle", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "vec_id", "v", "list"
+        "bundle", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "vec_id", "copies", "v", "list"
     )
     asked = asked.join(shares, "bundle").select(
-        "bundle", F.pmod(F.xxhash64("vec_id"), F.col("shares")).cast("int").alias("share"), "vec_id", "v", "probed"
+        "bundle", F.pmod(F.xxhash64("rep"), F.col("shares")).cast("int").alias("share"), "rep", "v", "probed"
     )
 
     def cell(queries: pa.Table, held: pa.Table) -> pa.Table:
-        out_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-        if not len(queries) or not len(held):
-            return out_schema.empty_table()
-        q, v = (_matrix(t.column("v").combine_chunks()) for t in (queries, held))
-        q_ids, v_ids = (t.column("vec_id").to_numpy() for t in (queries, held))
-        own = held.column("list").to_numpy()
-        numbers, of = np.unique(own, return_inverse=True)
-        members = [np.flatnonzero(of == j) for j in range(len(numbers))]
-        probed = np.zeros((len(q), len(numbers)), bool)
-        flat = queries.column("probed").combine_chunks()
-        who = np.repeat(np.arange(len(q)), flat.value_lengths().to_numpy())
-        named = flat.flatten().to_numpy()
-        there = np.isin(named, numbers)
-        probed[who[there], np.searchsorted(numbers, named[there])] = True
-        # A few more than k, as rotated distances can swap near ties.
-        found = _scan(index.extend(q, query=True), index.extend(v), members, probed, v_ids, q_ids, k + 8)
-        a, b = np.nonzero(found >= 0)
-        b = found[a, b]
-        score = np.einsum("ij,ij->i", q[a], v[b])
-        order = np.lexsort((v_ids[b], -score, a))
-        a, b, score = a[order], b[order], score[order]
-        starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, int)
-        place = np.arange(len(a)) - np.repeat(starts, np.diff(np.r_[starts, len(a)]))
-        top = place < k
-        return pa.Table.from_arrays([pa.array(q_ids[a[top]]), pa.array(v_ids[b[top]]), pa.array(score[top])], schema=out_schema)
-
-    found = (
-        asked.groupBy("bundle", "share")
-        .cogroup(stored.groupBy("bundle", "share"))
-        .applyInArrow(cell, "query_id long, vec_id long, score double")
-    )
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+        return _found(index, queries, held, k + 1)
+
+    found = asked.groupBy("bundle", "share").cogroup(stored.groupBy("bundle", "share"))
+    found = found.applyInArrow(cell, "rep long, vec_id long, copies long, score double")
+    nearest = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id"))
+    best = keep(written(found.withColumn("place", nearest).where(F.col("place") <= k + 1).drop("place"), "best"))
+    # A query's own id goes; k others are left, or all there are.
+    each = members.join(best, "rep").where("query_id <> vec_id").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

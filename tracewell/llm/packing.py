@@ -19,12 +19,12 @@ import zlib
 from array import array
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import UNUSUAL, PieceCache
+from .bpe import UNUSUAL, PieceCache, byte_alphabet
+from .common import small_batches, written
 
 LENGTH = 4096
 #: Documents in a group, on average.
@@ -33,12 +33,18 @@ GROUP = 4_096
 DISSOLVE = 0.75
 
 
+#: The pieces that the vocabulary's splitter makes of a lower-case word of Latin
+#: letters, digits and signs: endings, letters, single digits, other signs.
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼-¾]+|[\d²³¹¼-¾]|(?:[^\s\w]|_)+")
+
+
 class WordIds:
-    """Ids of whole texts by the tokenizers library, a white-space word at a time.
+    """Ids of whole texts as the tokenizers library gives them, a white-space word at a time.
 
     The vocabulary drops white space, so words are independent; those met before
-    are looked up. Texts with unusual characters, or with special tokens' strings,
-    go to the library whole.
+    are looked up. A new word is cut into pieces, and only a new piece goes to
+    the library's merges. Texts with unusual characters, or with special tokens'
+    strings, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -47,17 +53,27 @@ class WordIds:
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
+        self.merges, self.letters = self.whole.model, byte_alphabet()
         special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.special_re = re.compile("|".join(map(re.escape, special))) if special else None
-        self.words = PieceCache(self._library)
+        self.words = PieceCache(self._word)
         self.splits_on_space = self._splits_on_space()
 
     def _library(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        pieces = PIECE.findall(word)
+        if len(pieces) > 1:
+            return b"".join(map(self.words.__getitem__, pieces))
+        if not word.isascii():
+            word = "".join(map(self.letters.__getitem__, word.encode()))
+        return array("I", [t.id for t in self.merges.tokenize(word)]).tobytes()
+
     def _splits_on_space(self) -> bool:
-        """Whether the vocabulary drops white space and lower-cases, as the word-wise way needs."""
-        return self._library("The  a\n(b") == self._library("the") + self._library("a") + self._library("(b")
+        """Whether the vocabulary drops white space, lower-cases and splits as the word-wise way needs."""
+        odd = "The  a\n(b) it's x_12é ²½ÀSS--Ǆ'LL"
+        return self._library(odd) == b"".join(map(self._word, odd.lower().split()))
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -143,14 +159,18 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, used
 
 
-def pack_group(frame: pd.DataFrame, length: int = LENGTH) -> pd.DataFrame:
-    """Pieces of one group's documents, with sequence numbers from 0."""
-    frame = frame.sort_values(["doc_id", "tokens", "last"], kind="stable").reset_index(drop=True)
-    ids, tokens = frame["doc_id"].tolist(), frame["tokens"].to_numpy(np.int64)
+_SCHEMA = pa.schema([(name, pa.int64()) for name in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
+
+
+def pack_group(table: pa.Table, length: int = LENGTH) -> pa.Table:
+    """Pieces of one group's documents (doc_id, tokens, whole, last, parts), with sequence numbers from 0."""
+    table = table.sort_by([("doc_id", "ascending"), ("tokens", "ascending"), ("last", "ascending")])
+    # Python integers: a null beside them must not turn ids into floats.
+    ids, last, tokens = table["doc_id"].to_pylist(), table["last"].to_pylist(), table["tokens"].to_numpy().astype(np.int64)
     rows, sequence = [], 0
-    for i, whole in enumerate(frame["whole"]):
+    for i, whole in enumerate(table["whole"].to_pylist()):
         for k, crc in enumerate(whole):
-            rows.append((ids[i], k * length, length, int(crc), int(tokens[i]), sequence, 0))
+            rows.append((ids[i], k * length, length, crc, int(tokens[i]), sequence, 0))
             sequence += 1
     tails = np.flatnonzero(tokens % length)
     sizes = tokens[tails] % length
@@ -158,15 +178,15 @@ def pack_group(frame: pd.DataFrame, length: int = LENGTH) -> pd.DataFrame:
     fill = np.bincount(bins, sizes, used).astype(np.int64) if used else np.zeros(0, np.int64)
     spare = (fill < DISSOLVE * length) & ((fill & (fill - 1)) != 0)
     number = sequence + np.cumsum(~spare) - 1
-    at, loose = np.zeros(used, np.int64), []
+    at, loose, parts = np.zeros(used, np.int64), [], table["parts"]
     for i, b, size in zip(tails.tolist(), bins.tolist(), sizes.tolist()):
         start = int(tokens[i]) - size
         if spare[b]:
-            for part, crc in zip(powers(size), frame["parts"][i]):
-                loose.append((ids[i], start, part, int(crc), int(tokens[i])))
+            for part, crc in zip(powers(size), parts[i].as_py()):
+                loose.append((ids[i], start, part, crc, int(tokens[i])))
                 start += part
         else:
-            rows.append((ids[i], start, size, int(frame["last"][i]), int(tokens[i]), int(number[b]), int(at[b])))
+            rows.append((ids[i], start, size, last[i], int(tokens[i]), int(number[b]), int(at[b])))
             at[b] += size
     sequence += int((~spare).sum())
     # Powers of two in falling order fill the powers of two of their sum without a gap.
@@ -180,8 +200,8 @@ def pack_group(frame: pd.DataFrame, length: int = LENGTH) -> pd.DataFrame:
         left -= piece[2]
         if offset == goal:
             sequence, goal = sequence + 1, 0
-    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    return pd.DataFrame(rows, columns=columns).assign(doc_id=lambda x: x["doc_id"].astype("Int64"))
+    columns = list(zip(*rows)) or [()] * len(_SCHEMA)
+    return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_SCHEMA)
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -192,27 +212,32 @@ def pack(
 ) -> DataFrame:
     """Pieces of all documents, each with its sequence and its offset there.
 
-    ``length`` must be a power of two. A null or empty text is its end id alone.
-    Rows that repeat a doc_id, or have none, are documents of their own; other
-    columns are left out; an empty table gives no pieces. sequence_id is unique
-    over all groups.
+    ``length`` must be a power of two. A null or empty text is its end id alone;
+    a very long one is cut at multiples of ``length``. Rows that repeat a doc_id,
+    or have none, are documents of their own; ids are exact over the whole range
+    of a long; other columns, whatever their names, are left out; an empty table
+    gives no pieces. sequence_id is unique over all groups.
+
+    The token counts and CRCs are written to the shared folder, as the groups
+    would otherwise tokenise again whenever a part of them is lost.
     """
     if length & (length - 1):
         raise ValueError("length must be a power of two")
-    groups = max(1, math.ceil(docs.count() / group))
     # Ids alone would put all repeats of one id, or all nulls, into one group.
     salt = F.xxhash64(F.col("doc_id"), F.monotonically_increasing_id(), F.lit(seed))
     drawn = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.pmod(salt, F.lit(groups)).alias("grp"),
-        measured(F.col("text"), path, end_id, length).alias("m"),
-    ).select("doc_id", "grp", "m.*")
+        F.col("doc_id").cast("long").alias("doc_id"), salt.alias("salt"), measured(F.col("text"), path, end_id, length).alias("m")
+    )
+    with small_batches(docs.sparkSession):
+        drawn = written(drawn.select("doc_id", "salt", "m.*"), "measured")
+    groups = max(1, math.ceil(drawn.count() / group))
 
-    def of_group(key, frame: pd.DataFrame) -> pd.DataFrame:
-        pieces = pack_group(frame, length)
-        return pieces.assign(sequence_id=pieces["sequence_id"] * groups + int(key[0]))
+    def of_group(key, table):
+        pieces = pack_group(table, length)
+        number = pa.array(pieces["sequence_id"].to_numpy() * groups + key[0].as_py(), pa.int64())
+        return pieces.set_column(pieces.schema.get_field_index("sequence_id"), "sequence_id", number)
 
-    return drawn.groupBy("grp").applyInPandas(of_group, PIECES)
+    return drawn.withColumn("grp", F.pmod("salt", F.lit(groups))).groupBy("grp").applyInArrow(of_group, PIECES)
 
 
 def sequences(pieces: DataFrame, docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratch, small_batches, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -299,12 +299,13 @@ def learn_from(scanned: DataFrame) -> Weak:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans) of every document; spans are structs (start, kind, end, base) by start, then kind.
 
-    A null or empty text has none. Repeated rows each get their row; further
-    columns are left out.
+    A null or empty text has none; very long ones are scanned whole. Repeated
+    rows each get their row, null ids too; an empty table gives none; further
+    columns, whatever their names, are left out.
     """
-    scanned = written(
-        docs.select(F.col(id_col).alias("doc_id"), scan_column(F.coalesce(F.col(text_col), F.lit(""))).alias("found")), "spans"
-    )
+    spans = docs.select(F.col(id_col).alias("doc_id"), scan_column(F.coalesce(F.col(text_col), F.lit(""))).alias("found"))
+    with scratch(docs.sparkSession) as keep:
+        scanned = keep(written(spans, "spans"))
     accepted = sorted(learn_from(scanned).accepted)
     keep = F.filter("found", lambda s: s["base"] | s["code"].isin(accepted) if accepted else s["base"])
     plain = F.transform(
@@ -337,10 +338,12 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with each span of personal data replaced by its kind in brackets.
 
     Two passes over the texts: one to learn, one to replace. Overlapping spans
-    are replaced as one, under the kind of the first. Null texts stay null; all
-    columns stay.
+    are replaced as one, under the kind of the first. Null texts stay null, empty
+    ones empty; repeated rows and all columns stay, whatever their names; an
+    empty table stays empty.
     """
-    accepted = learn_from(docs.select(scan_column(F.coalesce(F.col(text_col), F.lit(""))).alias("found"))).accepted
+    with small_batches(docs.sparkSession):
+        accepted = learn_from(docs.select(scan_column(F.coalesce(F.col(text_col), F.lit(""))).alias("found"))).accepted
 
     @F.arrow_udf("string")
     def pii_redact(texts: pa.Array) -> pa.Array:

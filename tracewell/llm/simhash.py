@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected
-from .common import written
+from .common import scratch, written
 
 RADIUS = 3
 #: Fingerprints in a block of a large bucket, on average: BLOCK while that gives
@@ -164,38 +164,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links and have component_id null only if their whole component has null
     ids. Further columns are left out; an empty table gives an empty result.
     """
-    prints = written(
-        docs.select(
+    with scratch(docs.sparkSession) as keep:
+        prints = docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
             fingerprint_column(F.col(text_col)).alias("fp"),
             (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"),
-        ),
-        "fingerprints",
-    )
-    # One row a fingerprint, which is its own node: equal ones need no link.
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    found = connected(links(nodes.select("fp")))
-    groups = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
-    )
-    smallest = groups.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = written(groups.join(smallest, "component").select("fp", "component", "component_id"), "labels")
-    return with_labels(prints, labels).select(
+        )
+        prints = keep(written(prints, "fingerprints"))
+        # One row a fingerprint, which is its own node: equal ones need no link.
+        nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+        found = connected(links(nodes.select("fp")))
+        groups = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
+            "fp", "least", F.coalesce("component", "fp").alias("component")
+        )
+        smallest = groups.groupBy("component").agg(F.min("least").alias("component_id"))
+        labels = keep(written(groups.join(smallest, "component").select("fp", "component", "component_id"), "labels"))
+        hot = keep(written(hot_labels(prints, labels), "hot"))
+    return with_labels(prints, labels, hot).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component", "row"
     )
 
 
 def keepers(found: DataFrame) -> DataFrame:
-    """(row): of each component the row with the smallest doc_id, null ids last; of rows that repeat it, one."""
+    """(row): of each component the row with the smallest doc_id, null ids last; of rows that repeat it, one.
+
+    ``found`` is (doc_id, component, row), none of them null but doc_id; an empty table has none.
+    """
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least")
     return found.groupBy("component").agg(least).select("least.row")
 
 
-def with_labels(prints: DataFrame, labels: DataFrame, share: int = 1000) -> DataFrame:
-    """Join component ids onto fingerprints; those held by over 1/share of the rows, at most ``share``, by broadcast."""
+def hot_labels(prints: DataFrame, labels: DataFrame, share: int = 1000) -> DataFrame:
+    """The labels of fingerprints that over 1/share of the rows hold; there are at most ``share``."""
     sizes = prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
-    hot_at = max(prints.count() // share, 1)
-    hot = written(labels.join(sizes.where(F.col("n") > hot_at), "fp", "left_semi"), "hot")
+    return labels.join(sizes.where(F.col("n") > max(prints.count() // share, 1)), "fp", "left_semi")
+
+
+def with_labels(prints: DataFrame, labels: DataFrame, hot: DataFrame) -> DataFrame:
+    """Join component ids onto fingerprints; those of ``hot``, as hot_labels() gives them, by broadcast."""
     by_hot = prints.join(F.broadcast(hot), "fp")
     by_rest = prints.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(labels, "fp")
     return by_hot.unionByName(by_rest)

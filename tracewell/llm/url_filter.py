@@ -43,28 +43,28 @@ https://blog.garden.example.org/en/7              http://m.weather.example.com/f
 https://university.example.org/courses/88         http://www.museum.example.net/de/visit
 https://m.kitchen.example.com/recipes/4           http://history.example.net/en/tables
 https://blog.travel.example.org/es/31             http://www.science.example.com/papers/10
-https://thethe.example.com/en/5                   http://thandon.example.net/fr/10
-https://www.tioner.example.org/en/61              http://blog.theren.example.com/de/8
-https://m.anther.example.net/es/3                 http://ingthe.example.org/en/18
+https://gallery.example.com/exhibitions/5         http://canoe-club.example.net/fr/members
+https://www.stationery.example.org/pens           http://blog.orchard.example.com/apples/8
+https://m.botany.example.net/herbarium            http://seminar.example.org/en/18
 https://docs.example.com/guide/1                  http://forum.example.net/thread/99
-https://www.city.example.org/council              http://m.hospital.example.com/en/7
+https://www.city.example.org/council              http://m.hospital.example.com/wards
 https://school.example.net/fr/15                  http://blog.music.example.com/albums/2
 https://www.wiki.example.org/page/cash            http://archive.example.net/2020/05
 https://theatre.example.com/plays                 http://www.farmers.example.org/market
-https://m.thatthe.example.net/en/453.html         http://blog.erthon.example.com/en/853/
-https://www.reading.example.org/books             http://thinon.example.net/de/612
-https://m.station.example.com/en/825.html         http://m.nation.example.net/es/64
-https://ration.example.net/fr/177                 http://motion.example.net/en/498/
-https://m.lotion.example.org/de/31.html           http://m.option.example.com/en/760
-https://action.example.net/es/913                 http://shine.example.net/en/235
-https://m.brother.example.net/en/509              http://m.weather.example.org/de/372/
-https://portion.example.net/de/84.html            http://fashion.example.net/fr/296
-https://m.garden.example.com/es/640/              http://m.bakery.example.net/fr/481.html
-https://www.painting.example.com/en/157           http://blog.sailing.example.net/en/718
-https://fishing.example.net/fr/993.html           http://nation.example.net/es/350/
-https://m.other.example.org/en/222                http://mother.example.net/de/146
-https://m.station.example.com/fr/571              http://relation.example.net/en/39
-https://www.teaching.example.org/es/804/          http://bishop.example.net/fr/667
+https://observatory.example.net/telescopes.html   http://blog.marathon.example.com/results/2019/
+https://www.reading.example.org/books             http://fencing.example.net/lessons
+https://m.station.example.com/departures          http://m.nation.example.net/politics
+https://tax-office.example.net/forms/177          http://motion.example.net/physics/498/
+https://m.soap-maker.example.org/lavender         http://m.opinion.example.com/letters/760
+https://charity.example.net/es/donate             http://lighthouse.example.net/tours
+https://m.brother-printers.example.net/drivers    http://m.climate.example.org/de/372/
+https://portions.example.net/soup.html            http://fashion.example.net/autumn
+https://m.gardening.example.com/plants/roses/     http://m.bakery.example.net/bread.html
+https://www.painting.example.com/oil/landscape    http://blog.sailing.example.net/harbour
+https://fishing.example.net/rivers/trout.html     http://parliament.example.net/debates/350/
+https://m.other-stories.example.org/essays        http://mother-and-child.example.net/advice
+https://m.train-times.example.com/fr/571          http://relations.example.net/terms
+https://www.teaching.example.org/es/804/          http://bishop.example.net/diocese
 """
 
 
@@ -113,7 +113,7 @@ def grams(host: Column, path: Column) -> Column:
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     rows = [(url, 1.0) for url in BLOCKED.split()] + [(url, 0.0) for url in ALLOWED.split()]
-    return spark.createDataFrame(rows, "url string, label double")
+    return spark.createDataFrame(rows, "url string, label double").coalesce(1)
 
 
 def train(labelled: DataFrame) -> tuple[list[float], float]:
@@ -128,7 +128,6 @@ def train(labelled: DataFrame) -> tuple[list[float], float]:
         labelled.select("url", F.col("label").cast("double").alias("label"), host.alias("host"), path.alias("path"))
         .select("url", "label", counts.alias("buckets"))
         .orderBy("url", "label")
-        .coalesce(1)
         .select("label", array_to_vector(x).alias("features"))
     )
     model = LogisticRegression(regParam=0.01, elasticNetParam=0.0, maxIter=60, standardization=False).fit(rows)
@@ -161,8 +160,9 @@ def judge(
     """(page_id, host, path, rule, verdict, block_score) of every page.
 
     A null URL, or one without "://", has empty host and path and is judged by
-    the regression like any other that no rule fits. Repeated rows each get
-    their row; further columns are left out.
+    the regression like any other that no rule fits; very long URLs are read
+    whole. Repeated rows each get their row, an empty table none; further
+    columns, whatever their names, are left out.
     """
     labelled = labelled_urls(pages.sparkSession) if labelled is None else labelled
     weights, intercept = train(labelled)
