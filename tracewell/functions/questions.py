@@ -111,3 +111,23 @@ def follow_ups(question: Column) -> Column:
         F.struct(base.alias("base"), chosen.alias("chosen")),
         lambda s: F.transform(s["chosen"], lambda c: F.struct(F.concat_ws(" ", s["base"], c["e"]).alias("q"), c["purpose"].alias("purpose"))),
     )
+
+
+# The label of a claim, the openings of an open question, and the verbs of an assertion.
+LABELLED = r"(?is)^(?:claim|check this claim)\s*:\s*(\S.*)$"
+OPEN_QUESTION = (
+    r"(?i)^(?:who|what|when|where|why|how|is|are|was|were|do|does|did|can|could|should|would|will|has|have|research|investigate|find|tell|review"
+    r"|compare|check|assess|evaluate|verify|evidence|information|analysis|topic|whether)\b"
+)
+ASSERTS = r"(?i)\b(?:is|are|was|were|has|have|had|does|did|causes|caused|contains|contain|proves|proved|fabricated|suppressed)\b"
+
+
+def explicit_claim(topic: Column) -> Column:
+    """The claim that a topic states, by its label or as a declarative sentence; null for a question or a bare topic."""
+
+    def found(text: Column) -> Column:
+        labelled = F.regexp_extract(text, LABELLED, 1)
+        declares = ~text.contains("?") & ~text.rlike(OPEN_QUESTION) & text.rlike(ASSERTS)
+        return F.when(labelled != "", labelled).when(declares, text)
+
+    return let(F.trim(topic), found)

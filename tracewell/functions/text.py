@@ -213,17 +213,26 @@ def digest(*columns: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256))
 
 
-def explicit_claim(question: Column) -> Column:
-    """Whether a question states a claim of its own, and no open question."""
-    opens = question.rlike(r"(?i)^\s*(?:who|what|when|where|why|how|which|is|are|was|were|do|does|did|can|could|should|will|would)\b")
-    return ~opens & ~F.rtrim(question).endswith("?") & (F.size(F.split(F.trim(question), r"\s+")) >= 4)
-
-
-def research_focus(question: Column) -> Column:
-    """Focus of a question, by the first of these that its words fit."""
-    return (
-        F.when(question.rlike(r"(?i)\b(?:photo|image|picture|artwork|painting|artist|licen[cs]e|copyright)"), "provenance")
-        .when(question.rlike(r"(?i)\b(?:buy|bought|seller|listing|product|refund|shop|order(?:ed)?)\b"), "shopping")
-        .when(question.rlike(r"(?i)\b(?:health|medical|vaccine|study|science|research)\b"), "science")
-        .otherwise("general")
-    )
+# Bounds of what is kept of a page's descriptive attributes.
+LONGEST_VALUE, MOST_NAMES = 400, 8
+
+
+def capped(value: Column) -> Column:
+    """An attribute's text, trimmed, its first 400 characters; null if nothing is left."""
+    return let(F.trim(value), lambda v: F.when(v != "", F.left(v, F.lit(LONGEST_VALUE))))
+
+
+def capped_names(values: Column) -> Column:
+    """The first eight of an attribute's names that are not empty, each capped."""
+    return F.slice(F.array_compact(F.transform(values, capped)), 1, MOST_NAMES)
+
+
+def recognition(tokens: Column) -> Column:
+    """unreviewed if the mean probability of a segment's tokens is 0.6 or more, else low_confidence.
+
+    ``tokens`` are structs (text, p); marks that begin with "[_" and what is no
+    probability don't count, and a segment without any has none.
+    """
+    good = F.filter(tokens, lambda t: t["text"].isNotNull() & ~t["text"].startswith("[_") & t["p"].between(0, 1))
+    total = lambda ts: F.aggregate(ts, F.lit(0.0), lambda s, t: s + t["p"].cast("double"))
+    return let(good, lambda ts: F.when(F.coalesce(total(ts) / F.nullif(F.size(ts), F.lit(0)), F.lit(0.0)) >= 0.6, "unreviewed").otherwise("low_confidence"))

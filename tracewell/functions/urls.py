@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Parameters that never tell pages apart, and names that carry credentials.
 TRACKING = ("fbclid", "gclid", "igshid", "mc_cid", "mc_eid", "msclkid")
 CREDENTIAL = r"(?i)^(?:.*[_-])?(?:token|key|apikey|api_key|secret|password|passwd|pwd|auth|signature|sig|session|sid|credential|code)$"
@@ -52,6 +54,10 @@ def _name(parameter: Column) -> Column:
     return F.substring_index(parameter, "=", 1)
 
 
+def _parts(url: Column) -> Column:
+    return F.struct(*[_part(url, i).alias(n) for i, n in ((1, "scheme"), (3, "host"), (4, "port"), (5, "path"), (6, "query"))])
+
+
 def canonical(url: Column) -> Column:
     """Canonical form of an http(s) URL, null for others.
 
@@ -59,23 +65,28 @@ def canonical(url: Column) -> Column:
     parameter; other parameters sorted by name, then value; no trailing slashes
     but the root's.
     """
-    port = _part(url, 4)
-    default = ((scheme(url) == "http") & (port == "80")) | ((scheme(url) == "https") & (port == "443"))
-    kept = F.filter(parameters(url), lambda p: ~(F.lower(_name(p)).startswith("utm_") | F.lower(_name(p)).isin(*TRACKING)))
+    return let(_parts(url), _joined)
+
+
+def _joined(u: Column) -> Column:
+    scheme_, host_ = F.lower(u["scheme"]), F.regexp_replace(F.lower(u["host"]), r"^www\.(?=.)", "")
+    default = ((scheme_ == "http") & (u["port"] == "80")) | ((scheme_ == "https") & (u["port"] == "443"))
+    kept = F.filter(
+        F.split(u["query"], "&"), lambda p: (p != "") & ~(F.lower(_name(p)).startswith("utm_") | F.lower(_name(p)).isin(*TRACKING))
+    )
     pairs = F.transform(
         kept, lambda p: F.struct(_name(p).alias("name"), F.substring(p, F.length(_name(p)) + F.lit(2), F.length(p)).alias("value"))
     )
     query = F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(p["name"], F.lit("="), p["value"])), "&")
-    clean = F.regexp_replace(path(url), "/+$", "")
     return F.when(
-        host(url) != "",
+        host_ != "",
         F.concat(
-            scheme(url),
+            scheme_,
             F.lit("://"),
-            host(url),
-            F.when((port == "") | default, "").otherwise(F.concat(F.lit(":"), port)),
-            F.when(clean == "", "/").otherwise(clean),
-            F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)),
+            host_,
+            F.when((u["port"] == "") | default, "").otherwise(F.concat(F.lit(":"), u["port"])),
+            let(F.regexp_replace(u["path"], "/+$", ""), lambda x: F.when(x == "", "/").otherwise(x)),
+            let(query, lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))),
         ),
     )
 
@@ -107,30 +118,59 @@ def _number(address: str) -> int:
 
 def public_host(host_: Column) -> Column:
     """Whether a host is a public name or address: it has a dot, is not local, and is no blocked IPv4 or IPv6 literal."""
-    number = ipv4(host_)
-    blocked = F.lit(False)
+
+    def told(h: Column) -> Column:
+        name = h.contains(".") & ~h.rlike(r"(^|\.)(localhost|local|internal|intranet|lan|home|corp)$") & ~h.contains("[")
+        return let(ipv4(h), lambda n: F.when(n.isNotNull(), ~_blocked(n)).otherwise(name & ~h.rlike(r"^[\d.]+$")))
+
+    return let(host_, told)
+
+
+def _blocked(number: Column) -> Column:
+    found = F.lit(False)
     for address, length in BLOCKED_V4:
-        blocked = blocked | (F.shiftright(number, 32 - length) == _number(address) >> (32 - length))
-    name = host_.contains(".") & ~host_.rlike(r"(^|\.)(localhost|local|internal|intranet|lan|home|corp)$") & ~host_.contains("[")
-    return F.when(number.isNotNull(), ~blocked).otherwise(name & ~host_.rlike(r"^[\d.]+$"))
+        found = found | (F.shiftright(number, 32 - length) == _number(address) >> (32 - length))
+    return found
 
 
 def safe_reference(url: Column) -> Column:
     """Whether a URL may be kept as a reference: short, http(s), no user, no credential-like parameter, public host."""
-    secret = F.exists(parameters(url), lambda p: _name(p).rlike(CREDENTIAL))
-    fine = (F.length(url) <= 4096) & (host(url) != "") & (userinfo(url) == "") & ~secret & public_host(host(url))
-    return F.coalesce(fine, F.lit(False))
+
+    def told(u: Column) -> Column:
+        secret = F.exists(F.filter(F.split(u["query"], "&"), lambda p: p != ""), lambda p: _name(p).rlike(CREDENTIAL))
+        bare = F.regexp_replace(F.lower(u["host"]), r"^www\.(?=.)", "")
+        return (bare != "") & (u["user"] == "") & ~secret & public_host(bare)
+
+    parts = F.struct(*[_part(url, i).alias(n) for i, n in ((2, "user"), (3, "host"), (6, "query"))])
+    return F.coalesce((F.length(url) <= 4096) & let(parts, told), F.lit(False))
+
+
+# Fixed value: paths of pages that stand in for the one asked for.
+STAND_IN = r"(?i)(?:^|/)(?:login|log-in|signin|sign-in|auth|unsupportedbrowser|unsupported-browser|browser-support|error|404)(?:/|$)"
 
 
 def binding(requested: Column, final: Column) -> Column:
-    """How a fetched URL relates to the requested one: same, normalized, different, blocked or not_established."""
-    blocked = F.lower(path(final)).rlike(r"(^|/)(login|log-in|signin|sign-in|error|404|not-found|consent|captcha)(/|\.|$)")
-    secure = lambda u: F.regexp_replace(canonical(u), "^http://", "https://")
-    upgrade = (scheme(requested) == scheme(final)) | ((scheme(requested) == "http") & (scheme(final) == "https"))
-    return (
-        F.when(canonical(requested).isNull() | canonical(final).isNull() | ~safe_reference(final), "not_established")
-        .when(blocked, "blocked")
-        .when(requested == final, "same")
-        .when(upgrade & (secure(requested) == secure(final)), "normalized")
-        .otherwise("different")
-    )
+    """How a fetched URL relates to the requested one.
+
+    same_resource, normalized_resource (equal in canonical form; http may become
+    https and not the other way round), different_resource, blocked_destination
+    (log-in, error and browser pages), or not_established where either may not be
+    kept as a reference.
+    """
+    sides = F.struct(
+        F.trim(requested).alias("asked"), F.trim(final).alias("got"), safe_reference(requested).alias("asked_safe"), safe_reference(final).alias("got_safe"),
+        canonical(requested).alias("from"), canonical(final).alias("to"), path(final).alias("path"),
+    )
+
+    def decide(u: Column) -> Column:
+        upgraded = u["to"].startswith("https:") & (F.regexp_replace(u["from"], "^http:", "https:") == u["to"])
+        return (
+            F.when(~u["asked_safe"] | ~u["got_safe"], "not_established")
+            .when(u["path"].rlike(STAND_IN), "blocked_destination")
+            .when(u["asked"] == u["got"], "same_resource")
+            .when(u["from"].isNull() | u["to"].isNull(), "not_established")
+            .when((u["from"] == u["to"]) | upgraded, "normalized_resource")
+            .otherwise("different_resource")
+        )
+
+    return let(sides, decide)

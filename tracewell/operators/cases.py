@@ -116,3 +116,76 @@ def case_projection(timeline: DataFrame) -> DataFrame:
     order = F.create_map(*[F.lit(x) for x in ("dated_core", 0, "dated_lead", 1, "dated_contextual", 2, "undated", 3)])
     rows = timeline.where("safe").withColumn("o", F.try_element_at(order, F.col("bucket")))
     return rows.groupBy("inv", "cand_id").agg(F.min_by(F.struct("bucket", "url"), "o").alias("r")).select("inv", "cand_id", "r.*")
+
+
+def relation_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(case_id, relation_id, before, after): relations of two revisions whose digests differ; null where one has none."""
+    old = before.select("case_id", "relation_id", F.col("digest").alias("before"))
+    new = after.select("case_id", "relation_id", F.col("digest").alias("after"))
+    return old.join(new, ["case_id", "relation_id"], "full_outer").where(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def union_of_frames(frames: DataFrame) -> DataFrame:
+    """(video_id, first_ms, n_frames, searches, omitted, limitations): the cases of a video's sampled frames as one.
+
+    ``frames`` is (video_id, ms, searches, omitted, limitations), one row for
+    each of the few frames that are sampled of a video. The first frame's case is
+    the one that is kept; searches follow each other in frame order, omitted
+    counts add up, and limitations are kept once, sorted. Evidence, occurrences
+    and relations are rows already and need no union.
+    """
+    in_order = F.array_sort(F.collect_list(F.struct("ms", "searches")))
+    return frames.groupBy("video_id").agg(
+        F.min("ms").alias("first_ms"),
+        F.count(F.lit(1)).alias("n_frames"),
+        F.flatten(F.transform(in_order, lambda f: f["searches"])).alias("searches"),
+        F.sum("omitted").alias("omitted"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("limitations")))).alias("limitations"),
+    )
+
+
+def coverage_measures(evidence: DataFrame, reads: DataFrame) -> DataFrame:
+    """(run_id, n_sources, n_quotes, n_reads, n_failures): what a run retained and read.
+
+    ``evidence`` is (run_id, attribution) and ``reads`` (run_id, outcome); a
+    failure is a fetch that failed or a page that is not the one asked for.
+    """
+    kept = evidence.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_sources"), F.count_if(F.col("attribution") == "page_quote").alias("n_quotes"))
+    failed = F.col("outcome").isin("fetch_failed", "binding_rejected")
+    read = reads.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_reads"), F.count_if(failed).alias("n_failures"))
+    return kept.join(read, "run_id", "full_outer").na.fill(0, ["n_sources", "n_quotes", "n_reads", "n_failures"])
+
+
+def candidate_audit(searches: DataFrame) -> DataFrame:
+    """(run_id, rule): the counts of a topic run's candidate audit that don't agree with each other.
+
+    ``searches`` has a row for each search of a run: run_id, outcome (succeeded,
+    unavailable), returned, retained, normalized, dropped, duplicate, safe,
+    withheld, kept, not_kept, captured, uncaptured, kept_captured, limit.
+    A search's own counts are checked in its row, the run's as sums over them.
+    """
+    c, bad = F.col, F.col("outcome") == "unavailable"
+    own = {
+        "unavailable_is_empty": bad & ((c("returned") != 0) | (c("retained") != 0) | F.coalesce("normalized", "dropped", "duplicate").isNotNull()),
+        "known_outcome": ~c("outcome").isin("succeeded", "unavailable"),
+        "duplicates_within_normalized": ~bad & (c("duplicate") > c("normalized")),
+        "returned_is_normalized_and_dropped": ~bad & (c("normalized") + c("dropped") != c("returned")),
+        "retained_rows_are_captured": ~bad & (c("kept_captured") != c("retained")),
+        "captured_within_unique": ~bad & (c("captured") > c("normalized") - c("duplicate")),
+        "no_negative_count": F.least("returned", "retained", "normalized", "dropped", "duplicate", "safe", "withheld", "kept", "not_kept", "captured", "uncaptured") < 0,
+    }
+    sums = searches.groupBy("run_id").agg(
+        *[F.bool_or(F.coalesce(test, F.lit(False))).alias(name) for name, test in own.items()],
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("retained", "normalized", "duplicate", "safe", "withheld", "kept", "not_kept", "captured", "uncaptured", "kept_captured")],
+        F.max("limit").alias("limit"),
+    )
+    whole = {
+        "unique_is_safe_and_withheld": c("normalized") - c("duplicate") != c("safe") + c("withheld"),
+        "safe_is_kept_and_not_kept": c("safe") != c("kept") + c("not_kept"),
+        "safe_is_captured_and_uncaptured": c("safe") != c("captured") + c("uncaptured"),
+        "captured_up_to_the_limit": c("captured") != F.least("safe", "limit"),
+        "captured_kept_is_kept": c("kept_captured") != c("kept"),
+        "kept_is_retained": c("kept") != c("retained"),
+    }
+    broken = F.array_compact(F.array(*[F.when(c(n), F.lit(n)) for n in own], *[F.when(t, F.lit(n)) for n, t in whole.items()]))
+    return sums.select("run_id", F.explode(broken).alias("rule"))

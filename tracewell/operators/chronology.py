@@ -30,7 +30,7 @@ def roles(candidates: DataFrame) -> DataFrame:
     bucket = (
         F.when(~F.coalesce(dated, F.lit(False)), "undated")
         .when(F.col("core"), "dated_core")
-        .when(F.col("relationship") == "LEAD", "dated_lead")
+        .when(F.col("relationship") == "VISUAL_LEAD", "dated_lead")
         .otherwise("dated_contextual")
     )
     return flags(candidates).select("inv", "cand_id", bucket.alias("bucket"))

@@ -63,19 +63,37 @@ def disagreements(relations: DataFrame) -> DataFrame:
     return of("support", "support_id").join(of("challenge", "challenge_id"), "case_id")
 
 
-def account(relations: DataFrame) -> DataFrame:
-    """(case_id, n_support, n_challenge, n_read, headline) of a case."""
-    rows = relations.groupBy("case_id").agg(
-        F.count_if(F.col("relation") == "support").alias("n_support"),
-        F.count_if(F.col("relation") == "challenge").alias("n_challenge"),
-        F.count_if("read").alias("n_read"),
+# Headlines of an account.
+SAID = "What the sources say."
+HEADLINES = {
+    "both": "The retained excerpts disagree.",
+    "challenge": "There is evidence against this claim.",
+    "support": "There is evidence supporting this claim.",
+    "none": "The claim is still unresolved.",
+}
+
+
+def account(sources: DataFrame, mode: str = "claim") -> DataFrame:
+    """(case_id, n_support, n_challenge, n_read, n_leads, headline) of a case.
+
+    Only sources of a relevance of 50 or more with a quote support or challenge;
+    an item is read if its text is the page's own quote, else a lead. In the mode
+    source_assertions nothing is claimed, and the headline says so.
+    """
+    counts = (F.col("relevance") >= 50) & F.col("quote").isNotNull()
+    read = F.coalesce(F.col("attribution") == "page_quote", F.lit(False))
+    rows = sources.groupBy("case_id").agg(
+        F.count_if(counts & (F.col("relation") == "support")).alias("n_support"),
+        F.count_if(counts & (F.col("relation") == "challenge")).alias("n_challenge"),
+        F.count_if(read).alias("n_read"),
+        F.count_if(~read).alias("n_leads"),
     )
     headline = (
-        F.when((F.col("n_support") > 0) & (F.col("n_challenge") > 0), "contested")
-        .when(F.col("n_support") > 0, "support_found")
-        .when(F.col("n_challenge") > 0, "challenge_found")
-        .when(F.col("n_read") > 0, "context_only")
-        .otherwise("leads_only")
+        F.when(F.lit(mode == "source_assertions"), SAID)
+        .when((F.col("n_support") > 0) & (F.col("n_challenge") > 0), HEADLINES["both"])
+        .when(F.col("n_challenge") > 0, HEADLINES["challenge"])
+        .when(F.col("n_support") > 0, HEADLINES["support"])
+        .otherwise(HEADLINES["none"])
     )
     return rows.withColumn("headline", headline)
 

@@ -81,14 +81,14 @@ def split_composite(raw: Column) -> Column:
 def media_relationship(exact: Column, distance: Column, verified: Column) -> Column:
     """EXACT_MATCH from a validated collection, NEAR_MATCH from a verified distance of eight bits or less, else LEAD."""
     near = F.coalesce((distance <= 8) & verified, F.lit(False))
-    return F.when(F.coalesce(exact, F.lit(False)), "EXACT_MATCH").when(near, "NEAR_MATCH").otherwise("LEAD")
+    return F.when(F.coalesce(exact, F.lit(False)), "EXACT_MATCH").when(near, "NEAR_MATCH").otherwise("VISUAL_LEAD")
 
 
 def recheck_identity(relationship: Column, kinds: Column, verified: Column) -> Column:
     """Demotes an exact match without an exact retrieval, and a near match without a verification, to a lead. Null stays null."""
     exact = F.coalesce(F.array_contains(kinds, "lens_exact"), F.lit(False))
     lost = ((relationship == "EXACT_MATCH") & ~exact) | ((relationship == "NEAR_MATCH") & ~F.coalesce(verified, F.lit(False)))
-    return F.when(lost, "LEAD").otherwise(relationship)
+    return F.when(lost, "VISUAL_LEAD").otherwise(relationship)
 
 
 def attribution_groups(pages: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import dates
 
 # The order of retrieval kinds in a pool, and the strength of relationships.
 KIND_ORDER = {"lens_exact": 0, "lens_visual": 1, "about_image": 2, "google_search": 3, "google_news": 4, "source_link": 5}
-STRENGTH = {"EXACT_MATCH": 2, "NEAR_MATCH": 1, "LEAD": 0}
+STRENGTH = {"EXACT_MATCH": 2, "NEAR_MATCH": 1, "VISUAL_LEAD": 0}
 DATE_SOURCES = {"json_ld": 0, "meta": 1, "time": 2, "provider": 3}
 
 
@@ -29,25 +29,46 @@ def first_known(column: str) -> Column:
     return F.min_by(column, F.when(F.col(column).isNotNull(), F.col("ord")))
 
 
-def by_canonical_url(candidates: DataFrame, fields: tuple[str, ...] = ("title",)) -> DataFrame:
+#: Fields of which the first known value is kept.
+FIELDS = (
+    "title", "snippet", "position", "search_id", "published_at", "date_source", "thumbnail", "image", "page_text", "judgment", "excerpt_source",
+)
+
+
+def by_canonical_url(candidates: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """One row for each (inv, url): the first row's id, the first known value of each field, the strongest relationship.
 
-    Date and precision come together from the first row with a known status.
-    Partial aggregates alone: a URL with very many rows costs one row a task.
+    The strongest relationship comes with its identity evidence, from the first
+    row that has it. Date status and precision come together from the first row
+    with a known status, and the date from the first that has one. Needs ord, as
+    pool_order() gives it; those of ``fields`` and of identity that are no
+    columns are left out. ``kinds`` are the kinds of retrieval; retrievals() has
+    the retrievals themselves. Partial aggregates alone: a URL with very many
+    rows costs one row a task.
     """
+    there = set(candidates.columns)
     known = F.when(F.col("date_status") != "unknown", F.col("ord"))
-    strongest = F.max_by("relationship", F.struct(_lookup(STRENGTH, "relationship", -1), -F.col("ord")))
+    strength = F.struct(_lookup(STRENGTH, "relationship", -1), -F.col("ord"))
+    held = [F.max_by(n, strength).alias(n) for n in ("relationship", "identity") if n in there]
+    dated = [F.min_by(n, known).alias(n) for n in ("precision",) if n in there]
     return candidates.groupBy("inv", "url").agg(
         F.min_by("cand_id", "ord").alias("base_id"),
-        *[first_known(f).alias(f) for f in fields],
-        strongest.alias("relationship"),
-        F.min_by("published_at", known).alias("published_at"),
+        *[first_known(f).alias(f) for f in fields if f in there],
+        *held,
+        *dated,
         F.coalesce(F.min_by("date_status", known), F.lit("unknown")).alias("date_status"),
         F.count(F.lit(1)).alias("n_merged"),
         F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"),
     )
 
 
+def retrievals(candidates: DataFrame) -> DataFrame:
+    """(inv, url, kind, search_id, place): the distinct retrievals of each merged row, in order of their first row, from 1."""
+    once = candidates.groupBy("inv", "url", "kind", "search_id").agg(F.min("ord").alias("ord"))
+    place = F.row_number().over(Window.partitionBy("inv", "url").orderBy("ord"))
+    return once.withColumn("place", place).drop("ord")
+
+
 def resolve_dates(sources: DataFrame) -> DataFrame:
     """(inv, url, value, precision, source, status, n_rejected) from date texts (inv, url, source, value, precision, ord).
 

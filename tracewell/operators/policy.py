@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import dates
+
 RELEVANT, STRONG = 70, 75
 SEPARATE, UNRESOLVED = "separate_origin_evidenced", "unresolved"
 
@@ -111,47 +113,77 @@ def corroborating_pair(candidates: DataFrame, which: str = "conflict") -> DataFr
     return found.groupBy("inv").agg(F.min("least").alias("first_id"), F.min("second").alias("second_id"))
 
 
-def takeaways(candidates: DataFrame) -> DataFrame:
-    """(inv, place, takeaway): at most three of temporal, location, historical reuse and no corroboration, in that order."""
-    strong = flags(candidates).where("core AND relevant").groupBy("inv").agg(
-        F.count_if(at_least("different", STRONG)).alias("temporal"),
-        F.count_if(at_least("loc_different", STRONG)).alias("location"),
-        F.count_if(at_least("contradicts", STRONG)).alias("reuse"),
-        F.count_if("support").alias("support"),
+# The codes of takeaways, in their order.
+TAKEAWAYS = ("temporal_conflict", "location_conflict", "historical_reuse", "no_current_media_corroboration")
+
+
+def takeaways(candidates: DataFrame, claim_day: Column) -> DataFrame:
+    """(inv, place, takeaway, n_evidence, first_id): at most three takeaways in their order, with what supports them.
+
+    A temporal conflict is a relevant core row that predates the claim by over a
+    day; historical reuse is one that is judged a historical reference as well.
+    That nothing current corroborates is said only where news came back at all,
+    and no core row among it; it rests on no evidence.
+    """
+    early = (F.col("date_status") == "usable") & F.coalesce(dates.predates(F.col("published_at"), F.col("precision"), claim_day), F.lit(False))
+    news = F.col("kind") == "google_news"
+    rows = flags(candidates).withColumn("both", F.col("core") & F.col("relevant")).withColumn("early", early)
+    tests = (
+        F.col("both") & F.col("early"),
+        F.col("both") & at_least("loc_different", STRONG),
+        F.col("both") & F.col("early") & at_least("historical", STRONG),
     )
-    named = F.array_compact(
-        F.array(
-            F.when(F.col("temporal") > 0, F.lit("temporal_mismatch")),
-            F.when(F.col("location") > 0, F.lit("location_mismatch")),
-            F.when((F.col("reuse") > 0) & (F.col("temporal") > 0), F.lit("historical_reuse")),
-            F.when(F.col("support") == 0, F.lit("no_current_corroboration")),
-        )
+    found = rows.groupBy("inv").agg(
+        *[x for i, t in enumerate(tests) for x in (F.count_if(t).alias(f"n{i}"), F.min(F.when(t, F.col("cand_id"))).alias(f"id{i}"))],
+        (F.bool_or(news) & ~F.bool_or(news & F.col("core"))).alias("silent"),
     )
-    return strong.select("inv", F.posexplode(F.slice(named, 1, 3)).alias("place", "takeaway"))
+    item = lambda i, n, first: F.struct(F.lit(TAKEAWAYS[i]).alias("takeaway"), n.alias("n_evidence"), first.alias("first_id"))
+    named = [F.when(F.col(f"n{i}") > 0, item(i, F.col(f"n{i}"), F.col(f"id{i}"))) for i in range(3)]
+    named.append(F.when(F.col("silent"), item(3, F.lit(0).cast("long"), F.lit(None).cast("string"))))
+    first = F.slice(F.array_compact(F.array(*named)), 1, 3)
+    return found.select("inv", F.posexplode(first).alias("place", "t")).select("inv", "place", "t.*")
 
 
-def limitations(candidates: DataFrame, judged: Column) -> DataFrame:
-    """(inv, code): classification partial or unavailable, unresolved origins, disputed dates, no dated core."""
-    flagged = flags(candidates).withColumn("judged", judged)
-    dated = F.col("core") & (F.col("date_status") == "usable") & F.col("published_at").isNotNull()
-    pool = flagged.groupBy("inv").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if("judged").alias("n_judged"),
-        F.bool_or(F.col("origin_status") == UNRESOLVED).alias("open"),
+def limitations(candidates: DataFrame, runs: DataFrame) -> DataFrame:
+    """(inv, code): what an investigation could not see, by a fixed vocabulary of seventeen codes.
+
+    ``runs`` has a row for each inv: exact_state (success, empty, malformed,
+    unavailable), search_failed, news_failed, page_failures, deadline, claim_mode,
+    claim_day, attempted and succeeded classifications, and eligible, selected,
+    orderable and compared occurrences.
+    """
+    core = F.col("core")
+    dated = core & (F.col("date_status") == "usable") & F.col("published_at").isNotNull()
+    pool = flags(candidates).groupBy("inv").agg(
+        F.bool_or(core & (F.col("origin_status") == UNRESOLVED)).alias("open_origin"),
+        F.bool_or(F.coalesce(F.col("relationship") == "VISUAL_LEAD", F.lit(False))).alias("visual"),
         F.bool_or(F.col("date_status") == "disputed").alias("disputed"),
-        F.bool_or(dated).alias("dated"),
-    )
-    codes = F.array_compact(
-        F.array(
-            F.when(F.col("n_judged") == 0, F.lit("classification_unavailable")).when(
-                F.col("n_judged") < F.col("n"), F.lit("classification_partial")
-            ),
-            F.when(F.col("open"), F.lit("reporting_origins_unresolved")),
-            F.when(F.col("disputed"), F.lit("dates_disputed")),
-            F.when(~F.col("dated"), F.lit("no_dated_core")),
-        )
+        F.bool_or(F.col("date_status") == "unknown").alias("unknown"),
+        F.count_if(dated).alias("n_dated"),
     )
-    return pool.select("inv", F.explode(codes).alias("code"))
+    c = F.col
+    rules = {
+        "exact_match_retrieval_unavailable": c("exact_state").isin("malformed", "unavailable"),
+        "no_exact_occurrences_returned": c("exact_state") == "empty",
+        "web_context_unavailable": c("search_failed"),
+        "news_unavailable": c("news_failed"),
+        # The surface is no longer offered.
+        "about_this_image_unavailable": F.lit(True),
+        "semantic_classification_unavailable": (c("attempted") > 0) & (c("succeeded") == 0),
+        "semantic_classification_partial": (c("succeeded") > 0) & (c("succeeded") < c("attempted")),
+        "reporting_origins_unresolved": c("open_origin"),
+        "unverified_visual_leads_present": c("visual"),
+        "near_match_verifier_disabled": c("visual"),
+        "page_fetch_partial_failure": c("page_failures") > 0,
+        "analysis_time_limit_reached": c("deadline"),
+        "insufficient_dated_occurrences": F.coalesce(c("n_dated"), F.lit(0)) < 2,
+        "comparison_coverage_incomplete": (c("selected") < c("eligible")) | (c("compared") < c("orderable")),
+        "claim_date_unresolved": c("claim_mode") & c("claim_day").isNull(),
+        "disputed_dates_present": c("disputed"),
+        "unknown_dates_present": c("unknown"),
+    }
+    codes = F.array_compact(F.array(*[F.when(rule, F.lit(code)) for code, rule in rules.items()]))
+    return runs.join(pool, "inv", "left").select("inv", F.explode(codes).alias("code"))
 
 
 def trace_headline(candidates: DataFrame) -> DataFrame:
@@ -164,24 +196,52 @@ def trace_headline(candidates: DataFrame) -> DataFrame:
     return pool.withColumn("headline", F.when(enough, "trace_established").otherwise("trace_limited"))
 
 
-def expansion(candidates: DataFrame) -> DataFrame:
-    """(inv, decision): whether the pool asks for one more search, and why."""
-    day_core = F.col("core") & F.col("relevant") & (F.col("date_status") == "usable") & (F.col("precision") == "day")
-    pool = claim_status(candidates).join(
-        flags(candidates).groupBy("inv").agg(
-            F.count_distinct(F.when(day_core, F.col("domain"))).alias("n_day_domains"),
-            F.count_if(F.col("relevant") & (F.coalesce(F.greatest("same", "different"), F.lit(0)) >= STRONG)).alias("n_clear"),
-        ),
-        "inv",
+def claim_expansion(candidates: DataFrame) -> DataFrame:
+    """(inv, expand, reason): whether a checked claim asks for one more search, and why."""
+    weak = ~at_least("different", STRONG) & ~at_least("same", STRONG)
+    more = flags(candidates).groupBy("inv").agg(
+        F.bool_or(F.col("conflict") & (F.col("origin_status") == UNRESOLVED)).alias("open_conflict"),
+        F.bool_or(F.col("relationship").isNotNull()).alias("visual"),
+        F.coalesce(F.bool_and(F.when(F.col("conflict"), weak)), F.lit(True)).alias("weak"),
+    )
+    c = F.col
+    reason = (
+        F.when(c("status").isin("CONTEXT_CONFLICT", "NO_CONFLICT_FOUND"), "already_conclusive")
+        .when(c("status") == "INSUFFICIENT_EVIDENCE", "insufficient_evidence")
+        .when((c("n_conflicts") == 1) | ~c("corroborated") | c("open_conflict"), "corroboration_limited")
+        .when(c("visual") & c("weak"), "weak_context_evidence")
+        .otherwise("already_conclusive")
     )
-    decision = (
-        F.when(F.col("status").isin("CONTEXT_CONFLICT", "NO_CONFLICT_FOUND"), "conclusive")
-        .when(F.col("n_core") < 3, "insufficient_candidates")
-        .when(~F.col("corroborated") | (F.col("n_day_domains") < 2), "corroboration_limited")
-        .when(F.col("n_clear") == 0, "weak_context")
-        .otherwise("sufficient")
+    pool = claim_status(candidates).join(more, "inv").select("inv", reason.alias("reason"))
+    return pool.select("inv", (c("reason") != "already_conclusive").alias("expand"), "reason")
+
+
+def trace_expansion(candidates: DataFrame, grounded: Column) -> DataFrame:
+    """(inv, expand, reason): a trace is covered by two domains of relevant core rows with a usable day.
+
+    ``grounded`` says, as an expression on inv, whether there is a query to ask.
+    """
+    day = F.col("core") & F.col("relevant") & (F.col("date_status") == "usable") & (F.col("precision") == "day") & F.col("published_at").isNotNull()
+    pool = flags(candidates).groupBy("inv").agg(F.count_distinct(F.when(day, F.col("domain"))).alias("n"))
+    reason = F.when(F.col("n") >= 2, "already_conclusive").when(grounded, "trace_coverage_unmet").otherwise("no_grounded_query")
+    return pool.select("inv", (reason == "trace_coverage_unmet").alias("expand"), reason.alias("reason"))
+
+
+def source_roles(candidates: DataFrame) -> DataFrame:
+    """(inv, cand_id, role_basis, event_role, caption_circulation, correction_publication, original_publication).
+
+    A document's role is a model's assessment or unresolved; an image on a page
+    proves an occurrence of the media and neither that a caption went round nor
+    where it was published first, so those stay unresolved.
+    """
+    judged = F.col("relevance").isNotNull()
+    return flags(candidates).select(
+        "inv",
+        "cand_id",
+        F.when(judged, "model_assessed").otherwise(UNRESOLVED).alias("role_basis"),
+        F.when(F.col("core"), "media_occurrence").otherwise(UNRESOLVED).alias("event_role"),
+        *[F.lit(UNRESOLVED).alias(n) for n in ("caption_circulation", "correction_publication", "original_publication")],
     )
-    return pool.select("inv", decision.alias("decision"))
 
 
 def signals(candidates: DataFrame) -> DataFrame:

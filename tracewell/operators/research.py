@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as text_fn
 from ..functions import urls
+from ..sources.shared import written
+from . import similarity
 
 # Limits of a topic, wordings of accounts and documents, and paths and hosts of publications.
 SEARCHES, SOURCES, CUES = 6, 12, 3
@@ -201,3 +203,73 @@ def without_login(quote: Column, start: Column) -> Column:
 
     parts = F.struct(kind.alias("kind"), quote.alias("quote"), rest.alias("rest"), F.length(prefix).alias("cut"), start.alias("start"))
     return text_fn.let(parts, of)
+
+
+# Fixed value: references that are kept of a statement.
+REFERENCES = 20
+
+
+def appearances(statements: DataFrame) -> DataFrame:
+    """(url, text, id, n, case_ids): each distinct statement of a source, named by its least id, with its first cases.
+
+    ``statements`` is (id, case_id, url, text). ``n`` counts all references;
+    case_ids are those of the first twenty, by id. Only these are gathered.
+    """
+    nth = F.row_number().over(Window.partitionBy("url", "text").orderBy("id"))
+    first = statements.withColumn("nth", nth).where(F.col("nth") <= REFERENCES)
+    first = first.groupBy("url", "text").agg(F.min("id").alias("id"), F.array_sort(F.collect_set("case_id")).alias("case_ids"))
+    every = statements.groupBy("url", "text").agg(F.count(F.lit(1)).alias("n"))
+    return first.join(every, ["url", "text"])
+
+
+def families(statements: DataFrame) -> DataFrame:
+    """(a, b, status) between appearances a < b: same_retained_wording, plausible_connection or same_source_variant.
+
+    Identical texts, or six words in common that are two fifths of all, connect;
+    appearances of one source are variants of it, and don't connect if one case
+    has both. Of identical texts each is linked to the least alone, and of equal
+    word sets of a source one stands for all.
+    """
+    seen = written(appearances(statements), "appearances")
+    sets = seen.select(F.col("url").alias("scope"), "id", text_fn.family_words(F.col("text")).alias("tokens"))
+    classes = similarity.set_classes(sets).withColumn("scope", F.lit("all"))
+    alike = similarity.similar_sets(written(classes, "classes"), 40, least_common=6).select("a", "b")
+    least = seen.groupBy("text").agg(F.min("id").alias("a"))
+    same = seen.select("text", F.col("id").alias("b")).join(least, "text").where("a <> b").select("a", "b")
+    side = lambda n: seen.select(F.col("id").alias(n), F.col("url").alias(n + "_url"), F.col("text").alias(n + "_text"), F.col("case_ids").alias(n + "_cases"))
+    pairs = alike.unionByName(same).distinct().join(side("a"), "a").join(side("b"), "b")
+    one_source = F.col("a_url") == F.col("b_url")
+    pairs = pairs.where(~(one_source & F.arrays_overlap("a_cases", "b_cases")))
+    status = F.when(one_source, "same_source_variant").when(F.col("a_text") == F.col("b_text"), "same_retained_wording").otherwise("plausible_connection")
+    return pairs.select("a", "b", status.alias("status"))
+
+
+# Fixed value: connections that a case's dossier shows.
+CONNECTIONS = 12
+
+
+def connections(statements: DataFrame) -> DataFrame:
+    """(case_id, a, b, status, place): statements of a case, of different evidence and source, that share their wording.
+
+    ``statements`` is (id, case_id, evidence_id, url, text). The same text, or
+    four words in common that are two fifths of all; the first twelve of a case
+    by a, then b. Of a source's equal texts, and of its equal word sets, only the
+    first ones of a case can be among these, and no others are paired.
+    """
+    words = F.array_sort(text_fn.dossier_words(F.col("text")))
+    rows = statements.select("case_id", "id", "evidence_id", "url", "text", words.alias("tokens"))
+    nth = lambda key: F.row_number().over(Window.partitionBy("case_id", "url", key).orderBy("id"))
+    few = CONNECTIONS + 1
+    rows = written(rows.withColumn("nth", nth("text")).where(F.col("nth") <= few), "statements")
+    sets = rows.withColumn("nth", nth("tokens")).where(F.col("nth") <= few).select(F.col("case_id").alias("scope"), "id", "tokens")
+    # Each of these few stands for itself.
+    classes = similarity.set_classes(sets).withColumn("rep", F.col("id"))
+    alike = similarity.similar_sets(written(classes, "classes"), 40, least_common=4).select(F.col("scope").alias("case_id"), "a", "b")
+    side = lambda n: rows.select("case_id", F.col("id").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("text", "evidence_id", "url")])
+    left, right = side("a"), side("b")
+    same = left.join(right, (left.case_id == right.case_id) & (F.col("a_text") == F.col("b_text"))).where("a < b").select(left.case_id, "a", "b")
+    pairs = alike.unionByName(same).distinct().join(left, ["case_id", "a"]).join(right, ["case_id", "b"])
+    pairs = pairs.where("a_evidence_id <> b_evidence_id AND a_url <> b_url")
+    status = F.when(F.col("a_text") == F.col("b_text"), "same_retained_wording").otherwise("plausible_connection")
+    place = F.row_number().over(Window.partitionBy("case_id").orderBy("a", "b"))
+    return pairs.select("case_id", "a", "b", status.alias("status")).withColumn("place", place).where(F.col("place") <= CONNECTIONS)

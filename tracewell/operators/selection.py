@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import dates, urls
+from ..functions.text import let
 from .policy import STRONG, UNRESOLVED, at_least, flags
 
 # Rows kept for each kind of retrieval.
@@ -43,37 +47,79 @@ def for_classification(candidates: DataFrame, most: int = 24) -> DataFrame:
 
 
 def deep_reads(candidates: DataFrame, most: int = 5) -> DataFrame:
-    """(inv, cand_id, role, place): at most five pages to read, each the best row of its role not yet taken.
-
-    Roles in order: core anchor, conflict, support, current reporting, historical
-    lead, filler. Only the first rows of each role can be taken, since at most
-    five are, so the rounds run over a few rows of each investigation.
+    """(inv, cand_id, role, place): at most five pages to read, no row twice.
+
+    In order: the core anchor (the earliest dated core row, else the strongest
+    judged one), the strongest unresolved conflict of another domain than the
+    anchor's, the strongest support, the strongest fact check, the strongest
+    current report. Each of these is one winner, which is not replaced if it is
+    taken already. Without a dated core row, judged core rows follow, those of
+    new domains first, and then one historical lead, if none is among the rows
+    taken. Judged rows fill up. "Strongest" is by relevance, rank, id; a row is
+    judged if it has a relevance. Needs url and cue (whether its texts hint at an
+    earlier use of the media) as well.
+
+    Winners are partial aggregates; of the later roles only the first rows of an
+    investigation can be taken, so a bounded number of them is gathered.
     """
-    rows = flags(candidates)
-    dated = (F.col("date_status") == "usable") & F.col("published_at").isNotNull()
-    role = lambda name, n, test: F.when(test, F.struct(F.lit(n).alias("n"), F.lit(name).alias("role")))
-    fits = F.array_compact(
-        F.array(
-            role("core_anchor", 1, F.col("core") & dated),
-            role("conflict", 2, F.col("conflict")),
-            role("support", 3, F.col("support")),
-            role("current_reporting", 4, F.col("relevant") & (F.col("kind") == "google_news")),
-            role("historical_lead", 5, ~F.col("core") & dated & F.col("relevant")),
-            role("filler", 6, F.col("relevant")),
-        )
-    )
-    each = rows.select("inv", "cand_id", "relevance", "position", F.explode(fits).alias("f")).select("inv", "cand_id", "relevance", "position", "f.*")
-    best = Window.partitionBy("inv", "n").orderBy(F.desc_nulls_last("relevance"), F.col("position").asc_nulls_last(), "cand_id")
-    each = each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).withColumn("taken_as", F.lit(0))
-    for n in range(1, 7):
-        own = Window.partitionBy("inv", "cand_id")
-        free = (F.col("n") == n) & (F.max("taken_as").over(own) == 0)
-        first = F.min(F.when(F.col("free"), F.col("rank"))).over(Window.partitionBy("inv"))
-        each = each.withColumn("free", free).withColumn("first", first)
-        each = each.withColumn("taken_as", F.when(F.col("free") & (F.col("rank") == F.col("first")), n).otherwise(F.col("taken_as")))
-    place = F.row_number().over(Window.partitionBy("inv").orderBy("n"))
-    taken = each.where("taken_as = n").withColumn("place", place)
-    return taken.where(F.col("place") <= most).select("inv", "cand_id", "role", "place")
+    c = F.col
+    judged, safe = c("relevance").isNotNull(), urls.safe_reference(c("url"))
+    rows = flags(candidates).withColumn("judged", judged).withColumn("lead", c("relevant") & safe & F.coalesce(c("cue"), F.lit(False)))
+    strongest = F.struct((-F.coalesce(c("relevance"), F.lit(0))).alias("weak"), F.coalesce(c("position"), F.lit(10**9)).alias("rank"), c("cand_id").alias("id"))
+    row = F.struct("cand_id", "domain", "lead")
+    rows = rows.withColumn("by", strongest).withColumn("row", row).withColumn("dated", c("core") & (c("date_status") == "usable") & c("published_at").isNotNull())
+    checked = F.struct((-c("fact_check")).alias("check"), c("by"))
+    days = F.struct(dates.day_start(c("published_at"), c("precision")).alias("a"), dates.day_end(c("published_at"), c("precision")).alias("b"), "cand_id")
+    news = F.coalesce((c("kind") == "google_news") | at_least("reporting", STRONG), F.lit(False))
+    winners = rows.groupBy("inv").agg(
+        F.min_by("row", F.when(c("dated"), days)).alias("first_dated"),
+        F.min_by("row", F.when(c("core") & c("judged"), c("by"))).alias("first_core"),
+        F.min_by("row", F.when(c("support"), c("by"))).alias("support"),
+        F.min_by("row", F.when(c("fact_check") > 0, checked)).alias("fact_check"),
+        F.min_by("row", F.when(news, c("by"))).alias("current_reporting"),
+    ).withColumn("core_anchor", F.coalesce("first_dated", "first_core"))
+    anchors = winners.select("inv", c("core_anchor.domain").alias("anchor_domain"))
+    against = rows.where(c("conflict") & (c("origin_status") == UNRESOLVED)).join(anchors, "inv")
+    against = against.where(~c("domain").eqNullSafe(c("anchor_domain"))).groupBy("inv").agg(F.min_by("row", "by").alias("conflict"))
+
+    # Of each later role at most twice as many rows as are taken can matter.
+    core = rows.where(c("core") & c("judged"))
+    of_domains = core.groupBy("inv", "domain").agg(F.min_by("row", "by").alias("row"), F.min("by").alias("by")).drop("domain")
+    pools = [of_domains.withColumn("pool", F.lit("domains"))]
+    for name, some in (("core", core), ("leads", rows.where("lead")), ("judged", rows.where("judged"))):
+        pools.append(some.select("inv", "row", "by", F.lit(name).alias("pool")))
+    pool = functools.reduce(DataFrame.unionByName, pools)
+    nth = F.row_number().over(Window.partitionBy("inv", "pool").orderBy("by"))
+    few = pool.withColumn("nth", nth).where(c("nth") <= 2 * most)
+    in_order = lambda name: F.transform(F.array_sort(F.collect_list(F.when(c("pool") == name, F.struct("by", "row")))), lambda x: x["row"])
+    few = few.groupBy("inv").agg(*[in_order(n).alias(n) for n in ("domains", "core", "leads", "judged")])
+
+    taken_as = lambda r, role: F.struct(F.lit(role).alias("role"), r["cand_id"].alias("cand_id"), r["domain"].alias("domain"), r["lead"].alias("lead"))
+    kind = "array<struct<role:string,cand_id:string,domain:string,lead:boolean>>"
+    has = lambda taken, field, value: F.exists(taken, lambda t: t[field].eqNullSafe(value))
+
+    def add(taken, r, role, also=lambda taken, r: F.lit(True)):
+        def added(t):
+            fits = r["cand_id"].isNotNull() & (F.size(t) < most) & ~has(t, "cand_id", r["cand_id"]) & also(t, r)
+            return F.when(fits, F.concat(t, F.array(taken_as(r, role)))).otherwise(t)
+
+        return let(taken, added)
+
+    def fill(taken, rows_, role, also=lambda taken, r: F.lit(True)):
+        return F.aggregate(rows_, taken, lambda acc, r: add(acc, r, role, also))
+
+    plan = winners.join(against, "inv", "left").join(few, "inv", "left").withColumn("taken", F.array().cast(kind))
+    for role in ("core_anchor", "conflict", "support", "fact_check", "current_reporting"):
+        plan = plan.withColumn("taken", add(c("taken"), c(role), role))
+    plan = plan.withColumn("undated", c("first_dated").isNull())
+    none = F.array().cast("array<struct<cand_id:string,domain:string,lead:boolean>>")
+    if_undated = lambda name: F.when(c("undated"), F.coalesce(c(name), none)).otherwise(none)
+    new_domain = lambda taken, r: ~has(taken, "domain", r["domain"])
+    plan = plan.withColumn("taken", fill(c("taken"), if_undated("domains"), "core_recovery", new_domain))
+    plan = plan.withColumn("taken", fill(c("taken"), if_undated("core"), "core_recovery"))
+    plan = plan.withColumn("taken", fill(c("taken"), if_undated("leads"), "historical_lead", lambda taken, r: ~F.exists(taken, lambda t: t["lead"])))
+    plan = plan.withColumn("taken", fill(c("taken"), F.coalesce(c("judged"), none), "filler"))
+    return plan.select("inv", F.posexplode("taken").alias("n", "t")).select("inv", "t.cand_id", "t.role", (c("n") + 1).alias("place"))
 
 
 def best_paragraphs(paragraphs: DataFrame, claims: DataFrame, most: int = 3) -> DataFrame:
@@ -87,7 +133,3 @@ def best_paragraphs(paragraphs: DataFrame, claims: DataFrame, most: int = 3) ->
     shared = said.join(asked, "word").groupBy("claim_id", "page_id", "ord").agg(F.count(F.lit(1)).alias("overlap"))
     by = Window.partitionBy("claim_id", "page_id").orderBy(F.desc("overlap"), "ord")
     return shared.withColumn("place", F.row_number().over(by)).where(F.col("place") <= most)
-
-
-def strong(name: str):
-    return at_least(name, STRONG)

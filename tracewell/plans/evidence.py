@@ -67,9 +67,9 @@ QUERIES = {
 
 ORACLE_SQL = {
     "media_relationships": f"""WITH {CANDIDATES} SELECT inv, cand_id, CASE WHEN kind = 'lens_exact' THEN 'EXACT_MATCH'
-        WHEN position <= 8 AND origin_status <> 'unresolved' THEN 'NEAR_MATCH' ELSE 'LEAD' END AS found FROM cand_v""",
-    "identity_recheck": f"""WITH {CANDIDATES} SELECT inv, cand_id, CASE WHEN relationship = 'EXACT_MATCH' AND kind <> 'lens_exact' THEN 'LEAD'
-        WHEN relationship = 'NEAR_MATCH' AND origin_status = 'unresolved' THEN 'LEAD' ELSE relationship END AS kept FROM cand_v""",
+        WHEN position <= 8 AND origin_status <> 'unresolved' THEN 'NEAR_MATCH' ELSE 'VISUAL_LEAD' END AS found FROM cand_v""",
+    "identity_recheck": f"""WITH {CANDIDATES} SELECT inv, cand_id, CASE WHEN relationship = 'EXACT_MATCH' AND kind <> 'lens_exact' THEN 'VISUAL_LEAD'
+        WHEN relationship = 'NEAR_MATCH' AND origin_status = 'unresolved' THEN 'VISUAL_LEAD' ELSE relationship END AS kept FROM cand_v""",
     "distribution_checks": """SELECT l_linenumber % 2 = 0 AS even, CASE WHEN l_linenumber % 2 = 0 THEN 1 - l_discount - l_tax ELSE l_tax END
         >= greatest(l_discount, l_tax, 1 - l_discount - l_tax) - 0.001 AS valid, count(*) AS n FROM lineitem GROUP BY ALL""",
     "text_anchors": """SELECT doc_id, coalesce(substr(text, 10 + CAST(doc_id % 2 AS INT), length(substr(text, 10, 20))) = substr(text, 10, 20), false) AS holds

@@ -80,11 +80,40 @@ def corroborating_pairs(spark, sf_dir):
 
 
 def takeaways(spark, sf_dir):
-    return policy.takeaways(candidates(spark, sf_dir))
+    """What a claim of 1995-06-15 makes of its investigation's candidates."""
+    return policy.takeaways(candidates(spark, sf_dir), F.lit("1995-06-15").cast("date"))
+
+
+def _runs(rows: DataFrame) -> DataFrame:
+    """How each investigation ran: states and failures from its number, coverage from its pool."""
+    i = F.col("inv")
+    core = (F.col("relationship") != "VISUAL_LEAD") & (F.col("date_status") == "usable")
+    pool = rows.groupBy("inv").agg(
+        F.count(F.lit(1)).alias("attempted"), F.count_if(F.col("position") % 5 != 0).alias("some"), F.count_if(core).alias("eligible")
+    )
+    states = F.array(*[F.lit(x) for x in ("success", "empty", "malformed", "unavailable")])
+    pool = pool.withColumn("selected", F.least("eligible", F.lit(8).cast("long")))
+    return pool.select(
+        "inv",
+        F.element_at(states, (i % 4 + 1).cast("int")).alias("exact_state"),
+        (i % 7 == 0).alias("search_failed"),
+        (i % 5 == 0).alias("news_failed"),
+        (i % 3).alias("page_failures"),
+        (i % 11 == 0).alias("deadline"),
+        (i % 2 == 0).alias("claim_mode"),
+        F.when(i % 6 != 0, F.lit("1995-06-15").cast("date")).alias("claim_day"),
+        "attempted",
+        F.when(i % 13 == 0, 0).otherwise(F.col("some")).alias("succeeded"),
+        "eligible",
+        "selected",
+        F.greatest(F.col("selected") - 1, F.lit(0)).alias("orderable"),
+        F.greatest(F.col("selected") - 1 - i % 2, F.lit(0)).alias("compared"),
+    )
 
 
 def limitation_codes(spark, sf_dir):
-    return policy.limitations(candidates(spark, sf_dir), F.col("position") % 5 != 0)
+    rows = candidates(spark, sf_dir)
+    return policy.limitations(rows, _runs(rows))
 
 
 def trace_headline(spark, sf_dir):
@@ -92,7 +121,22 @@ def trace_headline(spark, sf_dir):
 
 
 def expansion_decision(spark, sf_dir):
-    return policy.expansion(candidates(spark, sf_dir))
+    return policy.claim_expansion(candidates(spark, sf_dir))
+
+
+def trace_expansion(spark, sf_dir):
+    """Two of three investigations have a query to ask."""
+    return policy.trace_expansion(candidates(spark, sf_dir), F.col("inv") % 3 != 0)
+
+
+def _partly_judged(rows: DataFrame) -> DataFrame:
+    """Every fifth rank has no judgment."""
+    names = ("relevance", "same", "different", "supports", "contradicts", "loc_different", "historical", "fact_check", "reporting")
+    return rows.withColumns({n: F.when(F.col("position") % 5 != 0, F.col(n)) for n in names})
+
+
+def source_roles(spark, sf_dir):
+    return policy.source_roles(_partly_judged(candidates(spark, sf_dir)))
 
 
 def signal_rows(spark, sf_dir):
@@ -167,7 +211,30 @@ def predates_claim(spark, sf_dir):
 
 
 def merged_candidates(spark, sf_dir):
-    return merge.by_canonical_url(merge.pool_order(candidates(spark, sf_dir)))
+    """Candidates with fields that some rows lack: titles, snippets, ranks, search ids, dates, images, texts and judgments."""
+    return merge.by_canonical_url(_retrieved(spark, sf_dir))
+
+
+def _retrieved(spark, sf_dir) -> DataFrame:
+    c, n = F.col, F.col("position")
+    rows = candidates(spark, sf_dir).withColumns({
+        "date_status": F.when(n % 4 == 0, "unknown").otherwise(c("date_status")),
+        "search_id": F.when(n % 3 != 0, F.concat(F.lit("s"), n % 6)),
+        "snippet": F.when(n % 2 == 0, F.concat(F.lit("snippet "), c("cand_id"))),
+        "date_source": F.when(n % 5 != 0, F.concat(F.lit("source "), n % 7)),
+        "thumbnail": F.when(n % 7 == 0, F.concat(F.lit("thumb "), c("cand_id"))),
+        "image": F.when(n % 6 == 0, F.concat(F.lit("image "), c("cand_id"))),
+        "page_text": F.when(n % 9 == 0, F.concat(F.lit("text "), c("cand_id"))),
+        "judgment": F.when(n % 8 != 0, c("relevance")),
+        "excerpt_source": F.when(n % 10 == 0, F.lit("page")),
+        "identity": F.when(c("relationship") != "VISUAL_LEAD", F.concat(F.lit("hash "), c("cand_id"))),
+    })
+    rows = rows.withColumn("published_at", F.when(c("date_status") != "unknown", c("published_at")))
+    return merge.pool_order(rows).withColumn("position", F.when(n % 11 != 0, n))
+
+
+def merged_retrievals(spark, sf_dir):
+    return merge.retrievals(_retrieved(spark, sf_dir))
 
 
 def retained_candidates(spark, sf_dir):
@@ -179,16 +246,17 @@ def classification_selection(spark, sf_dir):
 
 
 def deep_read_plan(spark, sf_dir):
-    return selection.deep_reads(candidates(spark, sf_dir))
+    """Up to five pages of each investigation to read; every fourth rank has a historical cue."""
+    return selection.deep_reads(_partly_judged(candidates(spark, sf_dir)).withColumn("cue", F.col("position") % 4 == 0))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         claim_status, claim_status_with_divergence, policy_gates, corroborating_pairs, takeaways, limitation_codes, trace_headline,
-        expansion_decision, signal_rows, reporting_groups, provenance_metrics, occurrence_roles, chronological_order, selected_occurrences,
+        expansion_decision, trace_expansion, source_roles, signal_rows, reporting_groups, provenance_metrics, occurrence_roles, chronological_order, selected_occurrences,
         context_segments, segment_counts, divergence_edges, sampled_divergences, timeline_rows, graph_nodes, claim_comparisons,
-        context_labels, predates_claim, merged_candidates, retained_candidates, classification_selection, deep_read_plan,
+        context_labels, predates_claim, merged_candidates, merged_retrievals, retained_candidates, classification_selection, deep_read_plan,
     )
 }
 
@@ -197,6 +265,19 @@ div_v AS (SELECT *, row_number() OVER (PARTITION BY inv ORDER BY pos) AS nth FRO
     SELECT *, sum(brk) OVER (PARTITION BY inv ORDER BY pos) AS breaks FROM seg_v) WHERE change = 1)
 """
 
+MERGED = """
+raw_v AS (SELECT *, row_number() OVER (PARTITION BY inv ORDER BY CASE kind WHEN 'lens_exact' THEN 0 WHEN 'lens_visual' THEN 1
+    WHEN 'about_image' THEN 2 WHEN 'google_search' THEN 3 WHEN 'google_news' THEN 4 ELSE 5 END, position, cand_id) AS ord, position AS n FROM cand_v),
+mer_v AS (SELECT * REPLACE (CASE WHEN n % 4 = 0 THEN 'unknown' ELSE date_status END AS date_status, CASE WHEN n % 4 <> 0 THEN published_at END AS published_at,
+    CASE WHEN n % 11 <> 0 THEN position END AS position), CASE WHEN n % 3 <> 0 THEN 's' || (n % 6) END AS search_id,
+    CASE WHEN n % 2 = 0 THEN 'snippet ' || cand_id END AS snippet, CASE WHEN n % 5 <> 0 THEN 'source ' || (n % 7) END AS date_source,
+    CASE WHEN n % 7 = 0 THEN 'thumb ' || cand_id END AS thumbnail, CASE WHEN n % 6 = 0 THEN 'image ' || cand_id END AS image,
+    CASE WHEN n % 9 = 0 THEN 'text ' || cand_id END AS page_text, CASE WHEN n % 8 <> 0 THEN relevance END AS judgment,
+    CASE WHEN n % 10 = 0 THEN 'page' END AS excerpt_source, CASE WHEN relationship <> 'VISUAL_LEAD' THEN 'hash ' || cand_id END AS identity,
+    CASE relationship WHEN 'EXACT_MATCH' THEN 2 WHEN 'NEAR_MATCH' THEN 1 ELSE 0 END AS strength FROM raw_v)
+"""
+FIRST_KNOWN = ", ".join(f"arg_min({f}, ord) FILTER ({f} IS NOT NULL) AS {f}" for f in merge.FIELDS)
+
 ORACLE_SQL = {
     "claim_status": f"{WITH}, {STATUS} SELECT {STATUS_COLUMNS}, {LIMITED} FROM status_v",
     "claim_status_with_divergence": f"""WITH {DIVERGENCES}, {STATUS}
@@ -215,32 +296,47 @@ ORACLE_SQL = {
         FROM core_v a JOIN core_v b ON a.inv = b.inv AND a.conflict AND b.conflict AND a.domain <> b.domain AND a.grp <> b.grp
           AND a.cand_id < b.cand_id AND a.origin_status = 'separate_origin_evidenced' AND b.origin_status = 'separate_origin_evidenced')
         SELECT inv, first_id, second_id FROM p WHERE n = 1""",
-    "takeaways": f"""{WITH}, c AS (SELECT inv, count(*) FILTER (different >= 75) AS temporal, count(*) FILTER (loc_different >= 75) AS location,
-          count(*) FILTER (contradicts >= 75) AS reuse, count(*) FILTER (support) AS support
-        FROM core_v WHERE core AND relevant GROUP BY inv),
-        n AS (SELECT inv, 1 AS o, 'temporal_mismatch' AS takeaway FROM c WHERE temporal > 0
-          UNION ALL SELECT inv, 2, 'location_mismatch' FROM c WHERE location > 0
-          UNION ALL SELECT inv, 3, 'historical_reuse' FROM c WHERE reuse > 0 AND temporal > 0
-          UNION ALL SELECT inv, 4, 'no_current_corroboration' FROM c WHERE support = 0),
-        r AS (SELECT inv, takeaway, CAST(row_number() OVER (PARTITION BY inv ORDER BY o) - 1 AS INT) AS place FROM n)
+    "takeaways": f"""{WITH}, e AS (SELECT *, core AND relevant AS both_, date_status = 'usable' AND CAST(CASE precision WHEN 'day' THEN published_at
+          WHEN 'month' THEN strftime(last_day(CAST(published_at || '-01' AS DATE)), '%Y-%m-%d') ELSE published_at || '-12-31' END AS DATE)
+          < DATE '1995-06-14' AS early FROM core_v),
+        n AS (SELECT inv, 1 AS o, 'temporal_conflict' AS takeaway, count(*) AS n_evidence, min(cand_id) AS first_id FROM e WHERE both_ AND early GROUP BY inv
+          UNION ALL SELECT inv, 2, 'location_conflict', count(*), min(cand_id) FROM e WHERE both_ AND loc_different >= 75 GROUP BY inv
+          UNION ALL SELECT inv, 3, 'historical_reuse', count(*), min(cand_id) FROM e WHERE both_ AND early AND historical >= 75 GROUP BY inv
+          UNION ALL SELECT inv, 4, 'no_current_media_corroboration', 0, NULL FROM e GROUP BY inv
+            HAVING bool_or(kind = 'google_news') AND NOT bool_or(kind = 'google_news' AND core)),
+        r AS (SELECT inv, takeaway, n_evidence, first_id, CAST(row_number() OVER (PARTITION BY inv ORDER BY o) - 1 AS INT) AS place FROM n)
         SELECT * FROM r WHERE place < 3""",
-    "limitation_codes": f"""{WITH}, p AS (SELECT inv, count(*) AS n, count(*) FILTER (position % 5 <> 0) AS judged,
-          bool_or(origin_status = 'unresolved') AS open, bool_or(date_status = 'disputed') AS disputed,
-          bool_or(core AND date_status = 'usable') AS dated FROM core_v GROUP BY inv)
-        SELECT inv, CASE WHEN judged = 0 THEN 'classification_unavailable' ELSE 'classification_partial' END AS code FROM p WHERE judged < n
-        UNION ALL SELECT inv, 'reporting_origins_unresolved' FROM p WHERE open
-        UNION ALL SELECT inv, 'dates_disputed' FROM p WHERE disputed
-        UNION ALL SELECT inv, 'no_dated_core' FROM p WHERE NOT dated""",
+    "limitation_codes": f"""{WITH}, p AS (SELECT inv, count(*) AS attempted, count(*) FILTER (position % 5 <> 0 AND inv % 13 <> 0) AS succeeded,
+          count(*) FILTER (core AND date_status = 'usable') AS eligible, bool_or(core AND origin_status = 'unresolved') AS open_origin,
+          bool_or(relationship = 'VISUAL_LEAD') AS visual, bool_or(date_status = 'disputed') AS disputed, bool_or(date_status = 'unknown') AS unknown_
+        FROM core_v GROUP BY inv),
+        c AS (SELECT *, least(eligible, 8) AS selected FROM p)
+        SELECT inv, unnest(list_filter([CASE WHEN inv % 4 IN (2, 3) THEN 'exact_match_retrieval_unavailable' END,
+          CASE WHEN inv % 4 = 1 THEN 'no_exact_occurrences_returned' END, CASE WHEN inv % 7 = 0 THEN 'web_context_unavailable' END,
+          CASE WHEN inv % 5 = 0 THEN 'news_unavailable' END, 'about_this_image_unavailable',
+          CASE WHEN succeeded = 0 THEN 'semantic_classification_unavailable' WHEN succeeded < attempted THEN 'semantic_classification_partial' END,
+          CASE WHEN open_origin THEN 'reporting_origins_unresolved' END, CASE WHEN visual THEN 'unverified_visual_leads_present' END,
+          CASE WHEN visual THEN 'near_match_verifier_disabled' END, CASE WHEN inv % 3 > 0 THEN 'page_fetch_partial_failure' END,
+          CASE WHEN inv % 11 = 0 THEN 'analysis_time_limit_reached' END, CASE WHEN eligible < 2 THEN 'insufficient_dated_occurrences' END,
+          CASE WHEN selected < eligible OR greatest(selected - 1 - inv % 2, 0) < greatest(selected - 1, 0) THEN 'comparison_coverage_incomplete' END,
+          CASE WHEN inv % 6 = 0 THEN 'claim_date_unresolved' END, CASE WHEN disputed THEN 'disputed_dates_present' END,
+          CASE WHEN unknown_ THEN 'unknown_dates_present' END], lambda x: x IS NOT NULL)) AS code FROM c""",
     "trace_headline": f"""{WITH}, p AS (SELECT inv, count(*) FILTER (core AND relevant) AS n_relevant_core,
           count(*) FILTER (core AND date_status = 'usable') AS n_dated_core FROM core_v GROUP BY inv)
         SELECT *, CASE WHEN n_relevant_core >= 2 AND n_dated_core >= 2 THEN 'trace_established' ELSE 'trace_limited' END AS headline FROM p""",
-    "expansion_decision": f"""{WITH}, {STATUS}, x AS (SELECT inv,
-          count(DISTINCT domain) FILTER (core AND relevant AND date_status = 'usable' AND precision = 'day') AS n_day_domains,
-          count(*) FILTER (relevant AND greatest(same, different) >= 75) AS n_clear FROM core_v GROUP BY inv)
-        SELECT s.inv, CASE WHEN status IN ('CONTEXT_CONFLICT', 'NO_CONFLICT_FOUND') THEN 'conclusive'
-          WHEN n_core < 3 THEN 'insufficient_candidates' WHEN NOT corroborated OR n_day_domains < 2 THEN 'corroboration_limited'
-          WHEN n_clear = 0 THEN 'weak_context' ELSE 'sufficient' END AS decision
-        FROM status_v s JOIN x ON s.inv = x.inv""",
+    "expansion_decision": f"""{WITH}, {STATUS}, x AS (SELECT inv, bool_and(different < 75 AND same < 75) FILTER (conflict) AS weak FROM core_v GROUP BY inv),
+        r AS (SELECT s.inv, CASE WHEN status IN ('CONTEXT_CONFLICT', 'NO_CONFLICT_FOUND') THEN 'already_conclusive'
+          WHEN status = 'INSUFFICIENT_EVIDENCE' THEN 'insufficient_evidence'
+          WHEN n_conflicts = 1 OR NOT corroborated OR open_conflicts > 0 THEN 'corroboration_limited'
+          WHEN coalesce(weak, true) THEN 'weak_context_evidence' ELSE 'already_conclusive' END AS reason FROM status_v s JOIN x ON s.inv = x.inv)
+        SELECT inv, reason <> 'already_conclusive' AS expand, reason FROM r""",
+    "trace_expansion": f"""{WITH}, x AS (SELECT inv, count(DISTINCT domain) FILTER (core AND relevant AND date_status = 'usable' AND precision = 'day') AS n
+          FROM core_v GROUP BY inv)
+        SELECT inv, n < 2 AND inv % 3 <> 0 AS expand, CASE WHEN n >= 2 THEN 'already_conclusive' WHEN inv % 3 <> 0 THEN 'trace_coverage_unmet'
+          ELSE 'no_grounded_query' END AS reason FROM x""",
+    "source_roles": f"""{WITH} SELECT inv, cand_id, CASE WHEN position % 5 <> 0 THEN 'model_assessed' ELSE 'unresolved' END AS role_basis,
+          CASE WHEN core THEN 'media_occurrence' ELSE 'unresolved' END AS event_role, 'unresolved' AS caption_circulation,
+          'unresolved' AS correction_publication, 'unresolved' AS original_publication FROM core_v""",
     "signal_rows": f"""{WITH} SELECT inv, cand_id, 'same' AS signal, same AS percent FROM core_v WHERE relevant AND same >= 75
         UNION ALL SELECT inv, cand_id, 'different', different FROM core_v WHERE relevant AND different >= 75
         UNION ALL SELECT inv, cand_id, 'supports', supports FROM core_v WHERE relevant AND supports >= 75
@@ -277,13 +373,14 @@ ORACLE_SQL = {
     "predates_claim": f"""{WITH} SELECT inv, cand_id, CAST(CASE precision WHEN 'day' THEN published_at
           WHEN 'month' THEN strftime(last_day(CAST(published_at || '-01' AS DATE)), '%Y-%m-%d') ELSE published_at || '-12-31' END AS DATE)
           < DATE '1995-06-14' AS predates FROM cand_v""",
-    "merged_candidates": f"""{WITH}, o AS (SELECT *, row_number() OVER (PARTITION BY inv ORDER BY CASE kind WHEN 'lens_exact' THEN 0 WHEN 'lens_visual' THEN 1
-            WHEN 'about_image' THEN 2 WHEN 'google_search' THEN 3 WHEN 'google_news' THEN 4 ELSE 5 END, position, cand_id) AS ord FROM cand_v)
-        SELECT inv, url, arg_min(cand_id, ord) AS base_id, arg_min(title, ord) FILTER (title IS NOT NULL) AS title,
-          CASE max(CASE relationship WHEN 'EXACT_MATCH' THEN 2 WHEN 'NEAR_MATCH' THEN 1 ELSE 0 END) WHEN 2 THEN 'EXACT_MATCH' WHEN 1 THEN 'NEAR_MATCH'
-            ELSE 'LEAD' END AS relationship,
-          arg_min(published_at, ord) AS published_at, arg_min(date_status, ord) AS date_status, count(*) AS n_merged,
-          array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds FROM o GROUP BY inv, url""",
+    "merged_candidates": f"""{WITH}, {MERGED} SELECT inv, url, arg_min(cand_id, ord) AS base_id, {FIRST_KNOWN},
+          arg_max(relationship, strength * 10000000 - ord) AS relationship,
+          arg_max(struct_pack(v := identity), strength * 10000000 - ord).v AS identity,
+          arg_min(precision, ord) FILTER (date_status <> 'unknown') AS precision,
+          coalesce(arg_min(date_status, ord) FILTER (date_status <> 'unknown'), 'unknown') AS date_status, count(*) AS n_merged,
+          array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds FROM mer_v GROUP BY inv, url""",
+    "merged_retrievals": f"""{WITH}, {MERGED} SELECT inv, url, kind, search_id,
+          CAST(row_number() OVER (PARTITION BY inv, url ORDER BY min(ord)) AS INT) AS place FROM mer_v GROUP BY inv, url, kind, search_id""",
     "retained_candidates": f"""{WITH}, n AS (SELECT inv, count(*) FILTER (kind = 'source_link') AS links FROM cand_v GROUP BY inv),
         r AS (SELECT c.inv, cand_id, kind, CAST(row_number() OVER (PARTITION BY c.inv, kind ORDER BY position, cand_id) AS INT) AS place,
           CASE kind WHEN 'lens_exact' THEN 8 WHEN 'lens_visual' THEN 8 WHEN 'google_news' THEN 5 WHEN 'about_image' THEN 5 WHEN 'source_link' THEN 1

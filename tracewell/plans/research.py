@@ -26,6 +26,14 @@ def question_searches(spark, sf_dir):
     return found.select("item_id", "focus", "place", "s.q", "s.purpose")
 
 
+def explicit_claims(spark, sf_dir):
+    """Benchmark texts as topics: labelled, asked, asserted and bare."""
+    kind = F.col("item_id") % 4
+    head, tail = F.when(kind == 0, "Claim: ").when(kind == 1, "Is it ").otherwise(" "), F.when(kind == 2, " was fabricated").otherwise("")
+    topic = F.concat(head, F.coalesce("text", F.lit("")), tail)
+    return table(spark, sf_dir, "benchmark").select("item_id", questions.explicit_claim(topic).alias("claim"))
+
+
 def topic_sources(spark, sf_dir):
     """Documents as leads of a benchmark text's first words; every eleventh is a bare report."""
     topics = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract("text", r"^(?:\S+\s+){0,7}\S+", 0).alias("topic"))
@@ -97,7 +105,7 @@ def quotes_without_login(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (question_searches, topic_sources, source_statements, facet_statements, alternate_fact_checks, checked_findings, quotes_without_login)
+    for f in (question_searches, explicit_claims, topic_sources, source_statements, facet_statements, alternate_fact_checks, checked_findings, quotes_without_login)
 }
 
 
@@ -157,6 +165,10 @@ state_v AS (SELECT * FROM (SELECT question_id, evidence_id, ord, sentence, len(l
 _FACET_ROWS = " UNION ALL ".join(f"SELECT '{f}' AS facet, {_text(p)} AS pattern" for f, p in FACETS)
 
 ORACLE_SQL = {
+    "explicit_claims": f"""WITH t AS (SELECT item_id, trim(CASE item_id % 4 WHEN 0 THEN 'Claim: ' WHEN 1 THEN 'Is it ' ELSE ' ' END || coalesce(text, '')
+          || CASE WHEN item_id % 4 = 2 THEN ' was fabricated' ELSE '' END, ' ') AS t FROM benchmark)
+        SELECT item_id, CASE WHEN regexp_extract(t, {_text(questions.LABELLED)}, 1) <> '' THEN regexp_extract(t, {_text(questions.LABELLED)}, 1)
+          WHEN NOT contains(t, '?') AND NOT regexp_matches(t, {_text(questions.OPEN_QUESTION)}) AND regexp_matches(t, {_text(questions.ASSERTS)}) THEN t END AS claim FROM t""",
     "question_searches": f"""WITH b AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'Why did ' WHEN 1 THEN 'Did the 2 brand''s ' WHEN 2 THEN 'Has it '
           ELSE 'Claim: ' END || coalesce(text, '') || CASE item_id % 4 WHEN 1 THEN ' and which year?' WHEN 2 THEN ' and what 3 reviews?' ELSE '' END AS question
           FROM benchmark),

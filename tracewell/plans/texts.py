@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as text_fn
 from ..functions import urls
-from ..operators import cases, citations, pages, similarity
+from ..operators import cases, citations, pages, research, similarity
 from ..sources.shared import written
 from .views import table
 
@@ -94,13 +94,35 @@ def audit_urls(spark, sf_dir):
 
 
 def safe_references(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", urls.safe_reference(F.col("url")).alias("safe"))
+    """URLs as they are, and with a token, a user, a local and a private host, and a harmless parameter."""
+    url, kind = F.regexp_replace(F.col("url"), "#.*$", ""), F.col("page_id") % 6
+    more = F.when(url.contains("?"), "&").otherwise("?")
+    tail = F.regexp_replace(url, "^[a-z]+://[^/?]*", "")
+    odd = (
+        F.when(kind == 1, F.concat(url, more, F.lit("access_token=x")))
+        .when(kind == 2, F.regexp_replace(url, "://", "://user:pw@"))
+        .when(kind == 3, F.concat(F.lit("http://printer.local"), tail))
+        .when(kind == 4, F.concat(F.lit("http://192.168.7.1"), tail))
+        .when(kind == 5, F.concat(url, more, F.lit("q=x")))
+        .otherwise(F.col("url"))
+    )
+    return table(spark, sf_dir, "pages").select("page_id", urls.safe_reference(odd).alias("safe"))
 
 
 def redirect_bindings(spark, sf_dir):
-    """Each page's canonical form, over https, as what its URL was redirected to."""
-    final = F.regexp_replace(urls.canonical(F.col("url")), "^http://", "https://")
-    return table(spark, sf_dir, "pages").select("page_id", urls.binding(F.col("url"), final).alias("binding"))
+    """URLs that lead to themselves, over to https or http, with a tracking parameter, to another host and to a log-in page."""
+    url, kind = F.col("url"), F.col("page_id") % 6
+    bare = F.regexp_replace(url, "#.*$", "")
+    final = (
+        F.when(kind == 1, F.regexp_replace(url, "^http://", "https://"))
+        .when(kind == 2, F.concat(bare, F.when(bare.contains("?"), "&").otherwise("?"), F.lit("utm_source=x")))
+        .when(kind == 3, F.regexp_replace(url, "^https://", "http://"))
+        .when(kind == 4, F.lit("https://other.example.org/x"))
+        .when(kind == 5, F.concat(F.regexp_extract(url, "^([a-z]+://[^/?#]*)", 1), F.lit("/account/Login/")))
+        .otherwise(url)
+    )
+    asked = F.when(F.col("page_id") % 35 == 0, "http://localhost/x").otherwise(url)
+    return table(spark, sf_dir, "pages").select("page_id", urls.binding(asked, final).alias("binding"))
 
 
 def merged_pages(spark, sf_dir):
@@ -129,29 +151,53 @@ def url_mentions(spark, sf_dir):
     return citations.url_mentions(texts)
 
 
-def near_duplicate_texts(spark, sf_dir):
-    """Pairs of distinct long texts of a language with 5-gram Jaccard of 60 % or more, by their shingles."""
+def _shingled(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where(F.length("text") >= 400)
-    sets = docs.select(F.col("lang").alias("scope"), F.col("doc_id").alias("id"), text_fn.shingle_hashes(F.col("text")).alias("tokens"))
-    classes = written(similarity.set_classes(sets), "classes")
-    pairs = similarity.similar_sets(classes, 60)
+    return docs.select(F.lit("all").alias("scope"), F.col("doc_id").alias("id"), text_fn.shingle_hashes(F.col("text")).alias("tokens"))
+
+
+def near_duplicate_texts(spark, sf_dir):
+    """Pairs of distinct long texts with 5-gram Jaccard of 60 % or more, by their shingles."""
+    pairs = similarity.similar_sets(written(similarity.set_classes(_shingled(spark, sf_dir)), "classes"), 60)
     return pairs.select("a", "b", "common", "union")
 
 
 def duplicate_groups(spark, sf_dir):
     """Groups of texts linked by near_duplicate_texts or equal shingles, each named by its least id."""
-    docs = table(spark, sf_dir, "documents").where(F.length("text") >= 400)
-    sets = docs.select(F.col("lang").alias("scope"), F.col("doc_id").alias("id"), text_fn.shingle_hashes(F.col("text")).alias("tokens"))
-    classes = written(similarity.set_classes(sets), "classes")
+    classes = written(similarity.set_classes(_shingled(spark, sf_dir)), "classes")
     return similarity.groups(classes, similarity.similar_sets(classes, 60))
 
 
+def _statements(spark, sf_dir) -> DataFrame:
+    """Turns of conversations, and benchmark texts, as statements: a conversation is a case, and a role a source."""
+    c = F.col
+    said = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL AND text IS NOT NULL").select(
+        (c("conv_id") * 100_000 + c("turn")).alias("id"), c("conv_id").alias("case_id"), c("turn").alias("evidence_id"), c("role").alias("url"), "text"
+    )
+    asked = table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select(
+        (-1 - c("item_id")).alias("id"), (-1 - c("item_id")).alias("case_id"), c("item_id").alias("evidence_id"), F.lit("benchmark").alias("url"), "text"
+    )
+    return said.unionByName(asked)
+
+
+STATEMENTS = """
+st_v AS (SELECT conv_id * 100000 + turn AS id, conv_id AS case_id, turn AS evidence_id, role AS url, text FROM conversations
+    WHERE conv_id IS NOT NULL AND text IS NOT NULL
+  UNION ALL SELECT -1 - item_id, -1 - item_id, item_id, 'benchmark', text FROM benchmark WHERE text IS NOT NULL)
+"""
+
+
+def statement_appearances(spark, sf_dir):
+    found = research.appearances(_statements(spark, sf_dir))
+    return found.select("url", F.sha2("text", 256).alias("text_sha"), "id", "n", F.size("case_ids").alias("n_cases"))
+
+
 def statement_families(spark, sf_dir):
-    """Pairs of benchmark statements and first sentences of documents that share six words and 40 % of their words."""
-    said = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.element_at(F.split("text", "\n"), 1).alias("text"))
-    sets = said.select(F.lit("all").alias("scope"), "id", text_fn.family_words(F.col("text")).alias("tokens"))
-    classes = written(similarity.set_classes(sets), "classes")
-    return similarity.similar_sets(classes, 40, least_common=6).select("a", "b", "common", "union")
+    return research.families(_statements(spark, sf_dir))
+
+
+def statement_connections(spark, sf_dir):
+    return research.connections(_statements(spark, sf_dir))
 
 
 def near_vector_hashes(spark, sf_dir):
@@ -216,6 +262,70 @@ def affected_relations(spark, sf_dir):
     return cases.affected(relations, changes, revised)
 
 
+def relation_changes(spark, sf_dir):
+    """Each document as a relation of its case, in two revisions."""
+    rows = _revisions(spark, sf_dir).select("case_id", "revision", "digest", F.concat(F.lit("r"), "evidence_id").alias("relation_id"))
+    found = cases.relation_changes(rows.where("revision = 1"), rows.where("revision = 2"))
+    return found.select("case_id", "relation_id", "before", "after")
+
+
+def frame_unions(spark, sf_dir):
+    """Orders as videos, and their items as frames."""
+    c = F.col
+    frames = table(spark, sf_dir, "lineitem").select(
+        c("l_orderkey").alias("video_id"),
+        (c("l_linenumber") * 100_000_000 + c("l_partkey") * 1000 + c("l_suppkey")).cast("long").alias("ms"),
+        F.array(F.concat(F.lit("google:"), "l_partkey"), F.concat(F.lit("lens:"), "l_suppkey")).alias("searches"),
+        c("l_quantity").cast("long").alias("omitted"),
+        F.array(F.concat(F.lit("limit "), "l_returnflag"), F.concat(F.lit("limit "), "l_linestatus")).alias("limitations"),
+    )
+    found = cases.union_of_frames(frames)
+    return found.select("video_id", "first_ms", "n_frames", F.array_join("searches", ",").alias("searches"), "omitted", F.array_join("limitations", ",").alias("limitations"))
+
+
+def coverage_runs(spark, sf_dir):
+    """Orders as runs: their items are sources, and those of the first three lines were read."""
+    items = table(spark, sf_dir, "lineitem")
+    evidence = items.select(F.col("l_orderkey").alias("run_id"), F.when(F.col("l_returnflag") == "A", "page_quote").otherwise("search_snippet").alias("attribution"))
+    outcome = F.when(F.col("l_suppkey") % 3 == 0, "fetch_failed").when(F.col("l_suppkey") % 7 == 0, "binding_rejected").otherwise("quoted")
+    return cases.coverage_measures(evidence, items.where("l_linenumber <= 3").select(F.col("l_orderkey").alias("run_id"), outcome.alias("outcome")))
+
+
+def topic_audits(spark, sf_dir):
+    """Orders as topic runs and their items as searches; some were unavailable, and some report a lead more than they have."""
+    c = F.col
+    rows = table(spark, sf_dir, "lineitem").select(
+        c("l_orderkey").alias("run_id"),
+        F.when(c("l_partkey") % 13 == 0, "unavailable").otherwise("succeeded").alias("outcome"),
+        F.when(c("l_partkey") % 26 == 0, 0).otherwise(c("l_quantity").cast("int")).alias("returned"),
+        c("l_linenumber"), c("l_partkey"), c("l_suppkey"),
+    )
+    up = c("outcome") == "succeeded"
+    rows = rows.withColumn("dropped", F.when(up, c("returned") % 3)).withColumn("normalized", c("returned") - c("dropped"))
+    rows = rows.withColumn("duplicate", c("normalized") % 2).withColumn("unique", F.coalesce(c("normalized") - c("duplicate"), F.lit(0)))
+    rows = rows.withColumn("withheld", F.least(c("unique"), (c("l_partkey") % 2).cast("int"))).withColumn("safe", c("unique") - c("withheld"))
+    rows = rows.withColumn("kept", F.least(c("safe"), c("l_linenumber") % 3)).withColumn("not_kept", c("safe") - c("kept"))
+    rows = rows.withColumns({
+        "captured": c("safe"), "uncaptured": F.lit(0), "kept_captured": c("kept"), "limit": F.lit(48),
+        "retained": c("kept") + F.when(c("l_suppkey") % 17 == 0, 1).otherwise(0),
+    })
+    return cases.candidate_audit(rows)
+
+
+def recognized_segments(spark, sf_dir):
+    """Turns as recognised segments; a word's probability is from its length."""
+    tokens = F.transform(F.split("text", " "), lambda w: F.struct(w.alias("text"), ((F.length(w) % 9) / 8).alias("p")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text_fn.recognition(tokens).alias("recognition"))
+
+
+def capped_attributes(spark, sf_dir):
+    """Texts as descriptions, and their words as names."""
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.sha2(text_fn.capped(text), 256).alias("value_sha"), F.array_join(text_fn.capped_names(F.split(text, " ")), "|").alias("names")
+    )
+
+
 def sticky_warnings(spark, sf_dir):
     """Three revisions of each document: changed in the second for every tenth, revised in the third for every 20th."""
     docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % CASES).alias("case_id"), F.col("doc_id").alias("evidence_id"))
@@ -226,13 +336,14 @@ def sticky_warnings(spark, sf_dir):
 
 
 def integrity_violations(spark, sf_dir):
-    """Labels without a document, and documents citing a page that is not there."""
-    docs = table(spark, sf_dir, "documents")
+    """Labels without a document, documents that cite a page that is not there, and pages that cite a benchmark item that is not."""
+    docs, pages_ = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ref"))
-    some = docs.where("doc_id % 3 <> 0")
-    first = cases.missing_references(labels, "ref", some, "doc_id", "label_to_document")
     cited = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ref"))
-    return first.unionByName(cases.missing_references(cited, "ref", table(spark, sf_dir, "pages"), "page_id", "citation_to_page"))
+    items = pages_.select(F.col("page_id").alias("id"), F.col("page_id").alias("ref"))
+    found = cases.missing_references(labels, "ref", docs, "doc_id", "label_to_document")
+    found = found.unionByName(cases.missing_references(cited, "ref", pages_, "page_id", "citation_to_page"))
+    return found.unionByName(cases.missing_references(items, "ref", table(spark, sf_dir, "benchmark"), "item_id", "page_to_item"))
 
 
 def repeated_items(spark, sf_dir):
@@ -312,9 +423,8 @@ def _relations(spark, sf_dir) -> DataFrame:
         (100 - 2 * d).alias("time"),
         (100 - t).alias("variant"),
         F.when(F.col("l_returnflag") == "A", "page_quote").otherwise("search_snippet").alias("attribution"),
-        F.concat(F.lit("quote "), F.col("l_suppkey")).alias("quote"),
+        F.when(F.col("l_suppkey") % 9 != 0, F.concat(F.lit("quote "), F.col("l_suppkey"))).alias("quote"),
         F.lit("quote 1").alias("claim"),
-        (F.col("l_returnflag") == "A").alias("read"),
     )
     return citations.claim_relation(rows)
 
@@ -326,20 +436,20 @@ def claim_relations(spark, sf_dir):
 RELATIONS = """
 src_v AS (SELECT *, CAST(round(l_discount * 100) AS INT) AS d, CAST(round(l_tax * 100) AS INT) AS t FROM lineitem),
 rel_v AS (SELECT l_partkey AS case_id, l_orderkey * 10 + l_linenumber AS evidence_id, l_returnflag = 'A' AS read,
-    CASE WHEN l_returnflag = 'A' AND least(100 - d, 100 - 2 * d, 100 - t) >= 85 AND l_suppkey <> 1 AND 100 - 5 * d >= 50 AND 12 * t >= 85 THEN 'support'
-         WHEN l_returnflag = 'A' AND least(100 - d, 100 - 2 * d, 100 - t) >= 85 AND l_suppkey <> 1 AND 100 - 5 * d >= 50 AND 100 - 12 * t >= 85 THEN 'challenge'
+    CASE WHEN l_returnflag = 'A' AND least(100 - d, 100 - 2 * d, 100 - t) >= 85 AND l_suppkey <> 1 AND l_suppkey % 9 <> 0 AND 100 - 5 * d >= 50 AND 12 * t >= 85 THEN 'support'
+         WHEN l_returnflag = 'A' AND least(100 - d, 100 - 2 * d, 100 - t) >= 85 AND l_suppkey <> 1 AND l_suppkey % 9 <> 0 AND 100 - 5 * d >= 50 AND 100 - 12 * t >= 85 THEN 'challenge'
          WHEN greatest(10 * d, 12 * t, 100 - 12 * t) >= 85 AND 100 - 5 * d >= 50 THEN 'context' ELSE 'insufficient' END AS relation FROM src_v)
 """
 
 SHINGLES = r"""
-long_v AS (SELECT doc_id, lang, list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda x: x <> '') AS w
+long_v AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda x: x <> '') AS w
   FROM documents WHERE length(text) >= 400),
-gram_v AS (SELECT doc_id, lang, list_distinct([w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4] for i in range(1, len(w) - 3)]) AS g
+gram_v AS (SELECT doc_id, list_distinct([w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4] for i in range(1, len(w) - 3)]) AS g
   FROM long_v WHERE len(w) >= 5),
-class_v AS (SELECT *, min(doc_id) OVER (PARTITION BY lang, list_sort(g)) AS rep FROM gram_v),
-one_v AS (SELECT doc_id, lang, len(g) AS n, unnest(g) AS s FROM class_v WHERE doc_id = rep),
+class_v AS (SELECT *, min(doc_id) OVER (PARTITION BY list_sort(g)) AS rep FROM gram_v),
+one_v AS (SELECT doc_id, len(g) AS n, unnest(g) AS s FROM class_v WHERE doc_id = rep),
 sim_v AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common, any_value(a.n) + any_value(b.n) - count(*) AS "union"
-  FROM one_v a JOIN one_v b ON a.s = b.s AND a.lang = b.lang AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+  FROM one_v a JOIN one_v b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
   HAVING count(*) * 100 >= (any_value(a.n) + any_value(b.n) - count(*)) * 60)
 """
 
@@ -350,13 +460,16 @@ _STOPS = {
 _IN = {k: "[" + ", ".join(f"'{w}'" for w in v) + "]" for k, v in _STOPS.items()}
 _PLAIN = r"list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda x: x <> '')"
 _LETTER = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
-_FAMILY = f"list_distinct(list_filter(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 3 AND NOT list_contains({_IN['family']}, x)))"
+_FAMILY = f"list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 3 AND NOT list_contains({_IN['family']}, x)))"
+_DOSSIER = f"list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 3 AND NOT list_contains({_IN['dossier']}, x)))"
 
 QUERIES = {
     f.__name__: f
     for f in (
         canonical_urls, source_keys, audit_urls, safe_references, redirect_bindings, merged_pages, citation_checks, shared_citations,
-        duplicate_passages, url_mentions, near_duplicate_texts, duplicate_groups, statement_families, near_vector_hashes,
+        duplicate_passages, url_mentions, near_duplicate_texts, duplicate_groups, statement_appearances, statement_families,
+        statement_connections, near_vector_hashes, relation_changes, frame_unions, coverage_runs, topic_audits, recognized_segments,
+        capped_attributes,
         contained_sentences, evidence_diff, current_heads, revision_gaps, stale_bindings, historical_versions, upserted_heads,
         affected_relations, sticky_warnings, integrity_violations, repeated_items, case_violations, watchlist_matches, change_notices,
         word_counts, extracted_pages, claim_disagreements, claim_accounts, claim_relations,
@@ -378,9 +491,12 @@ ORACLE_SQL = {
     "canonical_urls": f"WITH {_CANONICAL} SELECT page_id, canonical, host FROM canon_v",
     "source_keys": "SELECT page_id, regexp_replace(url, '#.*$', '') AS source_key FROM pages",
     "audit_urls": "SELECT page_id, regexp_replace(url, '[?#].*$', '') AS audit_url FROM pages",
-    "safe_references": "SELECT page_id, true AS safe FROM pages",
-    "redirect_bindings": f"""WITH {_CANONICAL} SELECT page_id, CASE WHEN url = regexp_replace(canonical, '^http://', 'https://') THEN 'same'
-        ELSE 'normalized' END AS binding FROM canon_v""",
+    "safe_references": "SELECT page_id, page_id % 6 IN (0, 5) AS safe FROM pages",
+    "redirect_bindings": """SELECT page_id, CASE WHEN page_id % 35 = 0 THEN 'not_established' WHEN page_id % 6 = 0 THEN 'same_resource'
+        WHEN page_id % 6 = 1 THEN CASE WHEN url LIKE 'https:%' THEN 'same_resource' ELSE 'normalized_resource' END
+        WHEN page_id % 6 = 2 THEN 'normalized_resource'
+        WHEN page_id % 6 = 3 THEN CASE WHEN url LIKE 'http:%' THEN 'same_resource' ELSE 'different_resource' END
+        WHEN page_id % 6 = 4 THEN 'different_resource' ELSE 'blocked_destination' END AS binding FROM pages""",
     "merged_pages": f"WITH {_CANONICAL} SELECT canonical, min(page_id) AS first_page, count(*) AS n FROM canon_v GROUP BY canonical",
     "citation_checks": f"""WITH {CITATIONS}, r AS (SELECT c.*, t.page_id AS target_id, t.html AS text,
           coalesce(start, instr(t.html, quote) - 1) AS pos FROM cite_v c LEFT JOIN key_v t ON c.case_id = t.case_id AND c.key = t.key),
@@ -399,12 +515,47 @@ ORACLE_SQL = {
         reach AS (SELECT doc_id AS x, doc_id AS y FROM class_v WHERE doc_id = rep UNION SELECT r.x, e.b FROM reach r JOIN e ON r.y = e.a),
         g AS (SELECT x AS rep, min(y) AS group_id FROM reach GROUP BY x), m AS (SELECT doc_id AS id, group_id FROM class_v JOIN g USING (rep))
         SELECT id, group_id FROM m WHERE group_id IN (SELECT group_id FROM m GROUP BY group_id HAVING count(*) > 1)""",
-    "statement_families": f"""WITH s AS (SELECT doc_id, {_FAMILY} AS g FROM documents),
-        c AS (SELECT *, min(doc_id) OVER (PARTITION BY list_sort(g)) AS rep FROM s WHERE len(g) > 0),
-        o AS (SELECT doc_id, len(g) AS n, unnest(g) AS s FROM c WHERE doc_id = rep)
-        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common, any_value(a.n) + any_value(b.n) - count(*) AS "union"
-        FROM o a JOIN o b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
-        HAVING count(*) >= 6 AND count(*) * 100 >= (any_value(a.n) + any_value(b.n) - count(*)) * 40""",
+    "statement_appearances": f"""WITH {STATEMENTS}, n AS (SELECT *, row_number() OVER (PARTITION BY url, text ORDER BY id) AS r FROM st_v)
+        SELECT url, sha256(text) AS text_sha, min(id) AS id, count(*) AS n, CAST(count(DISTINCT case_id) FILTER (r <= 20) AS INT) AS n_cases
+        FROM n GROUP BY url, text""",
+    "statement_families": f"""WITH {STATEMENTS}, n AS (SELECT *, row_number() OVER (PARTITION BY url, text ORDER BY id) AS r FROM st_v),
+        a AS (SELECT url, text, min(id) AS id, list(DISTINCT case_id) FILTER (r <= 20) AS cases, {_FAMILY} AS g FROM n GROUP BY url, text),
+        c AS (SELECT *, min(id) OVER (PARTITION BY url, list_sort(g)) AS rep FROM a WHERE len(g) > 0),
+        o AS (SELECT id, len(g) AS k, unnest(g) AS s FROM c WHERE id = rep),
+        p AS (SELECT x.id AS a, y.id AS b FROM o x JOIN o y ON x.s = y.s AND x.id < y.id GROUP BY x.id, y.id
+          HAVING count(*) >= 6 AND count(*) * 100 >= (any_value(x.k) + any_value(y.k) - count(*)) * 40
+          UNION SELECT l, id FROM (SELECT id, min(id) OVER (PARTITION BY text) AS l FROM a) WHERE l <> id)
+        SELECT p.a, p.b, CASE WHEN x.url = y.url THEN 'same_source_variant' WHEN x.text = y.text THEN 'same_retained_wording' ELSE 'plausible_connection' END AS status
+        FROM p JOIN a x ON p.a = x.id JOIN a y ON p.b = y.id WHERE x.url <> y.url OR NOT list_has_any(x.cases, y.cases)""",
+    "statement_connections": f"""WITH {STATEMENTS}, w AS (SELECT *, {_DOSSIER} AS g FROM st_v),
+        p AS (SELECT x.case_id, x.id AS a, y.id AS b, x.text = y.text AS same, len(list_intersect(x.g, y.g)) AS common, len(x.g) + len(y.g) AS both_
+          FROM w x JOIN w y ON x.case_id = y.case_id AND x.id < y.id AND x.evidence_id <> y.evidence_id AND x.url <> y.url),
+        r AS (SELECT case_id, a, b, CASE WHEN same THEN 'same_retained_wording' ELSE 'plausible_connection' END AS status,
+          row_number() OVER (PARTITION BY case_id ORDER BY a, b) AS place FROM p WHERE same OR common >= 4 AND common * 100 >= (both_ - common) * 40)
+        SELECT case_id, a, b, status, CAST(place AS INT) AS place FROM r WHERE place <= 12""",
+    "relation_changes": f"""WITH {REVISIONS} SELECT coalesce(a.case_id, b.case_id) AS case_id, 'r' || coalesce(a.evidence_id, b.evidence_id) AS relation_id,
+          a.digest AS before, b.digest AS after FROM (SELECT * FROM rev_v WHERE revision = 1) a FULL JOIN (SELECT * FROM rev_v WHERE revision = 2) b
+          ON a.evidence_id = b.evidence_id WHERE a.digest IS DISTINCT FROM b.digest""",
+    "frame_unions": """WITH f AS (SELECT l_orderkey AS v, CAST(l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey AS BIGINT) AS ms, l_quantity AS q,
+          'google:' || l_partkey || ',lens:' || l_suppkey AS s, 'limit ' || l_returnflag AS a, 'limit ' || l_linestatus AS b FROM lineitem)
+        SELECT v AS video_id, min(ms) AS first_ms, count(*) AS n_frames, string_agg(s, ',' ORDER BY ms) AS searches, CAST(sum(CAST(q AS BIGINT)) AS BIGINT) AS omitted,
+          array_to_string(list_sort(list_distinct(list_concat(list(a), list(b)))), ',') AS limitations FROM f GROUP BY v""",
+    "coverage_runs": """SELECT l_orderkey AS run_id, count(*) AS n_sources, count(*) FILTER (l_returnflag = 'A') AS n_quotes,
+          count(*) FILTER (l_linenumber <= 3) AS n_reads, count(*) FILTER (l_linenumber <= 3 AND (l_suppkey % 3 = 0 OR l_suppkey % 7 = 0)) AS n_failures
+        FROM lineitem GROUP BY l_orderkey""",
+    "topic_audits": """WITH a AS (SELECT l_orderkey AS run_id, l_partkey % 13 <> 0 AS up, CASE WHEN l_partkey % 26 = 0 THEN 0 ELSE CAST(l_quantity AS INT) END AS returned,
+          l_linenumber % 3 AS most, l_partkey % 2 AS hidden, CASE WHEN l_suppkey % 17 = 0 THEN 1 ELSE 0 END AS extra FROM lineitem),
+        b AS (SELECT *, CASE WHEN up THEN (returned - returned % 3) - (returned - returned % 3) % 2 ELSE 0 END AS uniq FROM a),
+        c AS (SELECT *, uniq - least(uniq, hidden) AS safe FROM b),
+        d AS (SELECT *, least(safe, most) AS kept FROM c),
+        s AS (SELECT run_id, bool_or(NOT up AND (returned <> 0 OR kept + extra <> 0)) AS r1, bool_or(up AND extra > 0) AS r2, sum(safe) > 48 AS r3, sum(extra) > 0 AS r4
+          FROM d GROUP BY run_id)
+        SELECT run_id, unnest(list_filter([CASE WHEN r1 THEN 'unavailable_is_empty' END, CASE WHEN r2 THEN 'retained_rows_are_captured' END,
+          CASE WHEN r3 THEN 'captured_up_to_the_limit' END, CASE WHEN r4 THEN 'kept_is_retained' END], lambda x: x IS NOT NULL)) AS rule FROM s""",
+    "recognized_segments": """SELECT conv_id, turn, role, CASE WHEN list_avg([(length(w) % 9) / 8.0 for w in string_split(text, ' ')]) >= 0.6 THEN 'unreviewed'
+        ELSE 'low_confidence' END AS recognition FROM conversations""",
+    "capped_attributes": """SELECT doc_id, sha256(left(nullif(trim(text, ' '), ''), 400)) AS value_sha,
+        array_to_string(list_filter([left(trim(w, ' '), 400) for w in string_split(text, ' ')], lambda x: x <> '')[1:8], '|') AS names FROM documents""",
     "near_vector_hashes": """WITH h AS (SELECT min(vec_id) AS id, s FROM (SELECT vec_id, [CASE WHEN x > 0 THEN 1 ELSE 0 END for x in embedding] AS s
           FROM embeddings) GROUP BY s), p AS (SELECT a.id AS a, b.id AS b,
           list_sum([CASE WHEN a.s[i] <> b.s[i] THEN 1 ELSE 0 END for i in range(1, 65)]) AS distance FROM h a JOIN h b ON a.id < b.id)
@@ -412,7 +563,7 @@ ORACLE_SQL = {
     "contained_sentences": f"""WITH {REVISIONS}, s AS (SELECT case_id, evidence_id AS a, unnest(regexp_extract_all(text, '[^.!?\\n]+[.!?]?')) AS raw,
           generate_subscripts(regexp_extract_all(text, '[^.!?\\n]+[.!?]?'), 1) AS n FROM doc_v),
         h AS (SELECT s.case_id, a, b.evidence_id AS b, trim(raw) AS sentence, n FROM s JOIN doc_v b ON s.case_id = b.case_id AND a <> b.evidence_id
-          AND length(trim(raw)) >= 80 AND contains(b.text, trim(raw)) AND len(string_split_regex(trim(raw), '\\s+')) >= 5)
+          AND length(trim(raw)) >= 80 AND contains(b.text, trim(raw)))
         SELECT case_id, a, b, sha256(arg_min(sentence, n)) AS sentence_sha FROM h GROUP BY case_id, a, b""",
     "evidence_diff": f"""WITH {REVISIONS}, x AS (SELECT coalesce(a.case_id, b.case_id) AS case_id, coalesce(a.evidence_id, b.evidence_id) AS evidence_id,
           a.digest AS o, b.digest AS n FROM (SELECT * FROM rev_v WHERE revision = 1) a FULL JOIN (SELECT * FROM rev_v WHERE revision = 2) b
@@ -433,8 +584,9 @@ ORACLE_SQL = {
         WHERE (evidence_id % 10 = 0 OR evidence_id % 17 = 0 OR evidence_id % 23 = 0) AND (evidence_id // 194) % 5 <> 0""",
     "sticky_warnings": f"""SELECT doc_id % {CASES} AS case_id, doc_id AS evidence_id, r AS revision,
           r >= 2 AND doc_id % 10 = 0 AND NOT (r = 3 AND doc_id % 20 = 0) AS flagged FROM documents, (VALUES (1), (2), (3)) v(r)""",
-    "integrity_violations": """SELECT doc_id AS id, 'label_to_document' AS rule FROM labels WHERE doc_id % 3 = 0 OR doc_id NOT IN (SELECT doc_id FROM documents)
-        UNION ALL SELECT doc_id, 'citation_to_page' FROM documents WHERE doc_id NOT IN (SELECT page_id FROM pages)""",
+    "integrity_violations": """SELECT doc_id AS id, 'label_to_document' AS rule FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
+        UNION ALL SELECT doc_id, 'citation_to_page' FROM documents WHERE doc_id NOT IN (SELECT page_id FROM pages)
+        UNION ALL SELECT page_id, 'page_to_item' FROM pages WHERE page_id NOT IN (SELECT item_id FROM benchmark)""",
     "repeated_items": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "case_violations": """SELECT doc_id AS id, 'text_bounds' AS rule FROM documents WHERE NOT coalesce(length(text) BETWEEN 1 AND 20000, false)
         UNION ALL SELECT doc_id, 'language' FROM documents WHERE NOT coalesce(lang IN ('en', 'fr', 'de'), false)
@@ -457,8 +609,8 @@ ORACLE_SQL = {
     "claim_disagreements": f"""WITH {RELATIONS} SELECT a.case_id, a.evidence_id AS support_id, b.evidence_id AS challenge_id FROM rel_v a JOIN rel_v b
         ON a.case_id = b.case_id AND a.relation = 'support' AND b.relation = 'challenge'""",
     "claim_accounts": f"""WITH {RELATIONS}, n AS (SELECT case_id, count(*) FILTER (relation = 'support') AS n_support,
-          count(*) FILTER (relation = 'challenge') AS n_challenge, count(*) FILTER (read) AS n_read FROM rel_v GROUP BY case_id)
-        SELECT *, CASE WHEN n_support > 0 AND n_challenge > 0 THEN 'contested' WHEN n_support > 0 THEN 'support_found' WHEN n_challenge > 0 THEN 'challenge_found'
-          WHEN n_read > 0 THEN 'context_only' ELSE 'leads_only' END AS headline FROM n""",
+          count(*) FILTER (relation = 'challenge') AS n_challenge, count(*) FILTER (read) AS n_read, count(*) FILTER (NOT read) AS n_leads FROM rel_v GROUP BY case_id)
+        SELECT *, CASE WHEN n_support > 0 AND n_challenge > 0 THEN 'The retained excerpts disagree.' WHEN n_challenge > 0 THEN 'There is evidence against this claim.'
+          WHEN n_support > 0 THEN 'There is evidence supporting this claim.' ELSE 'The claim is still unresolved.' END AS headline FROM n""",
     "claim_relations": f"WITH {RELATIONS} SELECT case_id, relation, count(*) AS n FROM rel_v GROUP BY case_id, relation",
 }

@@ -30,7 +30,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
             "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd"), c("l_quantity").cast("int")
         ).alias("cand_id"),
         F.element_at(kinds, c("l_linenumber")).alias("kind"),
-        F.when(c("l_returnflag") == "A", "EXACT_MATCH").when(c("l_returnflag") == "R", "NEAR_MATCH").otherwise("LEAD").alias("relationship"),
+        F.when(c("l_returnflag") == "A", "EXACT_MATCH").when(c("l_returnflag") == "R", "NEAR_MATCH").otherwise("VISUAL_LEAD").alias("relationship"),
         F.concat(F.lit("d"), c("l_suppkey") % 12).alias("domain"),
         F.concat(F.lit("g"), c("l_partkey") % 7).alias("grp"),
         F.when(even, "separate_origin_evidenced")
@@ -50,6 +50,9 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         (10 * d).alias("contradicts"),
         (100 - 10 * d).alias("supports"),
         (12 * ((d + t) % 9)).alias("loc_different"),
+        (12 * ((2 * d + t) % 9)).alias("historical"),
+        (10 * ((d + 3 * t) % 9)).alias("fact_check"),
+        (10 * ((3 * d + t) % 10)).alias("reporting"),
         F.concat(F.lit("https://d"), c("l_suppkey") % 12, F.lit(".example.com/p"), c("l_partkey") % 25).alias("url"),
         F.when(c("l_partkey") % 5 != 0, F.concat(F.lit("title "), c("l_partkey"))).alias("title"),
     )
@@ -66,7 +69,7 @@ cand_v AS (
   SELECT o_custkey AS inv,
     concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d'), CAST(l_quantity AS INT)) AS cand_id,
     ['lens_exact','lens_visual','about_image','google_search','google_news','source_link','google_search'][l_linenumber] AS kind,
-    CASE l_returnflag WHEN 'A' THEN 'EXACT_MATCH' WHEN 'R' THEN 'NEAR_MATCH' ELSE 'LEAD' END AS relationship,
+    CASE l_returnflag WHEN 'A' THEN 'EXACT_MATCH' WHEN 'R' THEN 'NEAR_MATCH' ELSE 'VISUAL_LEAD' END AS relationship,
     'd' || (l_suppkey % 12) AS domain, 'g' || (l_partkey % 7) AS grp,
     CASE WHEN l_partkey % 2 = 0 THEN 'separate_origin_evidenced' WHEN l_linestatus = 'O' THEN 'shared_origin_evidenced'
          ELSE 'unresolved' END AS origin_status,
@@ -76,13 +79,14 @@ cand_v AS (
     CASE WHEN l_linenumber = 7 THEN 'disputed' ELSE 'usable' END AS date_status,
     CAST(l_quantity AS INT) AS position,
     100 - 4 * d AS relevance, 12 * t AS different, 96 - 12 * t AS same, 10 * d AS contradicts, 100 - 10 * d AS supports,
-    12 * ((d + t) % 9) AS loc_different,
+    12 * ((d + t) % 9) AS loc_different, 12 * ((2 * d + t) % 9) AS historical,
+    10 * ((d + 3 * t) % 9) AS fact_check, 10 * ((3 * d + t) % 10) AS reporting,
     'https://d' || (l_suppkey % 12) || '.example.com/p' || (l_partkey % 25) AS url,
     CASE WHEN l_partkey % 5 <> 0 THEN 'title ' || l_partkey END AS title
   FROM cand),
-core_v AS (SELECT *, relationship <> 'LEAD' AS core, relevance >= 70 AS relevant,
-    relationship <> 'LEAD' AND relevance >= 70 AND (different >= 75 OR contradicts >= 75 OR loc_different >= 75) AS conflict,
-    relationship <> 'LEAD' AND relevance >= 70 AND (same >= 75 OR supports >= 75) AS support
+core_v AS (SELECT *, relationship <> 'VISUAL_LEAD' AS core, relevance >= 70 AS relevant,
+    relationship <> 'VISUAL_LEAD' AND relevance >= 70 AND (different >= 75 OR contradicts >= 75 OR loc_different >= 75) AS conflict,
+    relationship <> 'VISUAL_LEAD' AND relevance >= 70 AND (same >= 75 OR supports >= 75) AS support
   FROM cand_v),
 dated_v AS (
   SELECT *, CASE precision WHEN 'month' THEN published_at || '-01' WHEN 'year' THEN published_at || '-01-01' ELSE published_at END AS day_start,

@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 
 # The event types of a stream, and the arrays of a search response by kind of search.
 EVENT_TYPES = (
-    "started", "stage", "search", "evidence", "classification", "source_read", "segment", "policy", "limitation", "completed", "failed",
+    "investigation.started", "stage.started", "stage.completed", "search.batch", "evidence.discovered", "evidence.classified",
+    "provenance.partial", "verdict.preliminary", "divergence.detected", "investigation.completed", "investigation.error",
 )
-EVENT = "type string, inv long, seq long, ts timestamp, key string, value double, payload string"
+#: Nested values of an event stay JSON texts.
+EVENT = (
+    "type string, investigationId string, stage string, detail string, engine string, count long, evidence string, id string, "
+    "publicJudgment string, timeline string, verdict string, divergence string, result string, code string, message string"
+)
 LEAD = "array<struct<link string, title string, snippet string, position int, date string>>"
 SURFACES = {
     "search": "organic_results", "news": "news_results", "visual": "visual_matches", "exact": "exact_matches", "about": "about_this_image",
@@ -31,11 +36,24 @@ LEDGER = "period string, seq long, kind string, amount long"
 
 
 def event_lines(lines: DataFrame) -> DataFrame:
-    """Event rows with ok: whether the line (column ``value``) is an object with a known type. Null and malformed lines are not ok."""
-    parsed = F.from_json("value", EVENT + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    rows = lines.select("value", parsed.alias("e"))
-    ok = F.col("e").isNotNull() & F.col("e._corrupt_record").isNull() & F.col("e.type").isin(*EVENT_TYPES)
-    return rows.select("value", "e.type", "e.inv", "e.seq", "e.ts", "e.key", "e.payload", F.coalesce(ok, F.lit(False)).alias("ok"))
+    """Event rows of lines (column ``value``), with told, whether a line is an object with a text as type, and ok, whether the type is known.
+
+    Blank lines are no rows. Other columns of ``lines`` stay.
+    """
+    variant = F.try_parse_json("value")
+    kind = F.schema_of_variant(F.try_variant_get(variant, "$.type", "variant"))
+    told = F.trim("value").startswith("{") & F.coalesce(kind == "STRING", F.lit(False))
+    rows = lines.where(F.trim("value") != "").select("*", told.alias("told"), F.from_json("value", EVENT).alias("e"))
+    return rows.select(
+        *lines.columns,
+        "told",
+        (F.col("told") & F.coalesce(F.col("e.type").isin(*EVENT_TYPES), F.lit(False))).alias("ok"),
+        "e.type",
+        F.col("e.investigationId").alias("investigation_id"),
+        "e.stage", "e.detail", "e.engine", F.col("e.count").alias("n"),
+        F.coalesce("e.id", F.get_json_object("e.evidence", "$.id")).alias("evidence_id"),
+        "e.evidence", F.col("e.publicJudgment").alias("judgment"), "e.timeline", "e.verdict", "e.divergence", "e.result", "e.code", "e.message",
+    )
 
 
 def read_events(spark: SparkSession, path: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -45,12 +63,16 @@ def read_events(spark: SparkSession, path: str, strict: bool = False) -> tuple[D
     the strict one rejects unknown types as well. A last line without a line end is read.
     """
     rows = event_lines(spark.read.text(path))
-    good = F.col("ok") if strict else F.col("type").isNotNull()
-    return rows.where(good).drop("value", "ok"), rows.where(~good).select("value")
+    good = F.col("ok") if strict else F.col("told")
+    return rows.where(good).drop("value", "told", "ok"), rows.where(~good).select("value")
 
 
 def write_events(events: DataFrame, path: str) -> None:
-    events.write.mode("append").json(path)
+    """Append events as lines; ``payload``, if there, is the line, else the columns are."""
+    if "payload" in events.columns:
+        events.select("payload").write.mode("append").text(path)
+    else:
+        events.write.mode("append").json(path)
 
 
 def response_state(kind: str, raw: Column) -> Column:
@@ -101,7 +123,7 @@ def append_revisions(accepted: DataFrame, path: str, buckets: int = 64) -> None:
 
 
 def read_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(lines, rejects) of ledger files: header lines are skipped, kinds other than grant and reserve rejected."""
-    rows = spark.read.text(path).where("NOT value LIKE '%\"header\"%'").select("value", F.from_json("value", LEDGER).alias("l"))
+    """(lines, rejects) of ledger files: header lines, which have a key of that name, are skipped, kinds other than grant and reserve rejected."""
+    rows = spark.read.text(path).where(F.get_json_object("value", "$.header").isNull()).select("value", F.from_json("value", LEDGER).alias("l"))
     good = F.coalesce(F.col("l.kind").isin("grant", "reserve") & (F.col("l.amount") >= 0), F.lit(False))
     return rows.where(good).select("l.*"), rows.where(~good).select("value")
