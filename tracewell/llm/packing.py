@@ -29,6 +29,9 @@ from .common import small_batches, written
 LENGTH = 4096
 #: Documents in a group, on average.
 GROUP = 4_096
+#: Words that each of a cache's two generations holds, some 200 bytes each; an
+#: executor's workers have what other operators left in memory as well.
+CACHE_WORDS = 100_000
 #: Bins filled below this share are dissolved.
 DISSOLVE = 0.75
 
@@ -56,7 +59,7 @@ class WordIds:
         self.merges, self.letters = self.whole.model, byte_alphabet()
         special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.special_re = re.compile("|".join(map(re.escape, special))) if special else None
-        self.words = PieceCache(self._word)
+        self.words = PieceCache(self._word, CACHE_WORDS)
         self.splits_on_space = self._splits_on_space()
 
     def _library(self, text: str) -> bytes:
