@@ -41,18 +41,6 @@ def test_safe_reference(spark):
     assert column(spark, list(cases), urls.safe_reference) == list(cases.values())
 
 
-def test_binding(spark):
-    cases = [
-        ("http://a.example.com/x", "http://a.example.com/x", "same"),
-        ("http://a.example.com/x/", "https://www.a.example.com/x", "normalized"),
-        ("https://a.example.com/x", "http://a.example.com/x", "different"),
-        ("http://a.example.com/x", "http://a.example.com/login", "blocked"),
-        ("http://a.example.com/x", "mailto:a", "not_established"),
-    ]
-    rows = spark.createDataFrame(cases, "a string, b string, want string").withColumn("got", urls.binding(F.col("a"), F.col("b")))
-    assert all(r["want"] == r["got"] for r in rows.collect())
-
-
 def test_partial_dates(spark):
     cases = {
         "2024-02-29": ("2024-02-29", "day"),

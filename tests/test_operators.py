@@ -172,14 +172,6 @@ def test_operations_are_idempotent(spark):
     ]
 
 
-def test_event_lines(spark):
-    lines = ['{"type":"started","inv":1}', '{"type":"odd"}', "{broken", '{"inv":2}', None, '{"type":"stage","inv":1,"seq":2}']
-    rows = files.event_lines(spark.createDataFrame([(x,) for x in lines], "value string"))
-    assert [(r["type"], r["ok"]) for r in rows.collect()] == [
-        ("started", True), ("odd", False), (None, False), (None, False), (None, False), ("stage", True),
-    ]
-
-
 def test_search_responses(spark):
     raw = {
         '{"search_metadata":{"status":"Success","id":"s"},"organic_results":[{"link":"http://a.b/c","title":"t"},{"link":"x"}]}': "success",
@@ -197,12 +189,13 @@ def test_search_responses(spark):
 def test_page_extraction(spark):
     para = "This paragraph is long enough to be kept as a paragraph of the page."
     html = f"""<html><head><title>T &amp; U</title><meta property="article:published_time" content="2020-01-01">
-      <script type="application/ld+json">{{"@type":"A","url":"http://e.com/x","datePublished":"2020-01-02"}}</script>
-      <script type="application/ld+json">{{"url":"http://e.com/other","datePublished":"1999"}}</script></head>
+      <script type="application/ld+json">{{"@type":"Article","url":"http://e.com/x","datePublished":"2020-01-02"}}</script>
+      <script type="application/ld+json">{{"@type":"Article","url":"http://e.com/other","datePublished":"1999"}}</script></head>
       <body><nav><p>{para} nav</p><a href="/no">n</a></nav><article><p>{para}<br>short</p><a href="/yes">y</a><time datetime="2020">x</time></article></body>"""
     got = pages.pages(spark.createDataFrame([(1, "http://e.com/x", html), (2, None, None)], "page_id long, url string, html string")).orderBy("page_id").collect()
     assert got[0]["title"] == "T & U" and got[0]["paragraphs"] == [para] and got[0]["links"] == ["http://e.com/yes"]
-    assert [(d["source"], d["raw"]) for d in got[0]["dates"]] == [("json_ld", "2020-01-02"), ("meta", "2020-01-01"), ("time", "2020")]
+    dated = [(d["source"], d["raw"], d["refused"]) for d in got[0]["dates"]]
+    assert dated == [("json_ld", "2020-01-02", None), ("json_ld", "1999", "contradictory_entity_binding"), ("meta", "2020-01-01", None)]
     assert got[1]["paragraphs"] == [] and got[1]["title"] is None
 
 

@@ -73,13 +73,33 @@ def stalls(events: DataFrame, seconds: int = 90) -> DataFrame:
     return events.withColumn("gap", gap).where(F.col("gap") > seconds).select("inv", "seq", "gap")
 
 
+#: Lines of a period that one task sums, on average.
+LEDGER_BLOCK = 100_000
+
+
 def ledger(lines: DataFrame, cap: int) -> DataFrame:
-    """(period, seq, spent, allowed, overdrawn): running totals of reserve lines against the cap, which grants raise."""
-    order = Window.partitionBy("period").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    spent = F.sum(F.when(F.col("kind") == "reserve", F.col("amount")).otherwise(0)).over(order)
-    allowed = F.lit(cap) + F.sum(F.when(F.col("kind") == "grant", F.col("amount")).otherwise(0)).over(order)
-    rows = lines.select("period", "seq", spent.alias("spent"), allowed.alias("allowed"))
-    return rows.withColumn("overdrawn", F.col("spent") > F.col("allowed"))
+    """(period, seq, spent, allowed, overdrawn): running totals of reserve lines against the cap, which grants raise.
+
+    A period's lines are cut into runs of seq, each summed on its own and started
+    from the total of the runs before it, so that no period goes through one task.
+    seq is unique in a period.
+    """
+    amount = lambda kind: F.when(F.col("kind") == kind, F.col("amount")).otherwise(F.lit(0).cast("long"))
+    rows = lines.select("period", "seq", amount("reserve").alias("out"), amount("grant").alias("in"))
+    bounds = rows.groupBy("period").agg(F.min("seq").alias("least"), F.max("seq").alias("most"), F.count(F.lit(1)).alias("n"))
+    # Periods are few beside their lines; Spark broadcasts them only while they are.
+    blocks = F.ceil(F.col("n") / LEDGER_BLOCK)
+    block = F.floor((F.col("seq") - F.col("least")) * blocks / (F.col("most") - F.col("least") + 1)).cast("long")
+    rows = rows.join(bounds, "period").select("period", "seq", "out", "in", block.alias("block"))
+    sums = rows.groupBy("period", "block").agg(F.sum("out").alias("out"), F.sum("in").alias("in"))
+    before = Window.partitionBy("period").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("period", "block", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("out", "in")])
+    within = Window.partitionBy("period", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    totals = rows.select("period", "seq", "block", F.sum("out").over(within).alias("o"), F.sum("in").over(within).alias("i"))
+    found = totals.join(starts, ["period", "block"]).select(
+        "period", "seq", (F.col("o") + F.col("out_before")).alias("spent"), (F.lit(cap) + F.col("i") + F.col("in_before")).alias("allowed")
+    )
+    return found.withColumn("overdrawn", F.col("spent") > F.col("allowed"))
 
 
 def daily_runs(events: DataFrame, most: int = 3) -> DataFrame:

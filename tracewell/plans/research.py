@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import questions
@@ -9,11 +10,20 @@ from ..operators import research, selection
 from .texts import _IN
 from .views import CANDIDATES, candidates, table
 
-#: Topics and questions that documents are dealt to by their id.
-TOPICS = 40
 FACETS = [("inner", r"(?i)\bin\b"), ("ends", r"(?i)ing\b"), ("none", r"(?i)\bzzzz\b")]
 
 
+def _topics(spark, sf_dir) -> int:
+    """How many topics and questions documents are dealt to by their id: all rows of benchmark."""
+    return max(table(spark, sf_dir, "benchmark").count(), 1)
+
+
+def _numbered(spark, sf_dir, *columns):
+    """Benchmark rows by their place in order of item_id, from 0; the table is read twice and small beside the documents."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", *columns)
+    return rows.withColumn("topic_no", (F.row_number().over(Window.orderBy("item_id")) - 1).cast("long"))
+
+
 def question_searches(spark, sf_dir):
     """The document query (place 0) and follow-ups of a question made of each benchmark text."""
     kind = F.col("item_id") % 4
@@ -35,28 +45,29 @@ def explicit_claims(spark, sf_dir):
 
 
 def topic_sources(spark, sf_dir):
-    """Documents as leads of a benchmark text's first words; every eleventh is a bare report."""
-    topics = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract("text", r"^(?:\S+\s+){0,7}\S+", 0).alias("topic"))
+    """Documents as leads of a benchmark text; every eleventh is a bare report."""
+    many = _topics(spark, sf_dir)
+    topics = _numbered(spark, sf_dir, F.coalesce("text", F.lit("")).alias("topic"))
     n, bare = F.col("doc_id"), F.col("doc_id") % 11 == 0
     host = F.concat(F.lit("https://d"), n % 13, F.when(n % 4 == 0, ".gov").otherwise(".org"))
     leads = table(spark, sf_dir, "documents").select(
-        (n % TOPICS).alias("topic_id"),
-        (F.floor(n / TOPICS) % 7).alias("search"),
+        (n % many).alias("topic_id"),
+        (F.floor(n / many) % 7).alias("search"),
         n.alias("ord"),
         F.concat(host, F.when(n % 3 == 0, "/reports/").otherwise("/news/"), n).alias("url"),
         F.when(bare, "Annual Report").when(n % 5 == 0, "A statement").alias("title"),
         F.when(~bare, F.col("text")).alias("snippet"),
     )
-    return research.topic_sources(leads.join(topics, F.col("topic_id") == F.col("item_id")))
+    return research.topic_sources(leads.join(topics, F.col("topic_id") == F.col("topic_no")))
 
 
 def _sentences(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
-    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % TOPICS).alias("question_id"), F.col("doc_id").alias("evidence_id"), "text")
+    asked = _numbered(spark, sf_dir, F.col("text").alias("question"))
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % _topics(spark, sf_dir)).alias("question_id"), F.col("doc_id").alias("evidence_id"), "text")
     pieces = F.regexp_extract_all("text", F.lit(r"[^.!?\n]+[.!?]?"), F.lit(0))
     said = docs.select("question_id", "evidence_id", F.posexplode(pieces).alias("ord", "raw"))
     rows = said.select("question_id", "evidence_id", "ord", F.trim("raw").alias("sentence"), F.lit(None).cast("string").alias("title"))
-    return rows.join(asked, F.col("question_id") == F.col("item_id"))
+    return rows.join(asked, F.col("question_id") == F.col("topic_no"))
 
 
 def source_statements(spark, sf_dir):
@@ -151,9 +162,10 @@ def _dossier(text: str) -> str:
 _NAME = r"\b[A-Z][A-Z0-9]{1,8}\b"
 
 STATEMENTS = f"""
-said_v AS (SELECT d.doc_id % {TOPICS} AS question_id, d.doc_id AS evidence_id, b.text AS question,
+top_v AS (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS topic_no, count(*) OVER () AS many FROM benchmark),
+said_v AS (SELECT topic_no AS question_id, d.doc_id AS evidence_id, b.text AS question,
     unnest(regexp_extract_all(d.text, '[^.!?\\n]+[.!?]?')) AS raw, generate_subscripts(regexp_extract_all(d.text, '[^.!?\\n]+[.!?]?'), 1) - 1 AS ord
-  FROM documents d JOIN benchmark b ON d.doc_id % {TOPICS} = b.item_id),
+  FROM documents d JOIN top_v b ON d.doc_id % many = topic_no),
 words_v AS (SELECT *, trim(raw, ' ') AS sentence, {_dossier("question")} AS wanted, {_dossier("trim(raw, ' ')")} AS terms,
     list_transform(regexp_extract_all(question, '{_NAME}'), lambda n: lower(n)) AS names FROM said_v
   WHERE length(trim(raw, ' ')) BETWEEN 40 AND 1200 AND NOT ends_with(trim(raw, ' '), '?')),
@@ -181,11 +193,11 @@ ORACLE_SQL = {
             THEN question WHEN own = '' THEN question ELSE own END || ' ' ||
             CASE WHEN data THEN {_text(questions.DATA_ENDING)} ELSE {_text(questions.STATEMENT_ENDING)} END AS q, 'documents' AS purpose FROM t
         UNION ALL SELECT item_id, t.focus, place, CASE WHEN short = '' THEN question ELSE short END || ' ' || ending, purpose FROM t JOIN e ON t.focus = e.focus""",
-    "topic_sources": f"""WITH t AS (SELECT item_id, regexp_extract(text, '^(?:\\S+\\s+){{0,7}}\\S+') AS topic FROM benchmark),
-        l AS (SELECT doc_id % {TOPICS} AS topic_id, topic, (doc_id // {TOPICS}) % 7 AS search, doc_id AS ord, 'd' || (doc_id % 13) || CASE WHEN doc_id % 4 = 0
+    "topic_sources": f"""WITH t AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS topic_no, count(*) OVER () AS many, coalesce(text, '') AS topic FROM benchmark),
+        l AS (SELECT topic_no AS topic_id, topic, (doc_id // many) % 7 AS search, doc_id AS ord, 'd' || (doc_id % 13) || CASE WHEN doc_id % 4 = 0
             THEN '.gov' ELSE '.org' END AS host, doc_id % 3 = 0 AS pub, doc_id % 11 = 0 AS bare,
             CASE WHEN doc_id % 11 = 0 THEN 'Annual Report ' ELSE CASE WHEN doc_id % 5 = 0 THEN 'A statement ' ELSE ' ' END || coalesce(text, '') END AS seen
-          FROM documents JOIN t ON doc_id % {TOPICS} = item_id),
+          FROM documents JOIN t ON doc_id % many = topic_no),
         m AS (SELECT *, {_topic("topic")} AS wanted, len(list_intersect({_topic("topic")}, {_topic("seen")})) AS matches,
           list_has_any(regexp_extract_all(topic, '{_NAME}'), regexp_extract_all(upper(seen), '\\w+')) AS named FROM l),
         c AS (SELECT *, len(wanted) AS n_wanted, CASE WHEN matches = 0 THEN 3 WHEN matches >= ceil(len(wanted) * 0.75) THEN 1 ELSE 2 END AS tier FROM m),

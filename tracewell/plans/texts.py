@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as text_fn
 from ..functions import urls
-from ..operators import cases, citations, pages, research, similarity
+from ..operators import cases, citations, pages, research, similarity, validation
 from ..sources.shared import written
 from .views import table
 
@@ -55,9 +55,9 @@ def _pages(spark, sf_dir) -> DataFrame:
 
 
 def _citations(spark, sf_dir) -> DataFrame:
-    """Each document cites the page with its id modulo the number of pages, with a quote of three kinds."""
+    """Each document cites the page with its id modulo the largest page id and one, if there is one, with a quote of three kinds."""
     pages = table(spark, sf_dir, "pages")
-    n = pages.count()
+    n = (pages.agg(F.max("page_id")).first()[0] or 0) + 1
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % n).alias("page_id"))
     cited = docs.join(pages, "page_id")
     kind = F.col("doc_id") % 4
@@ -76,7 +76,7 @@ key_v AS (SELECT page_id, url, html, page_id % 7 AS case_id, regexp_replace(url,
 cite_v AS (SELECT p.case_id, 'c' || doc_id AS citation_id, doc_id AS from_id, p.key, p.url,
     CASE doc_id % 4 WHEN 0 THEN substr(html, 11, 20) WHEN 1 THEN 'no such passage' WHEN 2 THEN substr(html, 11, 20) END AS quote,
     CASE doc_id % 4 WHEN 0 THEN 10 WHEN 2 THEN 12 END AS start
-  FROM documents d JOIN key_v p ON d.doc_id % (SELECT count(*) FROM pages) = p.page_id)
+  FROM documents d JOIN key_v p ON d.doc_id % (SELECT max(page_id) + 1 FROM pages) = p.page_id)
 """
 
 
@@ -350,6 +350,51 @@ def repeated_items(spark, sf_dir):
     return cases.repeated_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
+def _case_tables(spark, sf_dir) -> dict[str, DataFrame]:
+    """Documents as cases of a claim, an asset, two items of evidence, two occurrences, a relation and a read, some of them unsound."""
+    n, c = F.col("n"), F.col
+    rows = table(spark, sf_dir, "documents").select(c("doc_id").alias("n"), c("doc_id").alias("case_id"), "text")
+    pick = lambda m, r, odd, sound: F.when(n % m == r, odd).otherwise(sound)
+    none = F.lit(None).cast("string")
+    said = rows.select(
+        "case_id", F.lit("e1").alias("id"), pick(31, 0, "ftp://a.org/x", "https://a.org/x").alias("source_url"), none.alias("title"),
+        F.lit("text").alias("content"), "text", F.lit("page_quote").alias("attribution"), none.alias("asset_id"), none.alias("span_kind"),
+        F.lit(None).cast("long").alias("start_ms"), F.lit(None).cast("long").alias("duration_ms"), pick(23, 0, "guessed", "observed").alias("date_status"),
+        pick(7, 0, "2023-02-29", "2024-02-29").alias("date_value"), F.lit("day").alias("date_precision"), F.lit("page_meta").alias("date_source"),
+        pick(11, 0, none, F.lit("https://a.org/x")).alias("date_url"), none.alias("date_rationale"), F.lit("retrieval").alias("method"),
+        F.lit("unknown").alias("rights"), F.lit("reference_only").alias("retention"), pick(13, 0, "sha256:0", none).alias("content_hash"),
+        F.lit("2024-03-01T10:00:00Z").alias("retrieved_at"),
+    )
+    seen = said.withColumns({
+        "id": F.lit("e2"), "content": F.lit("media"), "asset_id": F.when(c("case_id") % 17 == 0, "m9").otherwise("m1"), "span_kind": F.lit("time"),
+        "start_ms": F.lit(5).cast("long"), "duration_ms": F.when(c("case_id") % 19 == 0, 50).otherwise(5).cast("long"),
+    })
+    assessed = [F.lit("observed").alias("assessed"), F.array(pick(29, 0, "e9", "e1")).alias("evidence_ids"), none.alias("rationale")]
+    occurrences = rows.select(
+        "case_id", F.explode(F.array(F.lit("o1"), F.lit("o2"))).alias("id"), F.lit("m1").alias("asset_id"), F.lit("e2").alias("evidence_id"),
+        F.lit("whole").alias("span_kind"), F.lit(None).cast("long").alias("start_ms"), F.lit(None).cast("long").alias("duration_ms"),
+        F.lit("unknown").alias("assessed"), F.lit(None).cast("array<string>").alias("evidence_ids"), none.alias("rationale"),
+    )
+    return {
+        "claims": rows.select("case_id", F.lit("c1").alias("id"), F.lit("a claim").alias("text"), none.alias("language")),
+        "assets": rows.select("case_id", F.lit("m1").alias("id"), F.lit("video").alias("kind"), none.alias("url"), F.lit(10).cast("long").alias("duration_ms")),
+        "evidence": said.unionByName(seen),
+        "occurrences": occurrences,
+        "relations": rows.select(
+            "case_id", F.lit("r1").alias("id"), F.lit("occurrence_occurrence").alias("kind"), F.lit("o1").alias("left_id"), pick(5, 0, "o1", "o2").alias("right_id"),
+            pick(3, 0, "similar_media", "repost").alias("relationship"), *assessed,
+        ),
+        "reads": rows.select(
+            "case_id", F.lit("e1").alias("id"), F.lit("https://a.org/x").alias("requested_url"), pick(37, 0, none, F.lit("https://a.org/x")).alias("final_url"),
+            pick(41, 0, "different_resource", "same_resource").alias("binding"), F.lit("page_quote").alias("outcome"), none.alias("reference_text"), none.alias("reference_support"),
+        ),
+    }
+
+
+def case_validation(spark, sf_dir):
+    return validation.validate(_case_tables(spark, sf_dir))
+
+
 def case_violations(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").withColumn("id", F.col("doc_id"))
     rules = {
@@ -469,7 +514,7 @@ QUERIES = {
         canonical_urls, source_keys, audit_urls, safe_references, redirect_bindings, merged_pages, citation_checks, shared_citations,
         duplicate_passages, url_mentions, near_duplicate_texts, duplicate_groups, statement_appearances, statement_families,
         statement_connections, near_vector_hashes, relation_changes, frame_unions, coverage_runs, topic_audits, recognized_segments,
-        capped_attributes,
+        capped_attributes, case_validation,
         contained_sentences, evidence_diff, current_heads, revision_gaps, stale_bindings, historical_versions, upserted_heads,
         affected_relations, sticky_warnings, integrity_violations, repeated_items, case_violations, watchlist_matches, change_notices,
         word_counts, extracted_pages, claim_disagreements, claim_accounts, claim_relations,
@@ -533,6 +578,17 @@ ORACLE_SQL = {
         r AS (SELECT case_id, a, b, CASE WHEN same THEN 'same_retained_wording' ELSE 'plausible_connection' END AS status,
           row_number() OVER (PARTITION BY case_id ORDER BY a, b) AS place FROM p WHERE same OR common >= 4 AND common * 100 >= (both_ - common) * 40)
         SELECT case_id, a, b, status, CAST(place AS INT) AS place FROM r WHERE place <= 12""",
+    "case_validation": r"""WITH d AS (SELECT doc_id AS n, coalesce(regexp_matches(text, '[^ ]') AND length(text) <= 20000, false) AS fine FROM documents),
+        v(path, id, rule, m) AS (VALUES ('evidence', 'e1', 'source_url', 31), ('evidence', 'e2', 'source_url', 31), ('evidence', 'e1', 'date_status', 23),
+          ('evidence', 'e2', 'date_status', 23), ('evidence', 'e1', 'content_hash', 13), ('evidence', 'e2', 'content_hash', 13),
+          ('evidence', 'e2', 'evidence_asset', 17), ('relations', 'r1', 'assessment_evidence', 29), ('relations', 'r1', 'no_self_relation', 5),
+          ('relations', 'r1', 'similarity_is_inferred', 3), ('reads', 'e1', 'extracted_read_is_bound', 41))
+        SELECT n AS case_id, path, id, rule FROM d JOIN v ON n % m = 0
+        UNION ALL SELECT n, 'evidence', e, 'date_form' FROM d, (VALUES ('e1'), ('e2')) x(e) WHERE n % 7 = 0 AND n % 23 <> 0
+        UNION ALL SELECT n, 'evidence', e, 'date_source_has_a_url' FROM d, (VALUES ('e1'), ('e2')) x(e) WHERE n % 11 = 0 AND n % 23 <> 0
+        UNION ALL SELECT n, 'evidence', 'e2', 'span_beyond_media' FROM d WHERE n % 19 = 0 AND n % 17 <> 0
+        UNION ALL SELECT n, 'reads', 'e1', 'bound_read_has_a_final_url' FROM d WHERE n % 37 = 0 AND n % 41 <> 0
+        UNION ALL SELECT n, 'evidence', 'e1', 'text' FROM d WHERE NOT fine""",
     "relation_changes": f"""WITH {REVISIONS} SELECT coalesce(a.case_id, b.case_id) AS case_id, 'r' || coalesce(a.evidence_id, b.evidence_id) AS relation_id,
           a.digest AS before, b.digest AS after FROM (SELECT * FROM rev_v WHERE revision = 1) a FULL JOIN (SELECT * FROM rev_v WHERE revision = 2) b
           ON a.evidence_id = b.evidence_id WHERE a.digest IS DISTINCT FROM b.digest""",
