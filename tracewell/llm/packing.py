@@ -31,7 +31,7 @@ LENGTH = 4096
 GROUP = 4_096
 #: Words that each of a cache's two generations holds, some 200 bytes each; an
 #: executor's workers have what other operators left in memory as well.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 60_000
 #: Bins filled below this share are dissolved.
 DISSOLVE = 0.75
 

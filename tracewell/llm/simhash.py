@@ -14,9 +14,9 @@ and not the links, so that groups of copies stay linear in what they emit.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 from ..operators.components import connected
 from .common import scratch, written
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 RADIUS = 3
 #: Fingerprints in a block of a large bucket, on average: BLOCK while that gives
 #: at most BLOCKS blocks, then as many as BLOCKS give, up to LARGE_BLOCK.
@@ -100,6 +103,8 @@ def _links_within(fp: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
 
 def _links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Links within each group of frames sorted by group; a group may go on in the next frame."""
+    import pandas as pd
+
     key, rest = ["tab", "key", "i", "j"], None
     for frame in frames:
         frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
@@ -114,6 +119,8 @@ def _links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _links_of(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
     """Links of the groups that begin at ``starts``, but for the last."""
+    import pandas as pd
+
     fp, side = frame["fp"].to_numpy(np.int64), frame["side"].to_numpy()
     a, b = [], []
     for lo, hi in zip(starts[:-1], starts[1:]):
