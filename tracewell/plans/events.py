@@ -99,12 +99,12 @@ def _segments(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("media_id"), F.col("turn").alias("seq"), (F.col("turn") * 100 - length % 150).alias("start_ms"),
         (F.col("turn") * 100 + length % 90 - 10).alias("end_ms"), F.lit(650).alias("duration_ms"), "text",
-        F.left("text", F.lit(2)).alias("norm"),
+        F.regexp_replace(F.lower(F.col("text")), r"[^\p{L}\p{N}]+", "").alias("norm"),
     )
 
 
 SEGMENTS = """sg_v AS (SELECT conv_id AS media_id, turn AS seq, turn * 100 - length(text) % 150 AS start_ms, turn * 100 + length(text) % 90 - 10 AS end_ms,
-    text, left(text, 2) AS norm FROM conversations)"""
+    text, regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g') AS norm FROM conversations)"""
 
 
 def segment_violations(spark, sf_dir):
@@ -149,10 +149,15 @@ def resolved_dates(spark, sf_dir):
 
 
 def streamed_first_emissions(spark, sf_dir):
-    """first_emissions as a stream over the event files, with duplicates dropped within the watermark."""
+    """first_emissions as a stream over the event files; its state is one row for each key that was ever seen."""
     return jobs.run_once(spark, f"{sf_dir}/event[s].parquet", jobs.first_emissions)
 
 
+def streamed_recent_emissions(spark, sf_dir):
+    """First emissions with bounded state: duplicates are dropped within the watermark. All files are one micro-batch here."""
+    return jobs.run_once(spark, f"{sf_dir}/event[s].parquet", jobs.recent_first_emissions).select("inv", "key")
+
+
 def streamed_event_fold(spark, sf_dir):
     """The phase of each investigation, by a stateful stream over the event files."""
     return jobs.run_once(spark, f"{sf_dir}/event[s].parquet", jobs.phases, last_by=("inv", "last_seq"))
@@ -173,7 +178,7 @@ QUERIES = {
     for f in (
         event_fold, first_emissions, stage_durations, stalled_streams, watch_changes, recent_checks, ledger_totals, daily_runs, request_log,
         candidate_audit, match_confusion, segment_violations, repetitive_recognition, speech_leads, merged_surfaces, related_queries,
-        distinct_frames, resolved_dates, streamed_first_emissions, streamed_event_fold, streamed_watch_changes, streamed_event_windows,
+        distinct_frames, resolved_dates, streamed_first_emissions, streamed_recent_emissions, streamed_event_fold, streamed_watch_changes, streamed_event_windows,
     )
 }
 
@@ -227,6 +232,7 @@ ORACLE_SQL = {
         r AS (SELECT inv, title, CAST(row_number() OVER (PARTITION BY inv ORDER BY pos, title) AS INT) AS place FROM f) SELECT * FROM r WHERE place <= 5""",
     "distinct_frames": f"""WITH {CANDIDATES} SELECT inv AS media_id, count(DISTINCT grp) AS kept, count(*) - count(DISTINCT grp) AS skipped FROM cand_v GROUP BY inv""",
     "streamed_first_emissions": f"WITH {EVENTS} SELECT DISTINCT inv, key FROM ev_v WHERE event_type = 'evidence'",
+    "streamed_recent_emissions": f"WITH {EVENTS} SELECT DISTINCT inv, key FROM ev_v WHERE event_type = 'evidence'",
     "streamed_event_fold": f"WITH {EVENTS}, f AS ({_FOLD}) SELECT inv, phase, last_seq FROM f",
     "streamed_watch_changes": f"""WITH {EVENTS} {_CHANGES} SELECT watch_id, url, seq, CASE WHEN before IS NULL THEN CASE WHEN quote THEN 'new_passage' ELSE 'new_lead' END
         ELSE 'changed_sample' END AS change FROM w WHERE before IS NULL OR before <> digest""",

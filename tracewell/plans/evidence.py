@@ -33,9 +33,9 @@ def distribution_checks(spark, sf_dir):
 
 
 def text_anchors(spark, sf_dir):
-    """Each text's tenth to 30th character as a quote, anchored where it is or one place later by turns."""
+    """Each text but its first nine characters as a quote, anchored where it is or one place later by turns."""
     start = F.lit(9) + (F.col("doc_id") % 2).cast("int")
-    quote = F.substring("text", 10, 20)
+    quote = F.substring(F.col("text"), F.lit(10), F.length("text"))
     return table(spark, sf_dir, "documents").select("doc_id", evidence.anchor_holds(F.col("text"), start, quote).alias("holds"))
 
 
@@ -72,7 +72,7 @@ ORACLE_SQL = {
         WHEN relationship = 'NEAR_MATCH' AND origin_status = 'unresolved' THEN 'VISUAL_LEAD' ELSE relationship END AS kept FROM cand_v""",
     "distribution_checks": """SELECT l_linenumber % 2 = 0 AS even, CASE WHEN l_linenumber % 2 = 0 THEN 1 - l_discount - l_tax ELSE l_tax END
         >= greatest(l_discount, l_tax, 1 - l_discount - l_tax) - 0.001 AS valid, count(*) AS n FROM lineitem GROUP BY ALL""",
-    "text_anchors": """SELECT doc_id, coalesce(substr(text, 10 + CAST(doc_id % 2 AS INT), length(substr(text, 10, 20))) = substr(text, 10, 20), false) AS holds
+    "text_anchors": """SELECT doc_id, coalesce(substr(text, 10 + CAST(doc_id % 2 AS INT), length(substr(text, 10))) = substr(text, 10), false) AS holds
         FROM documents""",
     "read_audit": f"""WITH {CANDIDATES}, n AS (SELECT inv, count(*) FILTER (kind = 'source_link') AS links FROM cand_v GROUP BY inv),
         r AS (SELECT c.inv, kind, position, row_number() OVER (PARTITION BY c.inv, kind ORDER BY position, cand_id) AS place,
