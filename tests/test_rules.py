@@ -514,3 +514,29 @@ def test_the_rest_works_without_llm(tmp_path, also):
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'claim_status' in q and not [n for n in q if n.startswith('op') and n[2].isdigit() or n == 'pipeline'] and set(o) <= set(q)"
     done = subprocess.run([sys.executable, "-c", code], cwd=copy, env={"PYTHONPATH": str(copy), "PATH": "/usr/bin:/bin"}, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_case_projection_takes_the_first_bucket_and_counts_what_it_leaves_out(spark):
+    rows = [
+        (1, "a", "dated_lead", "https://a.org/lead", True),
+        (1, "a", "undated", "https://a.org/undated", True),
+        (1, "b", "dated_core", "http://10.0.0.1/", False),
+        (1, "b", "undated", "https://b.org/", True),
+        (1, "c", "dated_contextual", "https://c.org/" + "x" * 4096, True),
+        (1, "d", "dated_core", None, None),
+        (2, "a", "dated_contextual", "https://a.org/context", True),
+    ]
+    timeline = spark.createDataFrame(rows, "inv int, cand_id string, bucket string, url string, safe boolean")
+    got = sorted(map(tuple, cases.case_projection(timeline).collect()))
+    assert got == [(1, "a", "undated", "https://a.org/undated"), (2, "a", "dated_contextual", "https://a.org/context")]
+    assert sorted(map(tuple, cases.case_omissions(timeline).collect())) == [(1, 3), (2, 0)]
+
+
+def test_topic_passages_are_distinct_and_cut(spark):
+    long = "river bridge " + "x" * 3000
+    texts = ["the river", " flood river bridge\u00a0", "flood river bridge", "", long, "nothing shared", "bridge"]
+    rows = [(7, i, text, text.split()) for i, text in enumerate(texts)]
+    paragraphs = spark.createDataFrame(rows, "page_id int, ord int, text string, words array<string>")
+    claims = spark.createDataFrame([(1, ["flood", "river", "bridge"]), (2, ["absent"])], "claim_id int, words array<string>")
+    got = [tuple(r) for r in selection.topic_passages(paragraphs, claims).collect()]
+    assert got == [(1, 7, "\n\n".join(["flood river bridge", long[:2400], "the river"]))]

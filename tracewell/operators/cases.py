@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Longest URL of a case's evidence.
+MOST_URL = 4096
+
 
 def diff(before: DataFrame, after: DataFrame, confirmed: Column | None = None) -> DataFrame:
     """(case_id, evidence_id, change, before, after): added, changed, removed, or unconfirmed_removal.
@@ -111,11 +114,27 @@ def notices(matches: DataFrame, changes: DataFrame, revision: Column) -> DataFra
     return rows.select(F.concat(F.lit("sha256:"), F.sha2(listed, 256)).alias("notice_id"), "watch_id", "case_id", "n_changes")
 
 
+def _first_of_buckets(timeline: DataFrame) -> DataFrame:
+    """(inv, cand_id, r): the first row of each candidate over the four buckets in their order."""
+    order = F.create_map(*[F.lit(x) for x in ("dated_core", 0, "undated", 1, "dated_lead", 2, "dated_contextual", 3)])
+    rows = timeline.withColumn("o", F.try_element_at(order, F.col("bucket")))
+    kept = F.col("safe") & (F.length("url") <= MOST_URL)
+    row = F.struct("bucket", "url", F.coalesce(kept, F.lit(False)).alias("kept"))
+    return rows.groupBy("inv", "cand_id").agg(F.min_by(row, "o").alias("r"))
+
+
 def case_projection(timeline: DataFrame) -> DataFrame:
-    """First row of each (inv, cand_id) over the four buckets in their order; unsafe URLs are left out."""
-    order = F.create_map(*[F.lit(x) for x in ("dated_core", 0, "dated_lead", 1, "dated_contextual", 2, "undated", 3)])
-    rows = timeline.where("safe").withColumn("o", F.try_element_at(order, F.col("bucket")))
-    return rows.groupBy("inv", "cand_id").agg(F.min_by(F.struct("bucket", "url"), "o").alias("r")).select("inv", "cand_id", "r.*")
+    """(inv, cand_id, bucket, url): a candidate's first row, unless its URL is unsafe, missing or too long.
+
+    A later row of the same candidate never stands in for one that is left out.
+    """
+    return _first_of_buckets(timeline).where("r.kept").select("inv", "cand_id", "r.bucket", "r.url")
+
+
+def case_omissions(timeline: DataFrame) -> DataFrame:
+    """(inv, omitted): how many candidates case_projection leaves out; 0 where it leaves out none."""
+    left_out = F.count_if(~F.col("r.kept"))
+    return _first_of_buckets(timeline).groupBy("inv").agg(left_out.alias("omitted"))
 
 
 def relation_changes(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -133,3 +133,18 @@ def best_paragraphs(paragraphs: DataFrame, claims: DataFrame, most: int = 3) ->
     shared = said.join(asked, "word").groupBy("claim_id", "page_id", "ord").agg(F.count(F.lit(1)).alias("overlap"))
     by = Window.partitionBy("claim_id", "page_id").orderBy(F.desc("overlap"), "ord")
     return shared.withColumn("place", F.row_number().over(by)).where(F.col("place") <= most)
+
+
+def topic_passages(paragraphs: DataFrame, claims: DataFrame, most: int = 3, longest: int = 2400) -> DataFrame:
+    """(claim_id, page_id, passages): the best paragraphs of a page, each cut at ``longest``, with a blank line between.
+
+    ``paragraphs`` is (page_id, ord, text, words). Of paragraphs with the same
+    trimmed text the first counts; blank ones and those without a shared word don't.
+    """
+    trimmed = paragraphs.withColumn("text", F.regexp_replace("text", r"(?U)^\s+|\s+$", "")).where("text <> ''")
+    first = trimmed.groupBy("page_id", F.sha2("text", 256).alias("same")).agg(F.min_by(F.struct("ord", "text", "words"), "ord").alias("p"))
+    first = first.select("page_id", "p.*")
+    best = best_paragraphs(first, claims, most).join(first.select("page_id", "ord", F.substring("text", 1, longest).alias("part")), ["page_id", "ord"])
+    parts = F.array_sort(F.collect_list(F.struct("place", "part")))
+    joined = F.array_join(F.transform(parts, lambda x: x["part"]), "\n\n")
+    return best.groupBy("claim_id", "page_id").agg(joined.alias("passages"))
