@@ -30,7 +30,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row
     """(doc_id, digest, row): SHA-256 of the text with A-Z lower-cased.
 
     A null text counts as empty. ``row`` tells apart rows that repeat a doc_id;
-    it is drawn here unless a column of unique longs is named.
+    it is drawn here unless a column of unique values is named.
     """
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), ASCII_UPPER, ASCII_LOWER)
     return docs.select(
@@ -88,8 +88,9 @@ class DigestIndex:
     def known(self, entries: DataFrame, batch_id: str) -> DataFrame:
         """The entries that another batch brought, with its keep_id; the largest, should two have brought them at once."""
         found = self._dealt(entries).join(self.before(batch_id).hint("merge"), "digest")
+        no_row = F.lit(None).cast(entries.schema["keep_row"].dataType)
         return found.groupBy("digest").agg(
-            F.max("old_id").alias("keep_id"), F.lit(None).cast("long").alias("keep_row"), F.max("group_size").alias("group_size")
+            F.max("old_id").alias("keep_id"), no_row.alias("keep_row"), F.max("group_size").alias("group_size")
         )
 
     def append(self, fresh: DataFrame, batch_id: str) -> None:

@@ -163,7 +163,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, fingerprint, component_id, component, row) of every document.
 
     component_id is the smallest doc_id of the component and ``component`` a key
-    of it that is never null; ``row`` is the column of unique longs if one is
+    of it that is never null; ``row`` is the column of unique values if one is
     named, and else null.
 
     Null, empty and wordless texts have fingerprint zero and link like any
@@ -175,7 +175,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         prints = docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
             fingerprint_column(F.col(text_col)).alias("fp"),
-            (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"),
+            (F.col(row_col) if row_col else F.lit(None).cast("long")).alias("row"),
         )
         prints = keep(written(prints, "fingerprints"))
         # One row a fingerprint, which is its own node: equal ones need no link.
