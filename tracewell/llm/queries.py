@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, language, nearest, packing, pii, quality, simhash, url_filter
+from . import bpe, chat, exact_dedup, language, main_text, nearest, packing, phrases, pii, quality, simhash, spelling, url_filter
 from .common import table
 
 #: Vocabulary files, by path; TOKENIZER_DIR overrides the installed package's place.
@@ -63,6 +63,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host, _ = url_filter.host_and_path(F.col("url"))
+    return main_text.main_text(table(spark, sf_dir, "pages"), host)
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents")).drop("n_left", "n_right")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
@@ -74,9 +87,15 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_pii": op10_pii,
+    "op11_main_text": op11_main_text,
+    "op12_phrases": op12_phrases,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE_SQL = {
     "op5_chat": chat.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_main_text": main_text.ORACLE_SQL,
+    "op12_phrases": phrases.ORACLE_SQL,
+    "op13_spelling": spelling.ORACLE_SQL,
 }
