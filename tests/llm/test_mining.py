@@ -156,8 +156,8 @@ def test_index_counts_patterns(rows):
     counts, before, after, _ = plain_grams(rows)
     batch = pa.RecordBatch.from_pylist([{"lang": lang or "und", "text": text} for lang, text in rows], pa.schema([("lang", pa.string()), ("text", pa.string())]))
     seen = 0
-    for shard in (r for b in phrases._shards([batch]) for r in b.to_pylist()):
-        index, words = phrases._index_of(shard), shard["words"]
+    for shard, words, index in phrases._indexed(phrases._shards([batch])):
+        words = words.to_pylist()
         found = index.singles()
         for k in (1, 2, 3):
             left, right = index.going_on(found)
@@ -188,12 +188,11 @@ def test_shards_are_cut(monkeypatch):
     rng = random.Random(6)
     rows = [("en", " ".join(rng.choice("abcde") + rng.choice([" ", ". "]) for _ in range(200))) for _ in range(5)]
     batch = pa.RecordBatch.from_pylist([{"lang": lang, "text": text} for lang, text in rows])
-    shards, total = [r for b in phrases._shards([batch]) for r in b.to_pylist()], Counter()
+    shards, total = list(phrases._indexed(phrases._shards([batch]))), Counter()
     assert len(shards) > 10
-    for shard in shards:
-        index = phrases._index_of(shard)
+    for _, words, index in shards:
         found = index.to_the_right(index.to_the_right(index.singles()))
-        total.update({tuple(shard["words"][i - 1] for i in ids): int(n) for ids, n in zip(found.words, found.size)})
+        total.update({tuple(words[int(i) - 1].as_py() for i in ids): int(n) for ids, n in zip(found.words, found.size)})
     assert total == Counter({p: n for (_, p), n in plain_grams(rows)[0].items() if len(p) == 3})
 
 

@@ -237,17 +237,21 @@ def _counts(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 _BLOCK = 1 << 12
+#: Languages of a model, 4 * BUCKETS bytes each on the driver and in every worker; more are refused.
+MOST_LANGUAGES = 2_000
 
 
 def train(docs: DataFrame, trainable: Column) -> Model:
-    """Learn from a bounded sample of texts of each language, of which there may be any number; whole texts are counted.
+    """Learn from a bounded sample of texts of each language, of which there may be MOST_LANGUAGES; whole texts are counted.
 
     Spark sums the counts and lays a language's out as rows of at most _BLOCK
     pairs. The driver gets at most BUCKETS counts a language, in blocks, and
     keeps the model's 4 * BUCKETS bytes a language.
     """
     usable = docs.where(trainable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = usable.groupBy("lang").count().orderBy("lang").collect()
+    sizes = usable.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"{len(sizes)} values of lang to learn, where a model holds {MOST_LANGUAGES}: clean the column, or name those to learn")
     if not sizes:
         return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros((len(NAMES), 0), bool))
     # A hash below this share keeps some SAMPLE_PER_LANGUAGE texts of each language, evenly over the table.

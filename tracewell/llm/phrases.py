@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,14 +37,14 @@ LEAST, TOP = 10, 2000
 COVERED = 50
 SCALE = 1_000_000
 #: Words of a shard, and bytes of a text that are cut into words at once.
-SHARD, SLICE = 1 << 21, 1 << 20
+SHARD, SLICE = 1 << 20, 1 << 20
 #: Rows handed to Spark at once.
 ROWS = 1 << 16
 
 #: Marks between pieces become one mark; letters A-Z become small.
 _MARKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r" + ASCII_UPPER.encode(), b"." * 10 + ASCII_LOWER.encode())
 
-SHARD_SCHEMA = "shard long, lang string, words array<string>, counts array<long>, forward binary, backward binary"
+SHARD_SCHEMA = "shard long, lang string, words array<string>, counts array<int>, forward binary, backward binary"
 
 
 def tokens(text: str | None) -> Iterator[list[bytes]]:
@@ -60,6 +61,16 @@ def tokens(text: str | None) -> Iterator[list[bytes]]:
         start = end
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """Word ids, compressed byte by byte of their value: the higher ones are alike, and neighbours in a transform too."""
+    return zstandard.ZstdCompressor(1).compress(ids.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").ravel()
+
+
 def transforms(ids: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
     """The transforms of the words and of the reversed words, sorted by three words; 0 separates and ends pieces."""
 
@@ -70,7 +81,7 @@ def transforms(ids: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
             order = np.argsort(s << 42 | second << 21 | third)
         else:
             order = np.lexsort((third, second, s))
-        return s[order - 1].astype(np.int32)
+        return s[order - 1]
 
     return sorted_by_three(ids), sorted_by_three(ids[::-1])
 
@@ -89,11 +100,11 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place[[ids[w] for w in words]] = np.arange(1, len(words) + 1)
         seq = place[np.frombuffer(row, np.int32)]
         counts = np.bincount(seq, minlength=len(words) + 1)[1:]
-        forward, backward = (t.tobytes() for t in transforms(seq, len(words)))
+        forward, backward = map(packed, transforms(seq, len(words)))
         texts = pa.array(words.tolist(), pa.binary()).cast(pa.string())
         columns = [
             pa.array([number], pa.int64()), pa.array([lang]), pa.ListArray.from_arrays([0, len(texts)], texts),
-            pa.array([counts], pa.list_(pa.int64())), pa.array([forward], pa.binary()), pa.array([backward], pa.binary()),
+            pa.array([counts], pa.list_(pa.int32())), pa.array([forward], pa.binary()), pa.array([backward], pa.binary()),
         ]
         return pa.RecordBatch.from_arrays(columns, ["shard", "lang", "words", "counts", "forward", "backward"])
 
@@ -132,13 +143,12 @@ class FmIndex:
     """A bidirectional index of one shard. Word ids count from 1; 0 is the mark after a piece."""
 
     def __init__(self, forward: bytes | None, backward: bytes, counts: np.ndarray):
-        self.backward = np.frombuffer(backward, np.int32).astype(np.int64)
-        self.forward = None if forward is None else np.frombuffer(forward, np.int32)
+        self.backward = unpacked(backward).astype(np.int64)
+        self.forward = None if forward is None else unpacked(forward)
         self.n, self.counts = len(self.backward), counts
         self.starts = np.r_[0, self.n - counts.sum(), self.n - counts.sum() + np.cumsum(counts)][:-1].astype(np.int64)
         # All places of the backward transform by word, to rank in by binary search.
-        places = np.argsort(self.backward, kind="stable")
-        self.ranked = self.backward[places] * self.n + places
+        self.ranked = np.sort(self.backward * self.n + np.arange(self.n))
 
     def singles(self) -> Patterns:
         start = self.starts[1:]
@@ -170,8 +180,15 @@ class FmIndex:
         return tuple(out)
 
 
-def _index_of(row: dict) -> FmIndex:
-    return FmIndex(row.get("forward"), row["backward"], np.array(row["counts"], np.int64))
+def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, pa.Array, FmIndex]]:
+    """(row, words, index) of each shard; the row is without what the index and the words hold."""
+    for batch in batches:
+        for i in range(len(batch)):
+            row = {name: batch[name][i] for name in batch.schema.names}
+            forward = row.pop("forward").as_py() if "forward" in row else None
+            index = FmIndex(forward, row.pop("backward").as_py(), row.pop("counts").values.to_numpy().astype(np.int64))
+            words = row.pop("words").values
+            yield {name: value.as_py() for name, value in row.items()}, words, index
 
 
 def _in_slices(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -190,31 +207,27 @@ def _pair_hashes(lang: str, words: list[str], pairs: np.ndarray) -> np.ndarray:
 
 def _hashed_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, shard, place, c): the two-word patterns of each shard, by hash, with their place in its order."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            index = _index_of(row)
-            pairs = index.to_the_right(index.singles())
-            shard = np.full(len(pairs.size), row["shard"])
-            columns = [_pair_hashes(row["lang"], row["words"], pairs.words), shard, np.arange(len(shard), dtype=np.int32), pairs.size]
-            yield from _in_slices([pa.array(c) for c in columns], ["h", "shard", "place", "c"])
+    for row, words, index in _indexed(batches):
+        pairs = index.to_the_right(index.singles())
+        shard = np.full(len(pairs.size), row["shard"])
+        columns = [_pair_hashes(row["lang"], words.to_pylist(), pairs.words), shard, np.arange(len(shard), dtype=np.int32), pairs.size]
+        yield from _in_slices([pa.array(c) for c in columns], ["h", "shard", "place", "c"])
 
 
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Phrases of each shard: the two-word ones named by their places, and the three-word ones whose parts are named."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            index, words = _index_of(row), pa.array(row["words"])
-            pairs = index.to_the_right(index.singles())[np.sort(np.array(row["places"], np.int64))]
-            n_symbols = len(index.counts) + 1
-            named = pairs.words[:, 0] * n_symbols + pairs.words[:, 1]
-            triples = index.to_the_right(pairs)
-            triples = triples[np.isin(triples.words[:, 1] * n_symbols + triples.words[:, 2], named)]
-            for made in (pairs, triples):
-                each = [words.take(pa.array(made.words[:, i] - 1)) for i in range(made.words.shape[1])]
-                phrase, (left, right) = pc.binary_join_element_wise(*each, " "), index.going_on(made)
-                n = len(phrase)
-                columns = [pa.array([row["lang"]] * n), pa.array(np.full(n, len(each))), phrase, pa.array(made.size), pa.array(left), pa.array(right)]
-                yield from _in_slices(columns, ["lang", "size", "phrase", "a", "n_left", "n_right"])
+    for row, words, index in _indexed(batches):
+        pairs = index.to_the_right(index.singles())[np.sort(np.array(row["places"], np.int64))]
+        n_symbols = len(index.counts) + 1
+        named = pairs.words[:, 0] * n_symbols + pairs.words[:, 1]
+        triples = index.to_the_right(pairs)
+        triples = triples[np.isin(triples.words[:, 1] * n_symbols + triples.words[:, 2], named)]
+        for made in (pairs, triples):
+            each = [words.take(pa.array(made.words[:, i] - 1)) for i in range(made.words.shape[1])]
+            phrase, (left, right) = pc.binary_join_element_wise(*each, " "), index.going_on(made)
+            n = len(phrase)
+            columns = [pa.array([row["lang"]] * n), pa.array(np.full(n, len(each))), phrase, pa.array(made.size), pa.array(left), pa.array(right)]
+            yield from _in_slices(columns, ["lang", "size", "phrase", "a", "n_left", "n_right"])
 
 
 def shards_of(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
