@@ -101,7 +101,7 @@ def test_valid_classes_are_ordered_and_nested():
     def page(*roles):
         return [(main_text.Node(None, "", "", False, False), "", 0, list(roles))]
 
-    template = main_text.Template([{"role": r, "class": c, "word": False} for r, c in ((1, 7), (2, 7), (3, 8), (4, 8))])
+    template = main_text.Template([{"role": r, "class": c, "at": None} for r, c in ((1, 7), (2, 7), (3, 8), (4, 8))])
     nested, crossed, mixed = template.nesting(page(1, 3, 4, 3, 4, 2)), template.nesting(page(1, 3, 2, 4)), template.nesting(page(1, 4, 3, 3, 4, 2))
     assert nested[7][0] and nested[8][0] and nested[7][1] and nested[8][1] and nested[7][1] != nested[8][1]
     assert crossed[8][1] == 0 and mixed[8] == (0, 0)

@@ -235,7 +235,8 @@ def _up(node: Node) -> Iterator[Node]:
 
 # --- occurrence vectors ------------------------------------------------------
 
-VECTORS = "host string, role long, word boolean, n_pages long, total long, v1 long, v2 long"
+#: ``at`` is the element of a word, null for tags.
+VECTORS = "host string, role long, at long, n_pages long, total long, v1 long, v2 long"
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,32 +254,37 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums[role] = old[0] + 1, old[1] + n, old[2] + (h >> 32), old[3] + (h & 0xFFFFFFFF)
 
     def handed() -> pa.RecordBatch:
-        rows = [(host, 0, False, n, 0, 0, 0) for host, n in pages.items()]
-        rows += [(host, role, False, *sums) for host, found in tags.items() for role, sums in found.items()]
-        rows += [(host, node.word(w), True, *sums) for host, found in words.items() for (node, w), sums in found.items()]
-        kinds = [pa.string(), pa.int64(), pa.bool_(), *[pa.int64()] * 4]
+        rows = [(host, 0, None, n, 0, 0, 0) for host, n in pages.items()]
+        rows += [(host, role, None, *sums) for host, found in tags.items() for role, sums in found.items()]
+        rows += [(host, node.word(w), node.opened, *sums) for host, found in words.items() for node, sums_of in found.items() for w, sums in sums_of.items()]
+        kinds = [pa.string(), *[pa.int64()] * 6]
         columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds]
-        return pa.RecordBatch.from_arrays(columns, ["host", "role", "word", "n_pages", "total", "v1", "v2"])
+        return pa.RecordBatch.from_arrays(columns, ["host", "role", "at", "n_pages", "total", "v1", "v2"])
 
     for batch in batches:
         for host, html in zip(batch["host"].to_pylist(), batch["html"]):
             html = html.as_py() or ""
-            own, said = Counter(), Counter()
+            own, said = Counter(), defaultdict(Counter)
             known = words.get(host)
             for node, text, _, roles in reader.blocks(html):
                 own.update(roles)
-                said.update((node, w) for w in text.split() if known is None or (node, w) in known)
+                if known is None:
+                    said[node].update(text.split())
+                elif node in known:
+                    said[node].update(w for w in text.split() if w in known[node])
             if not own:
                 continue
             key = xxhash.xxh64_intdigest(html.encode("utf-8", "replace"), 3)
             pages[host] += 1
             for role, n in own.items():
                 added(tags[host], role, n, key)
-            sums = {} if known is None else {each: known[each] for each in said}
-            for each, n in said.items():
-                added(sums, each, n, key)
-            held += len(sums) - len(known or ())
-            words[host] = sums
+            held -= sum(map(len, (known or {}).values()))
+            # Of the words known so far, those that this page has too.
+            words[host] = {node: {w: known[node][w] for w in found} if known else {} for node, found in said.items() if found}
+            for node, sums in words[host].items():
+                for w, n in said[node].items():
+                    added(sums, w, n, key)
+                held += len(sums)
             if held >= HELD or len(pages) >= HELD // 100:
                 yield handed()
                 tags.clear(), words.clear(), pages.clear()
@@ -289,13 +295,13 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def classes_of(pages: DataFrame) -> DataFrame:
     """(host, class, role): the large and frequent equivalence classes of each host, from (host, html)."""
     parts = pages.mapInArrow(_vectors, VECTORS)
-    sums = parts.groupBy("host", "role").agg(F.max("word").alias("word"), *[F.sum(c).alias(c) for c in ("n_pages", "total", "v1", "v2")])
+    sums = parts.groupBy("host", "role").agg(F.max("at").alias("at"), *[F.sum(c).alias(c) for c in ("n_pages", "total", "v1", "v2")])
     sums = written(sums, "vectors")
     hosts = sums.where("role = 0").select("host", F.col("n_pages").alias("host_pages"))
     often = sums.where("role <> 0").join(hosts, "host").where(
-        (F.col("n_pages") >= LEAST_PAGES) & (F.col("n_pages") * ONE_IN >= F.col("host_pages")) & (~F.col("word") | (F.col("n_pages") == F.col("host_pages")))
+        (F.col("n_pages") >= LEAST_PAGES) & (F.col("n_pages") * ONE_IN >= F.col("host_pages")) & (F.col("at").isNull() | (F.col("n_pages") == F.col("host_pages")))
     )
-    every = often.select("host", "host_pages", F.xxhash64("n_pages", "total", "v1", "v2").alias("class"), "role", "word")
+    every = often.select("host", "host_pages", F.xxhash64("n_pages", "total", "v1", "v2").alias("class"), "role", "at")
     size = every.groupBy("host", "class").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     return written(every.join(size, ["host", "class"]), "classes")
 
@@ -310,8 +316,7 @@ def _with(pages: DataFrame, templates: DataFrame, size: int) -> DataFrame:
 
 def _by_host(roles: DataFrame) -> DataFrame:
     """One row a host: a template has as many roles as a page, not as the host's pages."""
-    role = F.col("role").alias("role")
-    return roles.groupBy("host").agg(F.collect_list(F.struct(role, "class", "word")).alias("template"), F.max("host_pages").alias("host_pages"))
+    return roles.groupBy("host").agg(F.collect_list(F.struct("role", "class", "at")).alias("template"), F.max("host_pages").alias("host_pages"))
 
 
 class Template:
@@ -320,7 +325,11 @@ class Template:
     def __init__(self, rows: list[dict] | None):
         rows = rows or []
         self.of = {r["role"]: r["class"] for r in rows}
-        self.words = {r["role"] for r in rows if r["word"]}
+        # Roles of words by their element: words elsewhere need not be looked at.
+        self.words: dict[int, set[int]] = defaultdict(set)
+        for r in rows:
+            if r["at"] is not None:
+                self.words[r["at"]].add(r["role"])
         self.size = Counter(self.of.values())
 
     def nesting(self, blocks: list[tuple[Node, str, int, list[int]]]) -> dict[int, tuple[int, int]]:
@@ -329,8 +338,8 @@ class Template:
         row: list[int] = []
         for node, text, _, roles in blocks:
             row += [r for r in roles if r in self.of]
-            if self.words and text:
-                row += [r for r in map(node.word, text.split()) if r in self.words]
+            if text and (known := self.words.get(node.opened)):
+                row += [r for r in map(node.word, text.split()) if r in known]
         for role in row:
             places[self.of[role]].append(role)
         orders, step = {}, {}
@@ -363,7 +372,8 @@ class Template:
         return {c: (order, gaps.get(c, 0) if order else 0) for c, order in orders.items()}
 
     def is_template(self, node: Node, text: str) -> bool:
-        return bool(self.words) and all(node.word(w) in self.words for w in text.split())
+        known = self.words.get(node.opened)
+        return bool(known) and all(node.word(w) in known for w in text.split())
 
 
 def _votes(blocks: list[tuple[Node, str, int, list[int]]], template: Template) -> Counter:
