@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import discard, scratch, written
 
-__all__ = ["ASCII_LOWER", "ASCII_UPPER", "crc_mod", "discard", "free_name", "scratch", "small_batches", "table", "written"]
+__all__ = ["ASCII_LOWER", "ASCII_UPPER", "crc_mod", "discard", "forget_shuffles", "free_name", "scratch", "small_batches", "table", "written"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -33,6 +33,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Have the driver collect frames that nothing holds, so that Spark removes their shuffles' files now, not at some later time."""
+    spark._jvm.System.gc()
+
+
 #: Texts handed to Python at once where an operator runs its own job. Some are
 #: very long, and an executor holds a batch twice for each of its tasks.
 BATCH = 500
