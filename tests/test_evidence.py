@@ -1,9 +1,10 @@
 from __future__ import annotations
 
+import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tracewell.operators import evidence
+from tracewell.operators import citations, evidence
 
 
 def test_distributions_are_rejected_not_repaired(spark):
@@ -77,7 +78,79 @@ def test_luminance_cut(spark):
     assert {r["media_id"]: r["ts_ms"] for r in got.collect()} == {1: 3000, 2: 2000}
 
 
-def test_link_follow_up(spark):
-    links = spark.createDataFrame([(1, "u", 90, "p", 0), (1, "v", 95, "p", 1), (1, "w", 99, "p", 2)], "inv int, url string, relevance int, parent string, position int")
-    read = spark.createDataFrame([(1, "w")], "inv int, url string")
-    assert sorted(tuple(r) for r in evidence.follow_links(links, read).collect()) == [(1, "u", "deferred"), (1, "v", "inspected")]
+def walked(links, pool):
+    """Follow-up one link at a time, as a reader of the pages would go through them."""
+    out = []
+    for inv in {x[0] for x in links}:
+        own = [p for p in pool if p[0] == inv]
+        classified, found = sum(p[3] for p in own), sum(p[2] in ("google_search", "source_link") for p in own)
+        known = {u: (any(p[3] for p in own if p[1] == u), any(p[4] for p in own if p[1] == u)) for u in {p[1] for p in own}}
+        chosen = False
+        for link in sorted((x for x in links if x[0] == inv), key=lambda x: (-x[2], x[3], x[4], x[1] or "")):
+            url, late = link[1], link[5]
+            if late:
+                state = "deadline"
+            elif url in known and known[url][1]:
+                state = "already_read"
+            elif chosen:
+                state = "page_limit"
+            elif not (url in known and known[url][0]) and classified >= 24:
+                state = "classification_limit"
+            elif url is None or (url not in known and found >= 5):
+                state = "retention_limit"
+            else:
+                state, chosen = "selected", True
+                known[url] = (True, True)
+            out.append((inv, url, link[3], link[4], state))
+    return sorted(out, key=str)
+
+
+def test_links_are_followed_as_by_a_walk(spark):
+    rng = random.Random(2)
+    url = lambda: f"u{rng.randrange(40)}"
+    kinds = ("google_search", "source_link", "lens_exact", "google_news")
+    pool = [(i, url(), rng.choice(kinds[i % 3 :]), rng.random() < 0.7, rng.random() < 0.1) for i in range(60) for _ in range(rng.randrange(50))]
+    links = [(i, url() if rng.random() < 0.9 else None, rng.randrange(3) * 30, f"p{rng.randrange(3)}", n, rng.random() < 0.1) for i in range(61) for n in range(rng.randrange(12))]
+    got = evidence.follow_links(
+        spark.createDataFrame(links, "inv int, url string, relevance int, parent string, at int, late boolean"),
+        spark.createDataFrame(pool, "inv int, url string, kind string, classified boolean, read boolean"),
+    ).collect()
+    assert sorted((tuple(r) for r in got), key=str) == walked(links, pool)
+    assert len({r["state"] for r in got}) == 6
+
+
+def test_read_audits(spark):
+    fine = [("a", 1, "core_anchor", False, 0, False), ("b", 2, "fact_check", True, 80, True), ("c", 4, "filler", True, 0, False), ("d", None, None, False, 0, False)]
+    cases = {
+        1: (fine, 1, set()),
+        2: (fine, 0, {"places_missing"}),
+        3: ([*fine, ("e", 4, "support", True, 0, False)], 1, {"places_repeat"}),
+        4: ([*fine, ("a", 3, "support", False, 0, True)], 0, {"ids_repeat", "role_without_judgment", "several_winners", "winner_without_judgment"}),
+        5: ([("a", 9, "guess", True, 0, False)], 8, {"place_out_of_range", "unknown_role"}),
+        6: ([("a", None, None, False, 0, False)], 0, set()),
+    }
+    rows = [(inv, *row, withheld) for inv, (found, withheld, _) in cases.items() for row in found]
+    frame = spark.createDataFrame(rows, "inv int, evidence_id string, place int, role string, judged boolean, fact_check int, winner boolean, withheld int")
+    got = evidence.read_selection_violations(frame, 5).collect()
+    assert {inv: {r["rule"] for r in got if r["inv"] == inv} for inv in cases} == {inv: want for inv, (_, _, want) in cases.items()}
+
+
+def test_relations_need_a_quote_and_a_verified_model(spark):
+    base = {"relevance": 90, "supports": 90, "challenges": 5, "context": 5, "entity_property": 90, "time": 90, "variant": 90, "attribution": "page_quote", "quote": "q", "claim": "c", "verified": True}
+    cases = [
+        ({}, "support", ["no_verdict"]),
+        ({"quote": None}, "insufficient", ["not_page_quote", "no_verdict"]),
+        ({"verified": False}, "insufficient", ["unassessed", "scope_withheld", "no_verdict"]),
+        ({"supports": None}, "insufficient", ["unassessed", "no_verdict"]),
+        ({"time": 50}, "context", ["scope_withheld", "no_verdict"]),
+        ({"claim": None}, "context", ["no_claim", "no_verdict"]),
+        ({"claim": " q "}, "context", ["no_verdict"]),
+        ({"attribution": "search_snippet"}, "context", ["not_page_quote", "no_verdict"]),
+        ({"supports": 5, "challenges": 90}, "challenge", ["no_verdict"]),
+        ({"relevance": 40}, "insufficient", ["low_relevance", "no_verdict"]),
+        ({"supports": 50}, "insufficient", ["no_verdict"]),
+    ]
+    schema = "n int, " + ", ".join(f"{k} {'boolean' if k == 'verified' else 'string' if k in ('attribution', 'quote', 'claim') else 'int'}" for k in base)
+    frame = spark.createDataFrame([(n, *(base | over).values()) for n, (over, _, _) in enumerate(cases)], schema)
+    got = {r["n"]: (r["relation"], r["reasons"]) for r in citations.claim_relation(frame).collect()}
+    assert got == {n: (relation, reasons) for n, (_, relation, reasons) in enumerate(cases)}

@@ -98,14 +98,31 @@ def account(sources: DataFrame, mode: str = "claim") -> DataFrame:
     return rows.withColumn("headline", headline)
 
 
+#: Why a source's relation to a claim is what it is, in the order in which they are given.
+REASONS = ("low_relevance", "no_claim", "not_page_quote", "unassessed", "scope_withheld", "no_verdict")
+
+
 def claim_relation(sources: DataFrame) -> DataFrame:
-    """Adds relation: context if any of three reaches 85 and relevance 50; support or challenge only from a page's own
-    quote that is not the claim itself, with all three scopes compatible at 85. Whole percents."""
-    base = F.when((F.greatest("context", "supports", "challenges") >= 85) & (F.col("relevance") >= 50), "context").otherwise("insufficient")
-    scoped = (F.least("entity_property", "time", "variant") >= 85) & (F.col("attribution") == "page_quote") & (F.trim("quote") != F.trim("claim"))
+    """Adds relation and its reasons, from whole percents; a quote and an assessment by a verified model come first.
+
+    With both, and a relevance of 50, any of three at 85 makes context; support or
+    challenge only comes from a page's own quote that is not the claim itself,
+    with all three scopes compatible at 85. ``verified`` says that the model is
+    pinned: without it, nothing that it says counts.
+    """
+    c, said = F.col, F.coalesce("verified", F.lit(False))
+    known = said & c("context").isNotNull() & c("supports").isNotNull() & c("challenges").isNotNull()
+    relevant = said & (c("relevance") >= 50)
+    compatible = said & (F.least("entity_property", "time", "variant") >= 85)
+    page, claimed = F.coalesce(c("attribution") == "page_quote", F.lit(False)) & c("quote").isNotNull(), c("claim").isNotNull()
+    own = page & claimed & compatible & (F.trim("quote") != F.trim("claim"))
+    base = c("quote").isNotNull() & known & relevant
     relation = (
-        F.when(scoped & (F.col("relevance") >= 50) & (F.col("supports") >= 85), "support")
-        .when(scoped & (F.col("relevance") >= 50) & (F.col("challenges") >= 85), "challenge")
-        .otherwise(base)
+        F.when(base & own & (c("supports") >= 85), "support")
+        .when(base & own & (c("challenges") >= 85), "challenge")
+        .when(base & (F.greatest("context", "supports", "challenges") >= 85), "context")
+        .otherwise("insufficient")
     )
-    return sources.withColumn("relation", F.coalesce(relation, F.lit("insufficient")))
+    holds = (said & (c("relevance") < 50), ~claimed, ~page, ~known, claimed & ~F.coalesce(compatible, F.lit(False)), F.lit(True))
+    reasons = F.array_compact(F.array(*[F.when(h, F.lit(r)) for r, h in zip(REASONS, holds)]))
+    return sources.withColumn("relation", relation).withColumn("reasons", reasons)

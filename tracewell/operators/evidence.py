@@ -133,12 +133,49 @@ def excerpt(paragraphs: DataFrame, heads: DataFrame, most: int = 8_000) -> DataF
     return joined.withColumn("excerpt", F.nullif("excerpt", F.lit("")))
 
 
-def follow_links(links: DataFrame, read: DataFrame) -> DataFrame:
-    """(inv, url, state): links (inv, url, relevance, parent, position) of read pages that were not read; one for each inv is inspected."""
-    rows = links.join(read.select("inv", "url"), ["inv", "url"], "left_anti")
-    best = rows.groupBy("inv").agg(F.min_by("url", F.struct(-F.col("relevance"), "parent", "position")).alias("best"))
-    state = F.when(F.col("url") == F.col("best"), "inspected").otherwise("deferred")
-    return rows.join(best, "inv").select("inv", "url", state.alias("state")).distinct()
+#: Candidates that are judged in one investigation, and those kept from searches and links.
+MOST_CLASSIFIED, MOST_FOUND = 24, 5
+
+
+def follow_links(links: DataFrame, pool: DataFrame, most_classified: int = MOST_CLASSIFIED, most_found: int = MOST_FOUND) -> DataFrame:
+    """(inv, url, parent, at, state): what becomes of each link of the pages that were read; one of an investigation is selected.
+
+    ``links`` is (inv, url, relevance, parent, at, late): canonical URL (null if it
+    has none), the parent's relevance and canonical URL, the place on the page, and
+    whether the deadline had passed. ``pool`` is (inv, url, kind, classified, read).
+
+    Links are taken by relevance, parent and place. A link whose source is read is
+    already_read, as is any later one to the page selected. A source that is not
+    classified needs a place among the classified, and one that is not in the pool
+    also one among those found; the first link that has what it needs is selected,
+    and those after it meet page_limit. As nothing is admitted before that one, each
+    link's own state does not depend on the others', and the first is a minimum: no
+    investigation is gathered or walked.
+    """
+    c = F.col
+    counts = pool.groupBy("inv").agg(F.count_if("classified").alias("n_classified"), F.count_if(c("kind").isin("google_search", "source_link")).alias("n_found"))
+    known = pool.groupBy("inv", "url").agg(F.max("classified").alias("classified"), F.max("read").alias("read"))
+    rows = links.join(counts, "inv", "left").join(known, ["inv", "url"], "left")
+    place = F.struct((-F.coalesce("relevance", F.lit(0))).alias("less"), F.coalesce("parent", F.lit("")).alias("parent"), "at", F.coalesce("url", F.lit("")).alias("url"))
+    new = c("read").isNull()
+    own = (
+        F.when(c("late"), "deadline")
+        .when(F.coalesce("read", F.lit(False)), "already_read")
+        .when((new | ~c("classified")) & (F.coalesce("n_classified", F.lit(0)) >= most_classified), "classification_limit")
+        .when(c("url").isNull() | (new & (F.coalesce("n_found", F.lit(0)) >= most_found)), "retention_limit")
+        .otherwise("open")
+    )
+    rows = rows.select("inv", "url", "parent", c("at"), place.alias("place"), own.alias("own"))
+    first = rows.where("own = 'open'").groupBy("inv").agg(F.min("place").alias("first"))
+    after = F.coalesce(c("place") > c("first"), F.lit(False))
+    state = (
+        F.when(c("own").isin("deadline", "already_read"), c("own"))
+        .when(after & (c("url") == c("first.url")), "already_read")
+        .when(after, "page_limit")
+        .when(c("own") == "open", "selected")
+        .otherwise(c("own"))
+    )
+    return rows.join(first, "inv", "left").select("inv", "url", "parent", "at", state.alias("state"))
 
 
 def place_spans(claims: DataFrame, lexicon: DataFrame, most_words: int = 4) -> DataFrame:
@@ -200,19 +237,37 @@ def score_frames(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair_id", "left", "right").mapInPandas(_frame_scores, "pair_id long, score double")
 
 
-def read_selection_violations(rows: DataFrame) -> DataFrame:
-    """(inv, rule): audits of read selections (inv, place, role, judged): places unique, one first place, judged reasons."""
+# The roles of pages to read, and those that need no judgment.
+ROLES = ("core_anchor", "conflict", "support", "fact_check", "current_reporting", "core_recovery", "historical_lead", "filler")
+UNJUDGED_ROLES = ("core_anchor", "current_reporting")
+
+
+def read_selection_violations(rows: DataFrame, most_pages: int) -> DataFrame:
+    """(inv, rule): what is wrong with an audit of read selections (inv, evidence_id, place, role, judged, fact_check, winner, withheld).
+
+    ``place`` and ``role`` are null where a candidate was not selected; ``withheld``
+    is how many candidates the audit left out, whose places may be missing.
+    """
+    c, selected = F.col, F.col("place").isNotNull()
     grouped = rows.groupBy("inv").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("place").alias("places"), F.count_if(F.col("place") == 1).alias("firsts"),
-        F.count_if(F.col("role").isin("conflict", "support") & ~F.col("judged")).alias("unjudged"),
+        F.count(F.lit(1)).alias("n"), F.count_distinct("evidence_id").alias("ids"), F.count("place").alias("n_places"), F.count_distinct("place").alias("places"),
+        F.max("place").alias("last"), F.max("withheld").alias("withheld"), F.count_if("winner").alias("winners"),
+        F.count_if(selected & ~c("place").between(1, most_pages)).alias("outside"),
+        F.count_if(selected & ~F.coalesce(c("role").isin(*ROLES), F.lit(False))).alias("unknown"),
+        F.count_if(selected & ~c("judged") & c("role").isin(*ROLES) & ~c("role").isin(*UNJUDGED_ROLES)).alias("unjudged"),
+        F.count_if(c("winner") & (~c("judged") | (c("fact_check") <= 0))).alias("unearned"),
     )
-    failed = F.array_compact(
-        F.array(
-            F.when(F.col("n") != F.col("places"), F.lit("places_repeat")),
-            F.when(F.col("firsts") != 1, F.lit("no_single_first")),
-            F.when(F.col("unjudged") > 0, F.lit("reason_without_judgment")),
-        )
-    )
+    rules = {
+        "ids_repeat": c("n") > c("ids"),
+        "places_repeat": c("n_places") > c("places"),
+        "place_out_of_range": c("outside") > 0,
+        "unknown_role": c("unknown") > 0,
+        "role_without_judgment": c("unjudged") > 0,
+        "places_missing": F.coalesce("last", F.lit(0)) - c("places") > c("withheld"),
+        "several_winners": c("winners") > 1,
+        "winner_without_judgment": c("unearned") > 0,
+    }
+    failed = F.array_compact(F.array(*[F.when(broken, F.lit(rule)) for rule, broken in rules.items()]))
     return grouped.select("inv", F.explode(failed).alias("rule"))
 
 

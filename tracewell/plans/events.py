@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import merge, watches
+from ..operators import merge, snapshots, watches
 from ..streaming import jobs
+from ..streaming import snapshots as snapshot_stream
 from .views import CANDIDATES, candidates, table
 
 KINDS = {"view": "stage", "click": "evidence", "purchase": "completed", "error": "failed"}
@@ -148,6 +149,48 @@ def resolved_dates(spark, sf_dir):
     return merge.resolve_dates(rows)
 
 
+#: Event types by turns, and one that no reader knows yet.
+TYPES = (
+    "investigation.started", "stage.started", "stage.completed", "search.batch", "evidence.discovered", "evidence.classified",
+    "provenance.partial", "verdict.preliminary", "divergence.detected", "investigation.completed", "investigation.error", "future.type",
+)
+
+
+def _typed(raw: DataFrame) -> DataFrame:
+    """Rows of the events table as events of every type, some of which lack what their type needs."""
+    k, v, c = F.get_json_object("props", "$.k").cast("int"), F.floor("value").cast("string"), F.col
+    stage = F.concat(F.lit("stage."), k % 5)
+    key = F.when(k % 2 == 0, F.element_at(F.array(*[F.lit(s) for s in snapshots.STAGES]), k % 15 + 1)).otherwise(stage)
+    return raw.select(
+        c("user_id").cast("long").alias("inv"),
+        c("event_id").cast("long").alias("seq"),
+        F.element_at(F.array(*[F.lit(t) for t in TYPES]), (c("event_id") * 7 % 12).cast("int") + 1).alias("type"),
+        F.when(k % 10 != 0, key).alias("key"),
+        F.when(k % 4 != 0, F.floor("value")).alias("count"),
+        F.when(k % 3 == 1, F.lit("")).when(k % 3 == 2, F.concat(F.lit("t"), v)).alias("text"),
+        F.when(k % 6 != 0, F.create_map(F.concat(F.lit("f"), c("event_id") % 3), v, F.lit("g"), k.cast("string"))).alias("fields"),
+        F.when(k % 5 != 0, F.array(F.lit("a"), F.lit(None).cast("string"), F.lit("b"))).alias("items"),
+    )
+
+
+def investigation_snapshots(spark, sf_dir):
+    """Every entry of each investigation after all its events."""
+    found = snapshots.snapshots(_typed(table(spark, sf_dir, "events")))
+    return found.select("inv", "part", "key", "field", "value", "seq")
+
+
+def investigation_stages(spark, sf_dir):
+    return snapshots.stages(snapshots.snapshots(_typed(table(spark, sf_dir, "events"))))
+
+
+def streamed_snapshots(spark, sf_dir):
+    """investigation_snapshots as a stateful stream over the event files; of what it gives for an entry the last stands."""
+    read = lambda s, path: _typed(s.readStream.schema(jobs.SCHEMA).parquet(path))
+    rows = jobs.run_once(spark, f"{sf_dir}/event[s].parquet", lambda stream: snapshot_stream.snapshots(stream, None), read=read)
+    order = F.when(F.col("part") == "id", -F.col("seq")).otherwise(F.coalesce("seq", F.lit(-1)))
+    return rows.groupBy("inv", "part", "key", "field").agg(F.max_by("value", order).alias("value"), F.max_by("seq", order).alias("seq"))
+
+
 def streamed_first_emissions(spark, sf_dir):
     """first_emissions as a stream over the event files; its state is one row for each key that was ever seen."""
     return jobs.run_once(spark, f"{sf_dir}/event[s].parquet", jobs.first_emissions)
@@ -178,7 +221,7 @@ QUERIES = {
     for f in (
         event_fold, first_emissions, stage_durations, stalled_streams, watch_changes, recent_checks, ledger_totals, daily_runs, request_log,
         candidate_audit, match_confusion, segment_violations, repetitive_recognition, speech_leads, merged_surfaces, related_queries,
-        distinct_frames, resolved_dates, streamed_first_emissions, streamed_recent_emissions, streamed_event_fold, streamed_watch_changes, streamed_event_windows,
+        distinct_frames, resolved_dates, streamed_first_emissions, streamed_recent_emissions, streamed_event_fold, investigation_snapshots, investigation_stages, streamed_snapshots, streamed_watch_changes, streamed_event_windows,
     )
 }
 
@@ -188,7 +231,44 @@ _FOLD = """SELECT inv, coalesce(arg_max(event_type, seq) FILTER (event_type IN (
 _CHANGES = """, w AS (SELECT inv AS watch_id, key AS url, seq, CAST(value // 10 AS VARCHAR) AS digest, event_type = 'evidence' AS quote,
     lag(CAST(value // 10 AS VARCHAR)) OVER (PARTITION BY inv, key ORDER BY seq) AS before FROM ev_v)"""
 
+_RECORD = """'{"f' || (event_id % 3) || '":"' || v || '","g":"' || k || '"}'"""
+SNAPSHOTS = f"""
+typed_v AS (
+  SELECT user_id AS inv, event_id AS seq, event_id, {list(TYPES)}[event_id * 7 % 12 + 1] AS type, k, CAST(floor(value) AS BIGINT) AS v,
+    CASE WHEN k % 10 <> 0 THEN CASE WHEN k % 2 = 0 THEN {list(snapshots.STAGES)}[k % 15 + 1] ELSE 'stage.' || (k % 5) END END AS key,
+    CASE k % 3 WHEN 1 THEN '' WHEN 2 THEN 't' || CAST(floor(value) AS BIGINT) END AS text
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)),
+writes_v AS (
+  SELECT inv, seq, 'id' AS part, '' AS key, 'id' AS field, key AS value FROM typed_v WHERE type = 'investigation.started' AND key IS NOT NULL
+  UNION ALL SELECT inv, seq, 'stage', key, 'status', split_part(type, '.', 2) FROM (SELECT * REPLACE (replace(type, 'started', 'running') AS type) FROM typed_v
+    WHERE type IN ('stage.started', 'stage.completed')) WHERE key IS NOT NULL
+  UNION ALL SELECT inv, seq, 'stage', key, 'detail', text FROM typed_v WHERE type = 'stage.completed' AND key IS NOT NULL
+  UNION ALL SELECT inv, seq, 'search', key, 'count', CAST(v AS VARCHAR) FROM typed_v WHERE type = 'search.batch' AND key IS NOT NULL AND k % 4 <> 0
+  UNION ALL SELECT inv, seq, 'evidence', coalesce(key, '#' || seq), unnest(['', 'f' || (event_id % 3), 'g']), unnest(['discovered', CAST(v AS VARCHAR), CAST(k AS VARCHAR)])
+    FROM typed_v WHERE type = 'evidence.discovered' AND k % 6 <> 0
+  UNION ALL SELECT inv, seq, 'classification', key, '', {_RECORD} FROM typed_v WHERE type = 'evidence.classified' AND key IS NOT NULL AND k % 6 <> 0
+  UNION ALL SELECT inv, seq, 'timeline', '', 'items', '2' FROM typed_v WHERE type = 'provenance.partial' AND k % 5 <> 0
+  UNION ALL SELECT inv, seq, 'verdict', '', 'preliminary', text FROM typed_v WHERE type = 'verdict.preliminary' AND text IS NOT NULL
+  UNION ALL SELECT inv, seq, 'divergence', '', '', {_RECORD} FROM typed_v WHERE type = 'divergence.detected' AND k % 6 <> 0
+  UNION ALL SELECT inv, seq, unnest(['phase', 'result']), '', '', unnest(['completed', {_RECORD}]) FROM typed_v WHERE type = 'investigation.completed' AND k % 6 <> 0
+  UNION ALL SELECT inv, seq, unnest(['phase', 'error', 'error']), '', unnest(['', 'code', 'message']),
+    unnest(['failed', coalesce(key, '{snapshots.NO_CODE}'), coalesce(nullif(text, ''), '{snapshots.NO_MESSAGE}')]) FROM typed_v WHERE type = 'investigation.error'),
+entries_v AS (
+  SELECT inv, part, key, field, arg_max({{'v': value}}, CASE WHEN part = 'id' THEN -seq ELSE seq END).v AS value,
+    CASE WHEN part = 'id' THEN min(seq) ELSE max(seq) END AS seq, min(seq) AS first_seq FROM writes_v GROUP BY inv, part, key, field),
+failed_v AS (SELECT inv, max(seq) FILTER (part = 'error') AS failed, min(seq) FILTER (part = 'evidence') AS evidence, count(*) FILTER (part = 'phase') AS phases FROM writes_v GROUP BY inv),
+snap_v AS (
+  SELECT * EXCLUDE first_seq FROM entries_v
+  UNION ALL SELECT inv, 'error', '', 'partial', CASE WHEN evidence < failed THEN 'true' ELSE 'false' END, failed FROM failed_v WHERE failed IS NOT NULL
+  UNION ALL SELECT DISTINCT inv, 'phase', '', '', '{snapshots.RUNNING}', NULL FROM typed_v WHERE inv NOT IN (SELECT inv FROM failed_v WHERE phases > 0))
+"""
+
 ORACLE_SQL = {
+    "investigation_snapshots": f"WITH {SNAPSHOTS} SELECT * FROM snap_v",
+    "streamed_snapshots": f"WITH {SNAPSHOTS} SELECT * FROM snap_v",
+    "investigation_stages": f"""WITH {SNAPSHOTS}, s AS (SELECT inv, key AS stage, max(value) FILTER (field = 'status') AS status, max(value) FILTER (field = 'detail') AS detail,
+          min(first_seq) AS first_seq FROM entries_v WHERE part = 'stage' GROUP BY inv, key)
+        SELECT inv, CAST(row_number() OVER (PARTITION BY inv ORDER BY coalesce(list_position({list(snapshots.STAGES)}, stage), 16), first_seq) AS INT) AS place, stage, status, detail FROM s""",
     "event_fold": f"WITH {EVENTS} {_FOLD}",
     "first_emissions": f"WITH {EVENTS} SELECT inv, key, min(seq) AS seq FROM ev_v WHERE event_type = 'evidence' GROUP BY inv, key",
     "stage_durations": f"""WITH {EVENTS} SELECT inv, event_type AS stage, CAST(floor(epoch(max(ts))) - floor(epoch(min(ts))) AS BIGINT) AS seconds

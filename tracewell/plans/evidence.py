@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evidence, selection
+from ..operators import evidence
 from ..operators.watches import distinct_frames
 from .views import CANDIDATES, candidates, table
 
@@ -40,11 +40,30 @@ def text_anchors(spark, sf_dir):
 
 
 def read_audit(spark, sf_dir):
-    """Retained rows of each kind audited as read selections, where places repeat over kinds."""
-    rows = selection.retain(candidates(spark, sf_dir)).select(
-        "inv", "place", F.when(F.col("kind") == "google_news", "support").otherwise("filler").alias("role"), (F.col("position") % 5 != 0).alias("judged")
+    """Items of an order as an audit of read selections, of which a third were not selected."""
+    c, fact = F.col, F.round(F.col("l_tax") * 100).cast("int")
+    roles = F.array(*[F.lit(r) for r in (*evidence.ROLES, "other")])
+    rows = table(spark, sf_dir, "lineitem").select(
+        c("l_orderkey").alias("inv"),
+        (c("l_partkey") % 40).alias("evidence_id"),
+        F.when(c("l_suppkey") % 3 != 0, F.when(c("l_partkey") % 5 == 0, c("l_linenumber") + 1).otherwise(c("l_linenumber"))).cast("int").alias("place"),
+        F.when(c("l_suppkey") % 3 != 0, F.element_at(roles, (c("l_partkey") % 9 + 1).cast("int"))).alias("role"),
+        (c("l_quantity") % 5 != 0).alias("judged"), fact.alias("fact_check"), (c("l_partkey") % 6 == 0).alias("winner"), (c("l_orderkey") % 4).alias("withheld"),
+    )
+    return evidence.read_selection_violations(rows, 5)
+
+
+def link_frontier(spark, sf_dir):
+    """Line items of the sixth line as links on pages of their investigation, the others as its pool."""
+    rows, c = candidates(spark, sf_dir), F.col
+    links = rows.where("kind = 'source_link'").select(
+        "inv", F.when(c("position") % 17 != 0, c("url")).alias("url"), "relevance", F.concat(F.lit("https://p"), c("position") % 5).alias("parent"),
+        c("cand_id").alias("at"), (c("position") % 13 == 0).alias("late"),
+    )
+    pool = rows.where("kind <> 'source_link'").select(
+        "inv", "url", "kind", (c("relevance") >= 80).alias("classified"), ((c("kind") == "lens_exact") & (c("position") % 2 == 0)).alias("read")
     )
-    return evidence.read_selection_violations(rows)
+    return evidence.follow_links(links, pool)
 
 
 def place_spans(spark, sf_dir):
@@ -62,7 +81,7 @@ def frame_totals(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (media_relationships, identity_recheck, distribution_checks, text_anchors, read_audit, place_spans, frame_totals)
+    for f in (media_relationships, identity_recheck, distribution_checks, text_anchors, read_audit, link_frontier, place_spans, frame_totals)
 }
 
 ORACLE_SQL = {
@@ -74,14 +93,31 @@ ORACLE_SQL = {
         >= greatest(l_discount, l_tax, 1 - l_discount - l_tax) - 0.001 AS valid, count(*) AS n FROM lineitem GROUP BY ALL""",
     "text_anchors": """SELECT doc_id, coalesce(substr(text, 10 + CAST(doc_id % 2 AS INT), length(substr(text, 10))) = substr(text, 10), false) AS holds
         FROM documents""",
-    "read_audit": f"""WITH {CANDIDATES}, n AS (SELECT inv, count(*) FILTER (kind = 'source_link') AS links FROM cand_v GROUP BY inv),
-        r AS (SELECT c.inv, kind, position, row_number() OVER (PARTITION BY c.inv, kind ORDER BY position, cand_id) AS place,
-          CASE kind WHEN 'lens_exact' THEN 8 WHEN 'lens_visual' THEN 8 WHEN 'google_news' THEN 5 WHEN 'about_image' THEN 5 WHEN 'source_link' THEN 1
-            ELSE 5 - least(1, links) END AS cap FROM cand_v c JOIN n ON c.inv = n.inv),
-        g AS (SELECT inv, count(*) AS n, count(DISTINCT place) AS places, count(*) FILTER (place = 1) AS firsts,
-          count(*) FILTER (kind = 'google_news' AND position % 5 = 0) AS unjudged FROM r WHERE place <= cap GROUP BY inv)
-        SELECT inv, 'places_repeat' AS rule FROM g WHERE n <> places UNION ALL SELECT inv, 'no_single_first' FROM g WHERE firsts <> 1
-        UNION ALL SELECT inv, 'reason_without_judgment' FROM g WHERE unjudged > 0""",
+    "read_audit": f"""WITH r AS (SELECT l_orderkey AS inv, l_partkey % 40 AS id, CASE WHEN l_suppkey % 3 <> 0 THEN l_linenumber + CASE WHEN l_partkey % 5 = 0 THEN 1 ELSE 0 END END AS place,
+          {[*evidence.ROLES, "other"]}[l_partkey % 9 + 1] AS role, l_quantity % 5 <> 0 AS judged, CAST(round(l_tax * 100) AS INT) AS fact, l_partkey % 6 = 0 AS winner FROM lineitem)
+        SELECT DISTINCT inv, rule FROM (
+          SELECT inv, 'ids_repeat' AS rule FROM r GROUP BY inv, id HAVING count(*) > 1
+          UNION ALL SELECT inv, 'places_repeat' FROM r WHERE place IS NOT NULL GROUP BY inv, place HAVING count(*) > 1
+          UNION ALL SELECT inv, 'place_out_of_range' FROM r WHERE place > 5
+          UNION ALL SELECT inv, 'unknown_role' FROM r WHERE place IS NOT NULL AND role = 'other'
+          UNION ALL SELECT inv, 'role_without_judgment' FROM r WHERE place IS NOT NULL AND NOT judged AND role NOT IN ('other', 'core_anchor', 'current_reporting')
+          UNION ALL SELECT inv, 'places_missing' FROM r GROUP BY inv HAVING max(place) - count(DISTINCT place) > inv % 4
+          UNION ALL SELECT inv, 'several_winners' FROM r WHERE winner GROUP BY inv HAVING count(*) > 1
+          UNION ALL SELECT inv, 'winner_without_judgment' FROM r WHERE winner AND (NOT judged OR fact <= 0))""",
+    "link_frontier": f"""WITH {CANDIDATES},
+        links AS (SELECT inv, CASE WHEN position % 17 <> 0 THEN url END AS url, relevance, 'https://p' || (position % 5) AS parent, cand_id AS at_, position % 13 = 0 AS late
+          FROM cand_v WHERE kind = 'source_link'),
+        pool AS (SELECT inv, url, kind, relevance >= 80 AS classified, kind = 'lens_exact' AND position % 2 = 0 AS read FROM cand_v WHERE kind <> 'source_link'),
+        n AS (SELECT inv, count(*) FILTER (classified) AS nc, count(*) FILTER (kind = 'google_search') AS nf FROM pool GROUP BY inv),
+        k AS (SELECT inv, url, bool_or(classified) AS classified, bool_or(read) AS read FROM pool GROUP BY inv, url),
+        r AS (SELECT l.*, row_number() OVER (PARTITION BY l.inv ORDER BY l.relevance DESC, l.parent, l.at_, l.url) AS place,
+            CASE WHEN late THEN 'deadline' WHEN read THEN 'already_read' WHEN NOT coalesce(k.classified, false) AND coalesce(nc, 0) >= 24 THEN 'classification_limit'
+                 WHEN l.url IS NULL OR (k.url IS NULL AND coalesce(nf, 0) >= 5) THEN 'retention_limit' ELSE 'open' END AS own
+          FROM links l LEFT JOIN n ON l.inv = n.inv LEFT JOIN k ON l.inv = k.inv AND l.url = k.url),
+        f AS (SELECT inv, min(place) AS first, arg_min(url, place) AS first_url FROM r WHERE own = 'open' GROUP BY inv)
+        SELECT r.inv, url, parent, at_ AS "at", CASE WHEN own IN ('deadline', 'already_read') THEN own WHEN place > first AND url = first_url THEN 'already_read'
+          WHEN place > first THEN 'page_limit' WHEN own = 'open' THEN 'selected' ELSE own END AS state
+        FROM r LEFT JOIN f ON r.inv = f.inv""",
     "place_spans": r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}''-]+') AS ws FROM documents),
         t AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
         a AS (SELECT doc_id, CAST(i - 1 AS INT) AS at_, ws[i + 1] AS one, CASE WHEN i + 2 <= len(ws) THEN ws[i + 1] || ' ' || ws[i + 2] END AS two FROM t

@@ -469,21 +469,34 @@ def _relations(spark, sf_dir) -> DataFrame:
         (100 - t).alias("variant"),
         F.when(F.col("l_returnflag") == "A", "page_quote").otherwise("search_snippet").alias("attribution"),
         F.when(F.col("l_suppkey") % 9 != 0, F.concat(F.lit("quote "), F.col("l_suppkey"))).alias("quote"),
-        F.lit("quote 1").alias("claim"),
+        F.when(F.col("l_suppkey") % 7 != 0, "quote 1").alias("claim"),
+        (F.col("l_quantity") % 5 != 0).alias("verified"),
     )
     return citations.claim_relation(rows)
 
 
+def claim_reasons(spark, sf_dir):
+    """How often each reason goes with each relation."""
+    rows = _relations(spark, sf_dir).select("relation", F.explode("reasons").alias("reason"))
+    return rows.groupBy("relation", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def claim_relations(spark, sf_dir):
     return _relations(spark, sf_dir).groupBy("case_id", "relation").agg(F.count(F.lit(1)).alias("n"))
 
 
 RELATIONS = """
-src_v AS (SELECT *, CAST(round(l_discount * 100) AS INT) AS d, CAST(round(l_tax * 100) AS INT) AS t FROM lineitem),
+src_v AS (SELECT *, CAST(round(l_discount * 100) AS INT) AS d, CAST(round(l_tax * 100) AS INT) AS t, l_suppkey % 9 <> 0 AS quoted, l_suppkey % 7 <> 0 AS claimed,
+    l_quantity % 5 <> 0 AS verified FROM lineitem),
+fit_v AS (SELECT *, verified AND least(100 - d, 100 - 2 * d, 100 - t) >= 85 AS compatible, quoted AND l_returnflag = 'A' AS page,
+    quoted AND verified AND 100 - 5 * d >= 50 AS base FROM src_v),
 rel_v AS (SELECT l_partkey AS case_id, l_orderkey * 10 + l_linenumber AS evidence_id, l_returnflag = 'A' AS read,
-    CASE WHEN l_returnflag = 'A' AND least(100 - d, 100 - 2 * d, 100 - t) >= 85 AND l_suppkey <> 1 AND l_suppkey % 9 <> 0 AND 100 - 5 * d >= 50 AND 12 * t >= 85 THEN 'support'
-         WHEN l_returnflag = 'A' AND least(100 - d, 100 - 2 * d, 100 - t) >= 85 AND l_suppkey <> 1 AND l_suppkey % 9 <> 0 AND 100 - 5 * d >= 50 AND 100 - 12 * t >= 85 THEN 'challenge'
-         WHEN greatest(10 * d, 12 * t, 100 - 12 * t) >= 85 AND 100 - 5 * d >= 50 THEN 'context' ELSE 'insufficient' END AS relation FROM src_v)
+    CASE WHEN base AND page AND claimed AND compatible AND l_suppkey <> 1 AND 12 * t >= 85 THEN 'support'
+         WHEN base AND page AND claimed AND compatible AND l_suppkey <> 1 AND 100 - 12 * t >= 85 THEN 'challenge'
+         WHEN base AND greatest(10 * d, 12 * t, 100 - 12 * t) >= 85 THEN 'context' ELSE 'insufficient' END AS relation,
+    list_filter([CASE WHEN verified AND 100 - 5 * d < 50 THEN 'low_relevance' END, CASE WHEN NOT claimed THEN 'no_claim' END,
+      CASE WHEN NOT page THEN 'not_page_quote' END, CASE WHEN NOT verified THEN 'unassessed' END,
+      CASE WHEN claimed AND NOT compatible THEN 'scope_withheld' END, 'no_verdict'], lambda x: x IS NOT NULL) AS reasons FROM fit_v)
 """
 
 SHINGLES = r"""
@@ -517,7 +530,7 @@ QUERIES = {
         capped_attributes, case_validation,
         contained_sentences, evidence_diff, current_heads, revision_gaps, stale_bindings, historical_versions, upserted_heads,
         affected_relations, sticky_warnings, integrity_violations, repeated_items, case_violations, watchlist_matches, change_notices,
-        word_counts, extracted_pages, claim_disagreements, claim_accounts, claim_relations,
+        word_counts, extracted_pages, claim_disagreements, claim_accounts, claim_relations, claim_reasons,
     )
 }
 
@@ -668,5 +681,6 @@ ORACLE_SQL = {
           count(*) FILTER (relation = 'challenge') AS n_challenge, count(*) FILTER (read) AS n_read, count(*) FILTER (NOT read) AS n_leads FROM rel_v GROUP BY case_id)
         SELECT *, CASE WHEN n_support > 0 AND n_challenge > 0 THEN 'The retained excerpts disagree.' WHEN n_challenge > 0 THEN 'There is evidence against this claim.'
           WHEN n_support > 0 THEN 'There is evidence supporting this claim.' ELSE 'The claim is still unresolved.' END AS headline FROM n""",
+    "claim_reasons": f"WITH {RELATIONS}, r AS (SELECT relation, unnest(reasons) AS reason FROM rel_v) SELECT relation, reason, count(*) AS n FROM r GROUP BY ALL",
     "claim_relations": f"WITH {RELATIONS} SELECT case_id, relation, count(*) AS n FROM rel_v GROUP BY case_id, relation",
 }

@@ -148,10 +148,13 @@ def apply_operations(batch: DataFrame, done: DataFrame) -> DataFrame:
     return rows.select("operation_id", "digest", outcome.alias("outcome"))
 
 
-def run_once(spark: SparkSession, path: str, job: Callable[[DataFrame], DataFrame], last_by: tuple[str, str] | None = None) -> DataFrame:
+def run_once(
+    spark: SparkSession, path: str, job: Callable[[DataFrame], DataFrame], last_by: tuple[str, str] | None = None,
+    read: Callable[[SparkSession, str], DataFrame] = events,
+) -> DataFrame:
     """What a job gives for all files that are there now; of each key the last row only, if ``last_by`` is (key, order)."""
     out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    stream = job(events(spark, path))
+    stream = job(read(spark, path))
     query = (
         stream.writeStream.format("parquet")
         .option("checkpointLocation", f"{out}/_state")
