@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import discard, scratch, written
 
-__all__ = ["ASCII_LOWER", "ASCII_UPPER", "crc_mod", "discard", "forget_shuffles", "free_name", "scratch", "small_batches", "table", "written"]
+__all__ = ["ASCII_LOWER", "ASCII_UPPER", "crc_mod", "discard", "free_name", "scratch", "shuffles_removed", "small_batches", "table", "written"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -33,9 +33,19 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def forget_shuffles(spark: SparkSession) -> None:
-    """Have the driver collect frames that nothing holds, so that Spark removes their shuffles' files now, not at some later time."""
-    spark._jvm.System.gc()
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries run within remove their shuffles' files as they end, not when the driver next collects garbage.
+
+    For written stages, whose shuffles nothing reads again; the session's setting is put back afterwards.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 #: Texts handed to Python at once where an operator runs its own job. Some are

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, forget_shuffles, scratch, small_batches, written
+from .common import ASCII_LOWER, ASCII_UPPER, scratch, shuffles_removed, small_batches, written
 
 LEAST, TOP = 10, 2000
 #: A phrase goes if a longer one around it has so many percent of its occurrences.
@@ -245,7 +245,6 @@ def phrase_counts(shards: DataFrame, least: int = LEAST) -> DataFrame:
     often = pairs.withColumn("total", F.sum("c").over(Window.partitionBy("h"))).where(F.col("total") >= least)
     # A shard has at most SHARD patterns, and so has the group of its row.
     places = written(often.groupBy("shard").agg(F.collect_list("place").alias("places")), "places")
-    forget_shuffles(shards.sparkSession)
     named = shards.join(places.hint("shuffle_hash"), "shard")
     found = named.mapInArrow(_phrases, "lang string, size long, phrase string, a long, n_left long, n_right long")
     sums = [F.sum(c).alias(c) for c in ("a", "n_left", "n_right")]
@@ -288,14 +287,13 @@ def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", top: i
     order; an empty table gives no rows; further columns are left out. Texts are
     read whole, however long; a piece longer than a shard makes its shard longer.
     """
-    with scratch(docs.sparkSession) as keep:
+    with scratch(docs.sparkSession) as keep, shuffles_removed(docs.sparkSession):
         with small_batches(docs.sparkSession):
             shards = written(shards_of(docs, lang_col, text_col), "shards")
         every = shards.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
         every = written(every.groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f")), "words")
         with small_batches(docs.sparkSession, 1):
             phrases = written(phrase_counts(shards), "phrases")
-        forget_shuffles(docs.sparkSession)
         found = written(scored(phrases, every.where(F.col("f") >= LEAST)), "scored")
         best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
         ranked = uncovered(found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
