@@ -66,6 +66,22 @@ def link_frontier(spark, sf_dir):
     return evidence.follow_links(links, pool)
 
 
+#: A few public suffixes of every kind; users pass the whole list as a table.
+SUFFIXES = (
+    ("com", "plain"), ("net", "plain"), ("org", "plain"), ("uk", "plain"), ("co.uk", "plain"), ("jp", "plain"),
+    ("kawasaki.jp", "wildcard"), ("city.kawasaki.jp", "exception"), ("ck", "wildcard"), ("www.ck", "exception"),
+)
+ENDINGS = ("example.com", "example.co.uk", "example.kawasaki.jp", "city.kawasaki.jp", "www.ck", "foo.ck", "example.zz")
+
+
+def registrable_domains(spark, sf_dir):
+    """Pages by the registrable domain of their host, whose ending is exchanged by turns for one of another kind."""
+    host, ending = F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)), F.element_at(F.array(*[F.lit(e) for e in ENDINGS]), (F.col("page_id") % 7 + 1).cast("int"))
+    rows = table(spark, sf_dir, "pages").select(F.concat(F.regexp_replace(host, r"example\.[a-z]+$", ""), ending).alias("host"))
+    found = evidence.registrable_domain(rows, F.broadcast(spark.createDataFrame(SUFFIXES, "suffix string, kind string")))
+    return rows.join(found, "host").groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("host").alias("hosts"))
+
+
 def place_spans(spark, sf_dir):
     """Names of two word lists after a preposition, in whole texts."""
     lexicon = spark.createDataFrame([("the",), ("the the",), ("was",), ("of the",)], "place string")
@@ -81,7 +97,7 @@ def frame_totals(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (media_relationships, identity_recheck, distribution_checks, text_anchors, read_audit, link_frontier, place_spans, frame_totals)
+    for f in (media_relationships, identity_recheck, distribution_checks, text_anchors, read_audit, link_frontier, registrable_domains, place_spans, frame_totals)
 }
 
 ORACLE_SQL = {
@@ -118,6 +134,15 @@ ORACLE_SQL = {
         SELECT r.inv, url, parent, at_ AS "at", CASE WHEN own IN ('deadline', 'already_read') THEN own WHEN place > first AND url = first_url THEN 'already_read'
           WHEN place > first THEN 'page_limit' WHEN own = 'open' THEN 'selected' ELSE own END AS state
         FROM r LEFT JOIN f ON r.inv = f.inv""",
+    "registrable_domains": rf"""WITH sfx(suffix, kind) AS (VALUES {", ".join(str(s) for s in SUFFIXES)}),
+        h AS (SELECT regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), 'example\.[a-z]+$', '') || {list(ENDINGS)}[page_id % 7 + 1] AS host FROM pages),
+        t AS (SELECT host, l, i, array_to_string(l[i:], '.') AS tail, len(l) - i + 1 AS own FROM (SELECT host, l, unnest(range(1, len(l) + 1)) AS i
+          FROM (SELECT DISTINCT host, string_split(host, '.') AS l FROM h))),
+        m AS (SELECT host, CASE kind WHEN 'wildcard' THEN own + 1 WHEN 'exception' THEN own - 1 ELSE own END AS length, kind = 'exception' AS ex FROM t JOIN sfx ON tail = suffix),
+        b AS (SELECT host, arg_max(length, 1000 * CAST(ex AS INT) + length) AS length FROM m GROUP BY host),
+        d AS (SELECT t.host, CASE WHEN len(l) < coalesce(length, 1) + 1 THEN t.host ELSE array_to_string(l[len(l) - coalesce(length, 1):], '.') END AS domain
+          FROM t LEFT JOIN b ON t.host = b.host WHERE i = 1)
+        SELECT domain, count(*) AS n, count(DISTINCT h.host) AS hosts FROM h JOIN d ON h.host = d.host GROUP BY domain""",
     "place_spans": r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}''-]+') AS ws FROM documents),
         t AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
         a AS (SELECT doc_id, CAST(i - 1 AS INT) AS at_, ws[i + 1] AS one, CASE WHEN i + 2 <= len(ws) THEN ws[i + 1] || ' ' || ws[i + 2] END AS two FROM t
