@@ -172,7 +172,7 @@ def _statements(spark, sf_dir) -> DataFrame:
     """Turns of conversations, and benchmark texts, as statements: a conversation is a case, and a role a source."""
     c = F.col
     said = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL AND text IS NOT NULL").select(
-        (c("conv_id") * 100_000 + c("turn")).alias("id"), c("conv_id").alias("case_id"), c("turn").alias("evidence_id"), c("role").alias("url"), "text"
+        (c("conv_id").cast("long") * 4_294_967_296 + c("turn")).alias("id"), c("conv_id").alias("case_id"), c("turn").alias("evidence_id"), c("role").alias("url"), "text"
     )
     asked = table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select(
         (-1 - c("item_id")).alias("id"), (-1 - c("item_id")).alias("case_id"), c("item_id").alias("evidence_id"), F.lit("benchmark").alias("url"), "text"
@@ -181,7 +181,7 @@ def _statements(spark, sf_dir) -> DataFrame:
 
 
 STATEMENTS = """
-st_v AS (SELECT conv_id * 100000 + turn AS id, conv_id AS case_id, turn AS evidence_id, role AS url, text FROM conversations
+st_v AS (SELECT CAST(conv_id AS BIGINT) * 4294967296 + turn AS id, conv_id AS case_id, turn AS evidence_id, role AS url, text FROM conversations
     WHERE conv_id IS NOT NULL AND text IS NOT NULL
   UNION ALL SELECT -1 - item_id, -1 - item_id, item_id, 'benchmark', text FROM benchmark WHERE text IS NOT NULL)
 """
