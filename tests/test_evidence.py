@@ -29,19 +29,6 @@ def test_anchors(spark):
     assert got == [True, False, False, False]
 
 
-def test_credits_form_groups(spark):
-    said = "The photo was released by Reuters. It shows it."
-    rows = [(1, "a", "x.com", said, 1), (1, "b", "y.com", said, 2), (1, "c", "reuters.com", said, 3), (2, "d", "z.com", said, 4)]
-    got = evidence.credit_groups(spark.createDataFrame(rows, "inv int, cand_id string, domain string, text string, ord int"))
-    assert sorted(tuple(r) for r in got.collect()) == [(1, "a", "reuters"), (1, "b", "reuters")]
-
-
-def test_attribution_to_oneself_is_none(spark):
-    rows = [(1, "a", "x.com", "unresolved", "Syndicated from y.com today"), (1, "b", "y.com", "unresolved", "Syndicated from y.com today"), (1, "c", "z.com", "shared_origin_evidenced", "Syndicated from y.com")]
-    got = evidence.attribution_groups(spark.createDataFrame(rows, "inv int, cand_id string, domain string, origin_status string, text string"))
-    assert [tuple(r) for r in got.collect()] == [(1, "a", "y.com")]
-
-
 def test_excerpt_order(spark):
     paragraphs = spark.createDataFrame([(1, 0, "first"), (1, 1, "second"), (1, 2, "nothing"), (1, 3, "the bridge"), (1, 4, "bridge fire")], "page_id int, ord int, paragraph string")
     heads = spark.createDataFrame([(1, "Bridge", None, "fire"), (2, None, None, None)], "page_id int, title string, snippet string, claim string")

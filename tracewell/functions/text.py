@@ -144,6 +144,7 @@ _MEDIA = (
     r"(?:image|photo|photograph|footage|video)\s+(?:was\s+|were\s+)?(?:(?:first|originally)\s+published|(?:first\s+|originally\s+)?"
     r"(?:released|obtained|acquired|distributed|issued|verified|documented))\s+by\s+(?:the\s+)?" + _NAME
 )
+_HOSTING = r"(?:image|photo|photograph|footage|video)\s+(?:was\s+|were\s+)?published\s+by\s+(?:the\s+)?" + _NAME
 _BYLINE = (
     r"(?:[Rr]eported|[Ii]nvestigated|[Ww]ritten|[Pp]hotographed|[Dd]ocumented|[Ff]iled) by\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3}"
     r"\s+for\s+(?:the\s+)?" + _NAME
@@ -151,14 +152,15 @@ _BYLINE = (
 
 
 def origin_key(text: Column) -> Column:
-    """The origin that a text attributes itself to: a domain, "name:" with an outlet of at most three words, or null."""
-    raw = F.coalesce(*[F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit("")) for p in _ATTRIBUTION])
-    # The phrase's capture stops at a full stop, so a domain is looked for in what follows the phrase.
-    tail = F.coalesce(*[F.nullif(F.regexp_extract(text, p.replace(r"([^,.;\n]{2,80})", r"([^,;\s]{2,80})"), 1), F.lit("")) for p in _ATTRIBUTION])
-    domain = F.lower(F.regexp_extract(tail, r"(?i)^([a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)*\.[a-z]{2,})", 1))
-    name = F.trim(F.regexp_replace(raw, r"(?i)\b(?:the|a|an)\b", ""))
+    """The origin that a text attributes itself to: "name:" and what the first phrase that matches is followed by, or null.
+
+    A capture ends at a comma, full stop, semicolon or line end, so that a domain gives its first label; one of more than three words, or
+    of under three characters without its articles, is none, and later phrases are not tried.
+    """
+    raw = F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in _ATTRIBUTION])
+    name = F.regexp_replace(F.regexp_replace(raw, r"(?i)\b(?:the|a|an)\b", ""), r"^\s+|\s+$", "")
     few = (F.length(name) >= 3) & (F.size(F.split(name, r"\s+")) <= 3)
-    return F.when(domain != "", domain).when(few, F.concat(F.lit("name:"), F.lower(name)))
+    return F.when(few, F.concat(F.lit("name:"), F.lower(name)))
 
 
 def valid_sentences(text: Column) -> Column:
@@ -172,8 +174,33 @@ def valid_sentences(text: Column) -> Column:
 
 def named_credits(text: Column) -> Column:
     """Distinct names that valid sentences credit with acquiring or reporting the media; hosting alone is no credit."""
+    return let(credits(text), lambda c: F.array_distinct(F.concat(c["media"], c["bylines"])))
+
+
+def credits(text: Column) -> Column:
+    """struct(media, hosting, bylines, spans) of a text's valid sentences, in their order.
+
+    ``media`` are names that acquired or first published the media, ``hosting`` those
+    that only published it, ``bylines`` outlets of a named person; ``spans`` are the
+    sentences that have any.
+    """
     of = lambda s, pattern: F.regexp_extract_all(s, F.lit(pattern), F.lit(1))
-    return F.array_distinct(F.flatten(F.transform(valid_sentences(text), lambda s: F.concat(of(s, _MEDIA), of(s, _BYLINE)))))
+    each = lambda sentences_, pattern: F.flatten(F.transform(sentences_, lambda s: of(s, pattern)))
+    some = lambda s: s.rlike(_MEDIA) | s.rlike(_HOSTING) | s.rlike(_BYLINE)
+    found = lambda ss: F.struct(
+        each(ss, _MEDIA).alias("media"), each(ss, _HOSTING).alias("hosting"), each(ss, _BYLINE).alias("bylines"), F.transform(ss, _stripped).alias("spans")
+    )
+    return let(F.filter(valid_sentences(text), some), found)
+
+
+def attribution_spans(text: Column) -> Column:
+    """Valid sentences with an attribution phrase, trimmed."""
+    some = lambda s: F.exists(F.array(*[s.rlike(p) for p in _ATTRIBUTION]), lambda hit: hit)
+    return F.transform(F.filter(valid_sentences(text), some), _stripped)
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def name_key(name: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Judgments, anchors, attributions, excerpts and place names of evidence."""
+"""Judgments, anchors, excerpts and place names of evidence."""
 
 from __future__ import annotations
 
@@ -91,29 +91,6 @@ def recheck_identity(relationship: Column, kinds: Column, verified: Column) -> C
     return F.when(lost, "VISUAL_LEAD").otherwise(relationship)
 
 
-def attribution_groups(pages: DataFrame) -> DataFrame:
-    """(inv, cand_id, origin): unresolved pages whose text names another origin than their own domain."""
-    rows = pages.select("inv", "cand_id", "domain", "origin_status", text_fn.origin_key(F.col("text")).alias("origin"))
-    other = (F.col("origin") != F.col("domain")) & (
-        F.concat(F.lit("name:"), text_fn.own_outlet_key(F.col("domain"))) != F.regexp_replace("origin", r"[^a-z0-9:]", "")
-    )
-    return rows.where((F.col("origin_status") == "unresolved") & other).select("inv", "cand_id", "origin")
-
-
-def credit_groups(pages: DataFrame) -> DataFrame:
-    """(inv, cand_id, provider): the external name, credited by two or more pages of an investigation, that comes last in order.
-
-    ``pages`` is (inv, cand_id, domain, text, ord); names are ordered by the first page that credits them.
-    """
-    named = pages.select("inv", "cand_id", "domain", "ord", F.explode(text_fn.named_credits(F.col("text"))).alias("name"))
-    named = named.withColumn("provider", text_fn.name_key(F.col("name"))).where(
-        (F.col("provider") != "") & (F.col("provider") != text_fn.own_outlet_key(F.col("domain")))
-    )
-    shared = named.groupBy("inv", "provider").agg(F.count_distinct("cand_id").alias("n"), F.min("ord").alias("first")).where("n >= 2")
-    rows = named.join(shared, ["inv", "provider"])
-    return rows.groupBy("inv", "cand_id").agg(F.max_by("provider", F.struct("first", "provider")).alias("provider"))
-
-
 def excerpt(paragraphs: DataFrame, heads: DataFrame, most: int = 8_000) -> DataFrame:
     """(page_id, excerpt): title, snippet, the first two paragraphs, then others that share words with title and claim.
 
