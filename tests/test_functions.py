@@ -64,19 +64,6 @@ def test_relative_dates_stay_coarse(spark):
     ]
 
 
-def test_claim_dates(spark):
-    cases = {
-        "seen on 2020-05-04 in 2020": ("2020-05-04", "day"),
-        "between 2019 and 2021": None,
-        "from 2019-2021": None,
-        "on 03/04/2020": None,
-        "nothing": None,
-        "in 2020-05": ("2020-05", "month"),
-    }
-    got = column(spark, list(cases), dates.claim_date)
-    assert [None if r is None else tuple(r) for r in got] == list(cases.values())
-
-
 def test_month_must_wholly_predate(spark):
     claim = F.lit(datetime.date(2020, 5, 20))
     rows = spark.createDataFrame([("2020-05", "month"), ("2020-04", "month"), ("2020-05-18", "day"), ("2020-05-19", "day")], "v string, p string")

@@ -6,9 +6,13 @@ interval that it covers.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: Finest first.
 PRECISIONS = ("day", "month", "year")
 
@@ -71,23 +75,105 @@ def parse_relative(raw: Column, reference: Column) -> Column:
     )
 
 
-def claim_date(text: Column) -> Column:
-    """struct(value, precision) of the one date that a claim states, or null.
-
-    ISO days and months, and years 1800-2099, count. Numeric dates whose day and
-    month could be swapped, ranges, and dates that contradict each other refuse
-    the whole claim; nested ones (a day and its month or year) agree on the finest.
+# Word ends as in ASCII, whatever the letters beside them.
+_START, _END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+# What joins the ends of a range, and the phrases that state a year.
+_DASH = r"[\-–—‑‒―−]"
+_MONTH = (
+    r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?"
+    r"|dec(?:ember)?)"
+)
+_NTH = r"(?:st|nd|rd|th)?"
+_NUMBERS = _START + r"(?=\d)(?:(?<=(\d{4})\s{0,8}[/.-]\s{0,8}))?(\d{1,2})\s*([/.]|" + _DASH + r")\s*(\d{1,2})(\s*(?:[/.]|" + _DASH + r")\s*\d{2,4})?" + _END
+_DAY_RANGE = r"(?i)" + _START + _MONTH + r"\.?\s+\d{1,2}" + _NTH + r"\s*(?:" + _DASH + r"|to|through|thru|and)\s*\d{1,2}" + _NTH + _END
+_CLAUSE_END = r"\s*(?:\z|[.,;:!?)\]]|(?:and|or|but)" + _END + ")"
+_YEAR_RANGE = (
+    r"(?i)" + _START + r"(?:in|during|throughout|from|between)\s+(?:the\s+years?\s+)?\d{4}\s*(" + _DASH + r"|/|to|through|thru|and|or|,)\s*"
+    r"(?:in\s+)?(?:\d{4}|\d{2})" + _END + r"(?!\s*[-/.]\s*\d)(?:(?=" + _CLAUSE_END + r")(?<=(\d)))?"
+)
+_IN_YEAR = r"(?i)" + _START + r"(?:in|during|throughout)\s+(the\s+year\s+)?(\d{4})" + _END + r"(?!\s*(?:" + _DASH + r"|[/.])\s*\d)(?:(?=" + _CLAUSE_END + r")(?<=(\d)))?"
+_COPYRIGHT = r"(?i)(?:" + _START + r"copyright|©|\(c\))[^.!?\n]*"
+# The forms of dates in a text, each taken out before the next is looked for: (pattern, year, month, day by group).
+_FORMS = (
+    (_START + r"(\d{4})-(\d{2})-(\d{2})(?=[T ]|" + _END + ")", 1, 2, 3),
+    (_START + r"(\d{4})-(\d{2})" + _END + r"(?!-)", 1, 2, None),
+    (r"(?i)" + _START + "(" + _MONTH + r")\.?\s+(\d{1,2})" + _NTH + r",?\s+(\d{4})" + _END, 3, 1, 2),
+    (r"(?i)" + _START + r"(\d{1,2})" + _NTH + r"\s+(?:of\s+)?(" + _MONTH + r")\.?,?\s+(\d{4})" + _END, 3, 2, 1),
+    (r"(?i)" + _START + "(" + _MONTH + r")\.?,?\s+(\d{4})" + _END, 2, 1, None),
+    (_START + r"(1[3-9]|[23]\d)[/.-](0?[1-9]|1[0-2])[/.-](\d{4})" + _END, 3, 2, 1),
+    (_START + r"(0?[1-9]|1[0-2])[/.-](1[3-9]|[23]\d)[/.-](\d{4})" + _END, 3, 1, 2),
+)
+_NO_YEAR = r"(?i)" + _START + "(?:" + _MONTH + r"\.?\s+\d{1,2}" + _NTH + _END + r"|\d{1,2}" + _NTH + r"\s+(?:of\s+)?" + _MONTH + _END + ")"
+_RELATIVE = r"(?i)" + _START + r"(?:today|yesterday|\d{1,3}\s+(?:minute|hour|day|week|month|year)s?\s+ago)" + _END
+
+
+def _zipped(text: Column, pattern: str, *groups: int) -> Column:
+    """Matches of a pattern as structs of the groups g1, g2 and so on; those that are missing are empty."""
+    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in groups]
+    return F.arrays_zip(*parts)
+
+
+def _month_number(name: Column) -> Column:
+    at = F.position(F.left(F.lower(name), F.lit(3)), F.lit("janfebmaraprmayjunjulaugsepoctnovdec"))
+    return F.when(name.rlike(r"^\d+$"), F.lpad(name, 2, "0")).otherwise(F.lpad(((at + 2) / 3).cast("int").cast("string"), 2, "0"))
+
+
+def _iso(year: int, month: int, day: int | None) -> Callable[[Column], Column]:
+    """A match's YYYY-MM or YYYY-MM-DD from its groups."""
+    parts = lambda m: [m[f"g{year}"], _month_number(m[f"g{month}"]), *([F.lpad(m[f"g{day}"], 2, "0")] if day else [])]
+    return lambda m: F.concat_ws("-", *parts(m))
+
+
+def claim_date(text: Column, reference: Column | None = None) -> Column:
+    """struct(value, precision, refusal) of the one date that a text states; null where the text is.
+
+    A year counts in a phrase ("in 2020", before a connector or a clause's end, or "in the
+    year 2020"), not after a copyright mark. Beside ISO days and months count days and months
+    with the month's English name and a year, numeric days of which one number is over 12, and
+    against a ``reference`` date "today", "yesterday" and "n units ago". All readings must
+    agree with the finest one ("2020", "2020-05"), else there is no date. The refusals:
+    ambiguous_number (day and month could be swapped), day_range, year_range, impossible_day,
+    day_without_year, several_dates, year_lost (the text states other years only); without any
+    reading value and refusal are both null.
     """
-    ambiguous = text.rlike(r"\b(?:0?[1-9]|1[0-2])[/.](?:0?[1-9]|1[0-2])[/.]\d{4}\b")
-    ranged = text.rlike(r"\b(?:1[89]|20)\d{2}\s*(?:-|–|to|until|bis|à)\s*(?:1[89]|20)\d{2}\b")
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b(?:1[89]|20)\d{2}(?:-(?:0[1-9]|1[0-2])(?:-\d{2})?)?\b"), F.lit(0)))
-    finest = F.element_at(F.array_sort(found, lambda a, b: F.length(b) - F.length(a)), 1)
-    nested = F.forall(found, lambda v: F.startswith(finest, v))
-    real = F.when(F.length(finest) == 10, F.try_to_date(finest, "yyyy-MM-dd").isNotNull()).otherwise(F.lit(True))
-    precision = F.when(F.length(finest) == 10, "day").when(F.length(finest) == 7, "month").otherwise("year")
-    return F.when(
-        ~ambiguous & ~ranged & (F.size(found) > 0) & nested & real, F.struct(finest.alias("value"), precision.alias("precision"))
+    reference = F.lit(None).cast("date") if reference is None else reference
+    numbers = _zipped(text, _NUMBERS, 1, 2, 3, 4, 5)
+    small = lambda n: n.cast("int") <= 12
+    ambiguous = F.exists(numbers, lambda m: (m["g1"] == "") & (m["g3"].isin("/", ".") | (m["g5"] != "")) & small(m["g2"]) & small(m["g4"]))
+    year_range = F.exists(_zipped(text, _YEAR_RANGE, 1, 2), lambda m: (m["g1"] != ",") | (m["g2"] != ""))
+    phrases = F.filter(_zipped(F.regexp_replace(text, _COPYRIGHT, "\u0001"), _IN_YEAR, 1, 2, 3), lambda m: (m["g1"] != "") | (m["g3"] != ""))
+    years = F.transform(phrases, lambda m: m["g2"])
+
+    rest, read = F.regexp_replace(text, _IN_YEAR, " "), [years]
+    for pattern, year, month, day in _FORMS:
+        found = _zipped(rest, pattern, *sorted(g for g in (year, month, day) if g))
+        read.append(F.transform(found, _iso(year, month, day)))
+        rest = F.regexp_replace(rest, pattern, " ")
+    ago = F.transform(
+        F.regexp_extract_all(rest, F.lit(_RELATIVE), F.lit(0)),
+        lambda r: F.when(F.lower(r) == "today", F.date_format(reference, "yyyy-MM-dd"))
+        .when(F.lower(r) == "yesterday", F.date_format(F.date_sub(reference, 1), "yyyy-MM-dd"))
+        .otherwise(parse_relative(r, reference)["value"]),
     )
+    bare = rest.rlike(_NO_YEAR)
+    stated = F.regexp_extract_all(text, F.lit(_START + r"(\d{4})" + _END), F.lit(1))
+    real = lambda v: F.when(F.length(v) == 10, F.try_to_date(v, "yyyy-MM-dd").isNotNull()).when(F.length(v) == 7, F.right(v, F.lit(2)).between("01", "12")).otherwise(F.lit(True))
+
+    def settled(values: Column) -> Column:
+        finest = F.try_element_at(F.array_sort(values, lambda x, y: F.length(y) - F.length(x)), F.lit(1))
+        reason = (
+            F.when(ambiguous, "ambiguous_number")
+            .when(text.rlike(_DAY_RANGE), "day_range")
+            .when(year_range, "year_range")
+            .when(F.exists(values, lambda v: ~real(v)), "impossible_day")
+            .when(bare, "day_without_year")
+            .when(~F.forall(values, lambda v: F.startswith(finest, v)), "several_dates")
+            .when((F.size(values) > 0) & (F.size(stated) > 0) & ~F.array_contains(stated, F.left(finest, F.lit(4))), "year_lost")
+        )
+        precision = F.when(F.length(finest) == 10, "day").when(F.length(finest) == 7, "month").when(finest.isNotNull(), "year")
+        return let(reason, lambda r: F.struct(F.when(r.isNull(), finest).alias("value"), F.when(r.isNull(), precision).alias("precision"), r.alias("refusal")))
+
+    return F.when(text.isNotNull(), let(F.array_distinct(F.array_compact(F.concat(*read, ago))), settled))
 
 
 def disagree(a_value: Column, a_precision: Column, b_value: Column, b_precision: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import dates
 from ..functions import text as text_fn
 from ..operators import origins, similarity
 from ..sources.shared import written
@@ -55,7 +56,29 @@ def refined_origins(spark, sf_dir):
     return found.withColumn("spans", F.array_join("spans", "|"))
 
 
-QUERIES = {f.__name__: f for f in (refined_origins,)}
+#: Lines put to the end of the texts by turns, so that every reading and refusal is there; the others have none.
+CLAIMS = (
+    "It was taken on March 5, 2021.", "It was filmed in 2021.", "It was seen on 2021-03-05, in March 2021.", "It was seen on 03/04/2021.",
+    "It happened on March 5–8, 2021.", "It was so between 2019 and 2021.", "It was on February 31, 2021.", "It was on March 5.",
+    "It was on 5 March 2021 and on 6 March 2021.", "It was yesterday.", "In 2021 households it was seen.", "Copyright by all, in 2021.", "It was 2 months ago.",
+    "It was 31/12/2020, in 2020.",
+)
+
+
+def claim_texts(spark, sf_dir) -> DataFrame:
+    """Documents as claims with a line on a date, and the day that they were asked on."""
+    n = F.col("doc_id")
+    line = F.try_element_at(F.array(*[F.lit(x) for x in CLAIMS]), (n % 16 + 1).cast("int"))
+    day = F.date_add(F.lit("2021-03-06").cast("date"), (n % 3).cast("int"))
+    return table(spark, sf_dir, "documents").select(n.alias("claim_id"), F.concat_ws("\n", "text", line).alias("text"), day.alias("asked"))
+
+
+def claim_dates(spark, sf_dir):
+    """The date that each whole text states, or why it states none."""
+    return claim_texts(spark, sf_dir).select("claim_id", dates.claim_date(F.col("text"), F.col("asked")).alias("d")).select("claim_id", "d.*")
+
+
+QUERIES = {f.__name__: f for f in (refined_origins, claim_dates)}
 
 _NAME_KEY = "regexp_replace(regexp_replace(lower({0}), '^(?:the|a|an)\\s+', ''), '[^a-z0-9]', '', 'g')"
 
