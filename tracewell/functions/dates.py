@@ -93,7 +93,7 @@ _YEAR_RANGE = (
 )
 _IN_YEAR = r"(?i)" + _START + r"(?:in|during|throughout)\s+(the\s+year\s+)?(\d{4})" + _END + r"(?!\s*(?:" + _DASH + r"|[/.])\s*\d)(?:(?=" + _CLAUSE_END + r")(?<=(\d)))?"
 _COPYRIGHT = r"(?i)(?:" + _START + r"copyright|©|\(c\))[^.!?\n]*"
-# The forms of dates in a text, each taken out before the next is looked for: (pattern, year, month, day by group).
+# Forms of dates in a text, each taken out before the next is looked for: (pattern, year, month, day by group).
 _FORMS = (
     (_START + r"(\d{4})-(\d{2})-(\d{2})(?=[T ]|" + _END + ")", 1, 2, 3),
     (_START + r"(\d{4})-(\d{2})" + _END + r"(?!-)", 1, 2, None),
@@ -107,10 +107,9 @@ _NO_YEAR = r"(?i)" + _START + "(?:" + _MONTH + r"\.?\s+\d{1,2}" + _NTH + _END +
 _RELATIVE = r"(?i)" + _START + r"(?:today|yesterday|\d{1,3}\s+(?:minute|hour|day|week|month|year)s?\s+ago)" + _END
 
 
-def _zipped(text: Column, pattern: str, *groups: int) -> Column:
-    """Matches of a pattern as structs of the groups g1, g2 and so on; those that are missing are empty."""
-    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in groups]
-    return F.arrays_zip(*parts)
+def _matches(text: Column, pattern: str, group: int) -> Column:
+    """Matches of a pattern as structs (m, g): the match, and a group that needs what is around it, empty if missing."""
+    return F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"))
 
 
 def _month_number(name: Column) -> Column:
@@ -118,10 +117,28 @@ def _month_number(name: Column) -> Column:
     return F.when(name.rlike(r"^\d+$"), F.lpad(name, 2, "0")).otherwise(F.lpad(((at + 2) / 3).cast("int").cast("string"), 2, "0"))
 
 
-def _iso(year: int, month: int, day: int | None) -> Callable[[Column], Column]:
+def _iso(pattern: str, year: int, month: int, day: int | None) -> Callable[[Column], Column]:
     """A match's YYYY-MM or YYYY-MM-DD from its groups."""
-    parts = lambda m: [m[f"g{year}"], _month_number(m[f"g{month}"]), *([F.lpad(m[f"g{day}"], 2, "0")] if day else [])]
-    return lambda m: F.concat_ws("-", *parts(m))
+    of = lambda m, g: F.regexp_extract(m, pattern, g)
+    return lambda m: F.concat_ws("-", of(m, year), _month_number(of(m, month)), *([F.lpad(of(m, day), 2, "0")] if day else []))
+
+
+def _taken(pattern: str, iso: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """A step that takes the dates of one form out of struct(rest, values), with one scan where there are none."""
+
+    def step(s: Column) -> Column:
+        more = lambda found: F.struct(F.regexp_replace(s["rest"], pattern, " ").alias("rest"), F.concat(s["values"], F.transform(found, iso)).alias("values"))
+        return let(F.regexp_extract_all(s["rest"], F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, more(found)).otherwise(s))
+
+    return step
+
+
+def _read(rest: Column, values: Column) -> Column:
+    """struct(rest, values): the dates of every form added to the values, and the text without them."""
+    state = F.struct(rest.alias("rest"), values.alias("values"))
+    for pattern, year, month, day in _FORMS:
+        state = let(state, _taken(pattern, _iso(pattern, year, month, day)))
+    return state
 
 
 def claim_date(text: Column, reference: Column | None = None) -> Column:
@@ -137,29 +154,27 @@ def claim_date(text: Column, reference: Column | None = None) -> Column:
     reading value and refusal are both null.
     """
     reference = F.lit(None).cast("date") if reference is None else reference
-    numbers = _zipped(text, _NUMBERS, 1, 2, 3, 4, 5)
-    small = lambda n: n.cast("int") <= 12
-    ambiguous = F.exists(numbers, lambda m: (m["g1"] == "") & (m["g3"].isin("/", ".") | (m["g5"] != "")) & small(m["g2"]) & small(m["g4"]))
-    year_range = F.exists(_zipped(text, _YEAR_RANGE, 1, 2), lambda m: (m["g1"] != ",") | (m["g2"] != ""))
-    phrases = F.filter(_zipped(F.regexp_replace(text, _COPYRIGHT, "\u0001"), _IN_YEAR, 1, 2, 3), lambda m: (m["g1"] != "") | (m["g3"] != ""))
-    years = F.transform(phrases, lambda m: m["g2"])
-
-    rest, read = F.regexp_replace(text, _IN_YEAR, " "), [years]
-    for pattern, year, month, day in _FORMS:
-        found = _zipped(rest, pattern, *sorted(g for g in (year, month, day) if g))
-        read.append(F.transform(found, _iso(year, month, day)))
-        rest = F.regexp_replace(rest, pattern, " ")
-    ago = F.transform(
-        F.regexp_extract_all(rest, F.lit(_RELATIVE), F.lit(0)),
-        lambda r: F.when(F.lower(r) == "today", F.date_format(reference, "yyyy-MM-dd"))
-        .when(F.lower(r) == "yesterday", F.date_format(F.date_sub(reference, 1), "yyyy-MM-dd"))
-        .otherwise(parse_relative(r, reference)["value"]),
-    )
-    bare = rest.rlike(_NO_YEAR)
+    number = r"^(\d{1,2})\s*(\D)\s*(\d{1,2})(.*)$"
+    part = lambda m, g: F.regexp_extract(m["m"], number, g)
+    small = lambda m, g: part(m, g).cast("int") <= 12
+    swapped = lambda m: (m["g"] == "") & (part(m, 2).isin("/", ".") | (part(m, 4) != "")) & small(m, 1) & small(m, 3)
+    ambiguous = F.exists(_matches(text, _NUMBERS, 1), swapped)
+    year_range = F.exists(_matches(text, _YEAR_RANGE, 2), lambda m: (m["g"] != "") | ~m["m"].contains(","))
+    phrases = _matches(F.regexp_replace(text, _COPYRIGHT, "\u0001"), _IN_YEAR, 3)
+    years = F.transform(F.filter(phrases, lambda p: (p["g"] != "") | p["m"].rlike(r"(?i)\syear\s")), lambda p: F.right(p["m"], F.lit(4)))
+
+    def relative(rest: Column) -> Column:
+        return F.transform(
+            F.regexp_extract_all(rest, F.lit(_RELATIVE), F.lit(0)),
+            lambda r: F.when(F.lower(r) == "today", F.date_format(reference, "yyyy-MM-dd"))
+            .when(F.lower(r) == "yesterday", F.date_format(F.date_sub(reference, 1), "yyyy-MM-dd"))
+            .otherwise(parse_relative(r, reference)["value"]),
+        )
+
     stated = F.regexp_extract_all(text, F.lit(_START + r"(\d{4})" + _END), F.lit(1))
     real = lambda v: F.when(F.length(v) == 10, F.try_to_date(v, "yyyy-MM-dd").isNotNull()).when(F.length(v) == 7, F.right(v, F.lit(2)).between("01", "12")).otherwise(F.lit(True))
 
-    def settled(values: Column) -> Column:
+    def settled(values: Column, bare: Column) -> Column:
         finest = F.try_element_at(F.array_sort(values, lambda x, y: F.length(y) - F.length(x)), F.lit(1))
         reason = (
             F.when(ambiguous, "ambiguous_number")
@@ -173,7 +188,11 @@ def claim_date(text: Column, reference: Column | None = None) -> Column:
         precision = F.when(F.length(finest) == 10, "day").when(F.length(finest) == 7, "month").when(finest.isNotNull(), "year")
         return let(reason, lambda r: F.struct(F.when(r.isNull(), finest).alias("value"), F.when(r.isNull(), precision).alias("precision"), r.alias("refusal")))
 
-    return F.when(text.isNotNull(), let(F.array_distinct(F.array_compact(F.concat(*read, ago))), settled))
+    def judged(s: Column) -> Column:
+        values = F.array_distinct(F.array_compact(F.concat(s["values"], relative(s["rest"]))))
+        return let(values, lambda v: settled(v, s["rest"].rlike(_NO_YEAR)))
+
+    return F.when(text.isNotNull(), let(_read(F.regexp_replace(text, _IN_YEAR, " "), years), judged))
 
 
 def disagree(a_value: Column, a_precision: Column, b_value: Column, b_precision: Column) -> Column:

@@ -178,25 +178,19 @@ def named_credits(text: Column) -> Column:
 
 
 def credits(text: Column) -> Column:
-    """struct(media, hosting, bylines, spans) of a text's valid sentences, in their order.
+    """struct(media, hosting, bylines, spans, said) of a text's valid sentences, in their order.
 
     ``media`` are names that acquired or first published the media, ``hosting`` those
     that only published it, ``bylines`` outlets of a named person; ``spans`` are the
-    sentences that have any.
+    sentences that have any, and ``said`` those with an attribution phrase.
     """
     of = lambda s, pattern: F.regexp_extract_all(s, F.lit(pattern), F.lit(1))
     each = lambda sentences_, pattern: F.flatten(F.transform(sentences_, lambda s: of(s, pattern)))
-    some = lambda s: s.rlike(_MEDIA) | s.rlike(_HOSTING) | s.rlike(_BYLINE)
-    found = lambda ss: F.struct(
-        each(ss, _MEDIA).alias("media"), each(ss, _HOSTING).alias("hosting"), each(ss, _BYLINE).alias("bylines"), F.transform(ss, _stripped).alias("spans")
-    )
-    return let(F.filter(valid_sentences(text), some), found)
-
-
-def attribution_spans(text: Column) -> Column:
-    """Valid sentences with an attribution phrase, trimmed."""
-    some = lambda s: F.exists(F.array(*[s.rlike(p) for p in _ATTRIBUTION]), lambda hit: hit)
-    return F.transform(F.filter(valid_sentences(text), some), _stripped)
+    credited = lambda s: s.rlike(_MEDIA) | s.rlike(_HOSTING) | s.rlike(_BYLINE)
+    attributed = lambda s: F.exists(F.array(*[s.rlike(p) for p in _ATTRIBUTION]), lambda hit: hit)
+    named = lambda ss: F.struct(each(ss, _MEDIA).alias("media"), each(ss, _HOSTING).alias("hosting"), each(ss, _BYLINE).alias("bylines"), F.transform(ss, _stripped).alias("spans"))
+    both = lambda ss: F.struct(F.filter(ss, credited).alias("ss"), F.transform(F.filter(ss, attributed), _stripped).alias("said"))
+    return let(let(valid_sentences(text), both), lambda b: let(named(b["ss"]), lambda n: n.withField("said", b["said"])))
 
 
 def _stripped(text: Column) -> Column:

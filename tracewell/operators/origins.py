@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as text_fn
+from ..sources.shared import written
 
 #: Code points of a text that is long enough to judge an origin by.
 LEAST_TEXT = 400
@@ -31,7 +32,7 @@ def refine_origins(pages: DataFrame, duplicates: DataFrame) -> DataFrame:
     c = F.col
     held = pages.where(F.length("text") >= LEAST_TEXT).select(
         "inv", "cand_id", "ord", "domain", "status", "group_id", text_fn.origin_key(c("text")).alias("origin"),
-        text_fn.attribution_spans(c("text")).alias("said"), text_fn.credits(c("text")).alias("credit"),
+        text_fn.credits(c("text")).alias("credit"),
     )
     own = text_fn.own_outlet_key(c("domain"))
     keys = lambda names: F.transform(names, text_fn.name_key)
@@ -41,6 +42,8 @@ def refine_origins(pages: DataFrame, duplicates: DataFrame) -> DataFrame:
         "self_bound", (c("own") != "") & F.array_contains(keys(c("credit.media")), c("own"))
     )
 
+    # Written, since each pass reads it and the texts are costly to judge.
+    held = written(held, "origins")
     members = duplicates.select("inv", "cand_id", "grp").join(held.select("inv", "cand_id", "ord"), ["inv", "cand_id"])
     least = F.struct("ord", "cand_id")
     shared = members.groupBy("inv", "grp").agg(F.count(F.lit(1)).alias("n_dup"), F.min(least)["cand_id"].alias("dup")).where("n_dup > 1")
@@ -76,7 +79,7 @@ def refine_origins(pages: DataFrame, duplicates: DataFrame) -> DataFrame:
         by(F.concat(F.lit("provider:"), "p.provider"), F.concat(F.lit("dup:"), c("dup").cast("string")), c("origin"), F.concat(F.lit("origin:"), "domain")).alias("new_group"),
         by(c("p.n"), c("n_dup"), F.lit(1), F.lit(1)).cast("long").alias("n_supports"),
         by(c("p.first.cand_id"), c("dup"), c("cand_id"), c("cand_id")).alias("first_support"),
-        by(c("credit.spans"), none, c("said"), c("credit.spans")).alias("spans"),
+        by(c("credit.spans"), none, c("credit.said"), c("credit.spans")).alias("spans"),
     )
     was = pages.select("inv", "cand_id", F.coalesce("status", F.lit("unresolved")).alias("status"), "group_id")
     return was.join(found, ["inv", "cand_id"], "left").select(
