@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import events, evidence, investigations, origins, places, research, texts
+from . import events, evidence, excerpts, investigations, origins, places, research, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (investigations, texts, events, evidence, origins, research, places):
+for module in (investigations, texts, events, evidence, origins, research, places, excerpts):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
