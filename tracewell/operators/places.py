@@ -168,7 +168,7 @@ def stated_places(claims: DataFrame, lexicon: DataFrame) -> DataFrame:
             for claim, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for r in readings(text.as_py() or "", nouns, names):
                     rows.append((claim, *r))
-                    held += len(r[6] or r[7])
+                    held += len(r[6] or r[7] or "")
                     if len(rows) == ROWS or held > CHARACTERS:
                         yield _batch(rows)
                         rows, held = [], 0
