@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,6 +46,7 @@ SUFFIXES = (
 ).split()
 NUMBER, HOUSE_NUMBER = r"^[0-9.,/'’-]+$", r"^[0-9]+[A-Za-z]?([-/][0-9A-Za-z]+)*$"
 CLOSING = ".!?;:,—–)]"
+_NUMBER, _HOUSE_NUMBER = re.compile(NUMBER).match, re.compile(HOUSE_NUMBER).match
 
 #: Words of the longest name; readings, and characters in them, that a task hands on at once.
 MOST_WORDS, ROWS, CHARACTERS = 4, 16_384, 2**23
@@ -63,6 +65,8 @@ _EVIDENCE = ("gazetteer", "street_address", "place_type_noun")
 def bare(raw: str) -> str:
     """A word without what is neither a letter nor a number at its ends."""
     start, end = 0, len(raw)
+    if raw and raw[0].isalnum() and raw[-1].isalnum():
+        return raw
     while start < end and not raw[start].isalnum():
         start += 1
     while end > start and not raw[end - 1].isalnum():
@@ -75,7 +79,15 @@ def fold(raw: str) -> str:
     word = bare(raw)
     if not word.isascii():
         word = "".join(c for c in unicodedata.normalize("NFD", word) if not "̀" <= c <= "ͯ")
-    return re.sub("['’]s$", "", word.lower())
+    word = word.lower()
+    return word[:-2] if word.endswith(("'s", "’s")) else word
+
+
+@lru_cache(2**16)
+def _token(raw: str) -> tuple[str, bool, bool, bool]:
+    """The folded word, whether it is a number and a house number, and whether a sign at its end closes a part of a sentence."""
+    may_be = not raw[0].isalpha()
+    return fold(raw), may_be and _NUMBER(raw) is not None, may_be and _HOUSE_NUMBER(raw) is not None, raw[-1] in CLOSING
 
 
 def objects(words: list[str]) -> Iterator[int]:
@@ -96,17 +108,17 @@ def readings(text: str, nouns: frozenset[str], names: frozenset[str]) -> Iterato
     written once for each step.
     """
     raw = [t for t in re.split(BLANK, text) if t]
-    words = [fold(t) for t in raw]
+    tokens = [_token(t) for t in raw]
+    words = [t[0] for t in tokens]
     size = len(words)
-    closed = [t[-1] in CLOSING for t in raw]
     # The end of an address whose number is just before: the first ending of a street with no stop word or number before it.
     street = [-1] * (size + 1)
-    for i in range(size - 1, -1, -1):
-        if words[i] not in _STOP and not re.match(NUMBER, raw[i]):
+    for i in range(size - 1, -1, -1) if any(t[2] for t in tokens) else ():
+        if words[i] not in _STOP and not tokens[i][1]:
             street[i] = i if words[i] in _SUFFIXES else street[i + 1]
 
     def address(i: int) -> int:
-        return street[i + 1] if re.match(HOUSE_NUMBER, raw[i]) else -1
+        return street[i + 1] if tokens[i][2] else -1
 
     def reading(at: int, step: int, kind: int, to: int, key: str | None) -> tuple:
         n, end = to - at - step + 1, to
@@ -118,14 +130,14 @@ def readings(text: str, nouns: frozenset[str], names: frozenset[str]) -> Iterato
     for at in objects(words):
         if words[at] in _STOP:
             continue
-        if re.match(NUMBER, raw[at]) or re.match(HOUSE_NUMBER, raw[at]):
+        if tokens[at][1] or tokens[at][2]:
             if address(at) >= 0:
                 yield reading(at, 0, 1, address(at), None)
             continue
         for i in range(at, size):
             for n in range(1, min(MOST_WORDS, size - i) + 1):
                 last = i + n - 1
-                if n > 1 and (words[last] in _STOP or (n > 2 and closed[last - 1])):
+                if n > 1 and (words[last] in _STOP or (n > 2 and tokens[last - 1][3])):
                     break
                 yield reading(at, i - at, 0, last, " ".join(words[i : last + 1]))
             if address(i) >= 0:
