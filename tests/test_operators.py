@@ -216,3 +216,10 @@ def test_due_watches(spark):
     assert [r["id"] for r in due.collect()] == [1]
     after = watches.after_check(due, F.lit(True)).first()
     assert after["next_check"] == datetime.datetime(2024, 1, 2) and after["active"]
+
+
+def test_speech_lead_is_cut_at_its_last_space(spark):
+    """Of a line end at the cut only that goes, and not the word before it as well."""
+    rows = [(1, 0, "one two\nthree"), (2, 0, "one two three"), (3, 0, "one two\n")]
+    got = watches.speech_lead(spark.createDataFrame(rows, "media_id int, seq int, text string"), most_chars=8)
+    assert {r["media_id"]: r["lead"] for r in got.collect()} == {1: "one two", 2: "one two", 3: "one two\n"}

@@ -164,7 +164,7 @@ def speech_lead(segments: DataFrame, most_chars: int = 300) -> DataFrame:
     kept = rows.where((F.col("chars") - 1 <= most_chars) | (F.col("i") == 1) | (F.col("i") == F.col("n")) | (F.col("i") == middle))
     said = kept.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("i", "text"))).alias("t"))
     joined = F.array_join(F.transform("t", lambda x: x["text"]), " ")
-    cut = F.regexp_replace(F.left(joined, F.lit(most_chars)), r"\s\S*$", "")
+    cut = F.regexp_replace(F.left(joined, F.lit(most_chars)), r"\s\S*\z", "")
     return said.select("media_id", F.when(F.length(joined) <= most_chars, joined).otherwise(cut).alias("lead"))
 
 
