@@ -223,3 +223,17 @@ def test_speech_lead_is_cut_at_its_last_space(spark):
     rows = [(1, 0, "one two\nthree"), (2, 0, "one two three"), (3, 0, "one two\n")]
     got = watches.speech_lead(spark.createDataFrame(rows, "media_id int, seq int, text string"), most_chars=8)
     assert {r["media_id"]: r["lead"] for r in got.collect()} == {1: "one two", 2: "one two", 3: "one two\n"}
+
+
+def test_similar_sets_join_few_pairs(spark):
+    """Sets that share common words only leave the join by their bits and the places of these, and no similar pair does."""
+    rng = random.Random(11)
+    rows = [("s", i, [f"w{rng.randrange(90)}" for _ in range(20 + i % 7)]) for i in range(250)]
+    rows += [("s", 1000 + i, [*rows[i][2][2:], "x"]) for i in range(0, 250, 10)]
+    classes = similarity.set_classes(spark.createDataFrame(rows, "scope string, id long, tokens array<string>"))
+    found = similarity.similar_sets(classes, 40, 6)
+    sets = {i: set(words) for _, i, words in rows}
+    want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) * 100 >= len(sets[a] | sets[b]) * 40 and len(sets[a] & sets[b]) >= 6}
+    assert {(r["a"], r["b"]) for r in found.collect()} == want and len(want) >= 25
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_count" in plan

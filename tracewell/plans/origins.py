@@ -49,7 +49,7 @@ def refined_origins(spark, sf_dir):
     sets = pages.where(F.length("text") >= origins.LEAST_TEXT).select(
         F.col("inv").cast("string").alias("scope"), F.col("cand_id").alias("id"), text_fn.shingle_hashes(F.col("text")).alias("tokens")
     )
-    classes = written(similarity.set_classes(sets), "classes")
+    classes = similarity.set_classes(sets)
     groups = similarity.groups(classes, similarity.similar_sets(classes, 60))
     duplicates = groups.select((F.col("id") % INVESTIGATIONS).alias("inv"), F.col("id").alias("cand_id"), F.col("group_id").alias("grp"))
     found = origins.refine_origins(pages, duplicates)
