@@ -94,6 +94,40 @@ def test_cut_is_the_quantile_of_bad_labels():
         assert ((found.score(x) >= quality.CUT) == (raw >= found.cut)).all()
 
 
+def _labelled(spark, n):
+    """Texts of which every fifth is bad, and has marks with a chance; all rows are labelled."""
+    word = "concat('word', crc32(cast(id * 7 AS string)) % 50)"
+    noise = "repeat(CASE WHEN crc32(cast(id AS string)) % 10 < CASE WHEN id % 5 = 0 THEN 8 ELSE 2 END THEN '#@ ' ELSE 'and ' END, 1 + cast(crc32(cast(id * 3 AS string)) % 9 AS int))"
+    rows = spark.range(n).selectExpr("id AS doc_id", f"concat({word}, ' ', {noise}, {word}, '.') AS text", "cast(id % 5 <> 0 AS int) AS quality")
+    return rows.select("doc_id", "text"), rows.select("doc_id", "quality"), rows.orderBy("doc_id").toPandas()
+
+
+def test_quality_learns_from_every_label(spark):
+    """Statistics are those of all 20,000 rows, in five blocks, and the cut lies between the scores that the bad labels' share falls between."""
+    docs, labels, rows = _labelled(spark, 20_000)
+    x = np.stack([quality.features(t) for t in rows.text])
+    found = quality.train(docs, labels)
+    assert np.allclose(found.mean, x.mean(0), atol=1e-12) and np.allclose(found.scale, np.maximum(x.std(0), 1e-6), atol=1e-9)
+    raw = np.sort(found.raw(x))
+    assert abs(found.cut - (raw[3999] + raw[4000]) / 2) < 1e-9
+
+
+def test_quality_in_blocks_is_quality_in_one(spark, monkeypatch):
+    """One block gives what fit() gives; many, with few bad rows as partners in several, give much the same weights."""
+    docs, labels, rows = _labelled(spark, 3_000)
+    labels, rows = labels.where("quality = 1 OR doc_id % 50 = 0"), rows[(rows.quality == 1) | (rows.doc_id % 50 == 0)]
+    x, good = np.stack([quality.features(t) for t in rows.text]), rows.quality.to_numpy() == 1
+    one, plain = quality.train(docs, labels), quality.fit(x, good, 1 - good.mean())
+    assert np.allclose(one.weights, plain.weights, atol=0.3) and abs(one.cut - plain.cut) < 0.3
+    monkeypatch.setattr(quality, "BLOCK", 200)
+    monkeypatch.setattr(quality, "NEAR", 3)
+    many = quality.train(docs, labels)
+    assert np.allclose(many.mean, one.mean) and np.corrcoef(many.raw(x), one.raw(x))[0, 1] > 0.99
+    raw = np.sort(many.raw(x))
+    bad = int((~good).sum())
+    assert abs(many.cut - (raw[bad - 1] + raw[bad]) / 2) < 1e-9
+
+
 # --- BPE --------------------------------------------------------------------
 
 texts = st.lists(st.sampled_from([*"ab e  \n\tSé\x1c\x85ßİ中🙂٣½'", "'re", "<|endoftext|>", "the", "  ", "12"]), max_size=30).map("".join)
