@@ -52,7 +52,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6 as a stage: one document of each group of near-duplicates stays, that with the smallest doc_id.
 
-    Groups are linked by 5-word shingles at Jaccard 0.8. Null, empty and
+    Groups are linked by 5-word shingles at Jaccard 0.8; candidates are those of
+    the operator's fingerprints and covering masks, and of MinHash bands for
+    similar texts that are further apart than its 3 bits. Null, empty and
     wordless texts are one group; a null id comes after any other; of rows that
     repeat the smallest id, one stays; an empty table stays empty.
     """

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracewell.llm import minhash
+from tracewell.llm import minhash, simhash
 
 
 def shingle_set(text):
@@ -125,6 +125,27 @@ def test_a_crowd_of_one_template(spark, monkeypatch):
     assert {r[1] for r in found} == kept(texts[:400])
 
 
+def test_fingerprints_give_candidates(spark, monkeypatch):
+    """Without any band, similar texts within three bits of the SimHash operator link; texts with near prints and other words don't."""
+    monkeypatch.setattr(minhash, "sketch_column", _unbanded(minhash.sketch_column))
+    words = [f"w{i}" for i in range(2000)]
+    near = list(words)
+    near[1999] = "other"
+    texts = [" ".join(words), " ".join(near), "a b c", "a b c d e f g"]
+    assert bin(simhash.fingerprint(texts[0]) ^ simhash.fingerprint(texts[1])).count("1") <= 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component"] for r in minhash.near_duplicates(docs.withColumn("row", F.col("doc_id")), "row").collect()}
+    assert found[0] == found[1] and len(set(found.values())) == 3
+
+
+def _unbanded(column):
+    def of(text):
+        s = column(text)
+        return F.struct(s["node"].alias("node"), s["size"].alias("size"), F.array().cast("array<long>").alias("keys"), s["fp"].alias("fp"))
+
+    return of
+
+
 def test_odd_rows(spark, small, documents, no_documents):
     assert corpus_pipeline.near_copies(spark, documents, small).count() == 6
     assert corpus_pipeline.near_copies(spark, no_documents, small).count() == 0

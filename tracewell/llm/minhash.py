@@ -1,9 +1,11 @@
-"""Near-duplicates by Jaccard similarity of word shingles: MinHash bands, exact check of candidates.
+"""Near-duplicates by Jaccard similarity of word shingles: SimHash and MinHash bands, exact check of candidates.
 
 Two texts link if the sets of their 5-word shingles have a Jaccard similarity of
-0.8 or more. Candidates agree on all ROWS minima of one of BANDS bands: a pair
-at 0.8 is missed with a probability of (1 - 0.8^5)^24, some 7 in 100,000, and a
-nearer pair with less. The shingle sets themselves decide on every candidate.
+0.8 or more. Candidates are the components that the SimHash operator's covering
+masks find, and what is too far apart for those and agrees on all ROWS minima of
+one of BANDS bands: a pair at 0.8 is missed with a probability of
+(1 - 0.8^5)^24 at most, some 7 in 100,000, and a nearer pair with less. The
+shingle sets themselves decide on every candidate.
 
 Equal sets first collapse to one node. Nodes that buckets connect, directly or
 not, are a crowd: no link leaves it. A crowd of at most CROWD shingles whose
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected
 from .common import scratch, small_batches, written
-from .simhash import BLOCK, BLOCKS, LARGE_BLOCK, hot_labels, with_labels
+from .simhash import BLOCK, BLOCKS, LARGE_BLOCK, fingerprint, hot_labels, links, with_labels
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 24, 5
@@ -64,11 +66,12 @@ def sketch(hashes: np.ndarray) -> tuple[int, int, list[int]]:
 
 
 def sketch_column(text: Column) -> Column:
-    @F.arrow_udf("struct<node:long,size:long,keys:array<long>>")
+    @F.arrow_udf("struct<node:long,size:long,keys:array<long>,fp:long>")
     def minhash(texts: pa.Array) -> pa.Array:
         nodes, sizes, keys = zip(*[sketch(shingles(t.as_py())) for t in texts]) if len(texts) else ((), (), ())
-        parts = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-        return pa.StructArray.from_arrays(parts, ["node", "size", "keys"])
+        prints = pa.array(np.array([fingerprint(t.as_py()) for t in texts], np.uint64).view(np.int64), pa.int64())
+        parts = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), prints]
+        return pa.StructArray.from_arrays(parts, ["node", "size", "keys", "fp"])
 
     return minhash(text)
 
@@ -141,6 +144,14 @@ def _groups(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
+def _near_prints(nodes: DataFrame) -> DataFrame:
+    """(node, tab, key): nodes whose fingerprints the SimHash operator connects, as a band of their own; equal ones too."""
+    prints = nodes.where("size > 0").select("node", "fp")
+    found = written(connected(links(prints.select("fp").distinct())).withColumnRenamed("node", "fp"), "prints")
+    key = F.coalesce("component", "fp").alias("key")
+    return prints.join(found, "fp", "left").select("node", F.lit(BANDS).alias("tab"), key)
+
+
 def _stars(keyed: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes with the least node of one of their buckets."""
     buckets = written(keyed.groupBy("tab", "key").agg(F.min("node").alias("least")), "buckets")
@@ -225,9 +236,9 @@ def near_duplicates(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_
         )
         with small_batches(spark):
             made = keep(written(made.select("doc_id", "row", "s.*"), "sketches"))
-        least = F.min_by(F.struct("row", "size", "keys"), "row").alias("least")
+        least = F.min_by(F.struct("row", "size", "keys", "fp"), "row").alias("least")
         nodes = written(made.groupBy("node").agg(least).select("node", "least.*"), "nodes")
-        every = nodes.select("node", F.posexplode("keys").alias("tab", "key"))
+        every = nodes.select("node", F.posexplode("keys").alias("tab", "key")).unionByName(_near_prints(nodes))
         several = every.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tab", "key")
         keyed = written(every.join(written(several, "several"), ["tab", "key"]), "keyed")
         stars = _stars(keyed)
