@@ -445,6 +445,20 @@ def test_near_hashes_match_brute_force(spark):
     assert got == want and len(want) > 40
 
 
+@pytest.mark.parametrize("agree", [1, 2, 3])
+def test_near_hashes_in_blocks(spark, monkeypatch, agree):
+    """Of few hashes few keys are dealt, and any number of parts and blocks gives the same pairs, each once."""
+    monkeypatch.setattr(similarity, "BLOCK", 7)
+    rng = random.Random(6)
+    hashes = sorted({rng.getrandbits(64) & ~0xFFFF for _ in range(20)} | {rng.getrandbits(16) << 20 for _ in range(60)})
+    rows = spark.createDataFrame([(1000 - i, h - (1 << 64) if h >> 63 else h) for i, h in enumerate(hashes)], "id long, hash long")
+    got = [tuple(r) for r in similarity.near_hashes(rows, agree=agree).select("a", "b", "distance").collect()]
+    near = lambda a, b: bin(a ^ b).count("1") <= 8
+    want = {(1000 - j, 1000 - i, bin(a ^ b).count("1")) for i, a in enumerate(hashes) for j, b in enumerate(hashes) if i < j and near(a, b)}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 40
+    assert [similarity._agree(n, 8, 64) for n in (10, 600_000, 10**7)] == [1, 1, 2]
+
+
 def test_contained_sentences_match_brute_force(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(60)]
