@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 import shutil
 import subprocess
 import sys
@@ -474,6 +475,25 @@ def test_contained_sentences_match_brute_force(spark):
     assert got == want and len(want) > 20
 
 
+def test_contained_sentences_meet_few_passages(spark, monkeypatch):
+    """Sentences of few words share all their runs of three with most passages; those of any length are found, by runs that few passages have."""
+    rng = random.Random(8)
+    words = [f"term{i}" for i in range(6)]
+    long_ = [" ".join(rng.choices(words, k=k)) + "." for k in (14, 15, 16, 18, 40) for _ in range(20)]
+    wide = [" ".join(f"{w * 6}x{i}" for w in rng.sample(words, k)) + "." for i, k in enumerate((3, 4, 5, 5))]
+    texts = [f"{a} {b}" for a, b in zip(long_, reversed(long_))] + [f"{s} {t}" for s in wide for t in rng.sample(long_, 2)]
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "case_id int, id int, text string")
+    kept = []
+    monkeypatch.setattr(similarity, "written", lambda df, name: kept.append((name, df)) or df)
+    got = {(r["a"], r["b"]) for r in similarity.contained_sentences(rows).collect()}
+    said = [[x for x in re.findall(r"[^.!?\n]+[.!?]?", t)] for t in texts]
+    want = {(a, b) for a in range(len(texts)) for b in range(len(texts)) if a != b and any(len(x.strip()) >= 80 and x.strip() in texts[b] for x in said[a])}
+    assert got == want and len(want) > 40
+    keys = dict(kept)["keys"]
+    passages = rows.select("case_id", "id", F.explode(similarity._grams(similarity._words(F.col("text")), similarity.LONG)).alias("run"))
+    assert keys.join(passages, ["case_id", "run"]).count() < 4 * keys.count()
+
+
 SAID = "id int, case_id int, evidence_id int, url string, text string"
 
 
