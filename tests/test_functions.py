@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime
+import re
 
 from pyspark.sql import functions as F
 
@@ -109,3 +110,28 @@ def test_shingles_and_phrases(spark):
 def test_cues(spark):
     got = column(spark, ["an old photo of it", "a photo", "an old house", None], text.historical_media_cue)
     assert got == [True, False, False, False]
+
+
+def test_credits_look_for_words_before_patterns(spark):
+    """Patterns run only in texts and sentences with a word of theirs, whatever its case, and give what they gave on every sentence."""
+    said = [
+        "ORIGINALLY PUBLISHED BY Wire News, today.", "Courtesy OF the Post.", "It was first seen. First Reported in Herald; more.", "A photo was released by Agency One.",
+        "Nobody said that the photo was released by Agency One.", "A video issued by Coast Agency. That credit is false. Filed by Jane Doe for the Globe.",
+        "Image was published\nby Tribune.", "Nothing at all. By and by!", "", "\u212aeep: syndicated from Herald.", "Not so. Photo published by Post.",
+    ]
+    texts = said + [" ".join(pair) for pair in zip(said, said[1:])] + [None]
+
+    def plain(value):
+        if value is None:
+            return None
+        every = [s for s in re.split(r"(?<=[.!?])\s+|\n+", value) if s.strip(" ")]
+        ok = [s for s, after in zip(every, [*every[1:], ""]) if not re.search(text._NEGATION, s) and not re.search(text._DISCLAIMER, after)]
+        found = lambda p: [m for s in ok for m in re.findall(p, s)]
+        return found(text._MEDIA), found(text._HOSTING), found(text._BYLINE), [s.strip() for s in ok if any(re.search(p, s) for p in text._ATTRIBUTION)]
+
+    got = column(spark, texts, lambda v: F.struct(text.credits(v), text.origin_key(v).alias("origin")))
+    assert [r[0] and (r[0]["media"], r[0]["hosting"], r[0]["bylines"], r[0]["said"]) for r in got[:-1]] == [plain(t) for t in texts[:-1]]
+    firsts = [next((m[1] for p in text._ATTRIBUTION if (m := re.search(p, t))), None) for t in texts[:-1]]
+    assert [(r["origin"] is None) for r in got[:-1]] == [f is None for f in firsts] and got[-1]["origin"] is None
+    plan = spark.createDataFrame([("x",)], "v string").select(text.origin_key(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains" in plan
