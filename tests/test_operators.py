@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -237,3 +238,26 @@ def test_similar_sets_join_few_pairs(spark):
     assert {(r["a"], r["b"]) for r in found.collect()} == want and len(want) >= 25
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "bit_count" in plan
+
+
+def test_similar_sets_count_tokens_without_a_sort(spark, monkeypatch):
+    """Tokens are counted by scope without a window's sort, in several partitions, and of many sets only paired ones move for the exact test."""
+    rng = random.Random(12)
+    sets = [(("s", "t")[i % 2], i, rng.sample(range(40), 8)) for i in range(300)]
+    sets += [(s, i + 1000, [*t[1:], 99]) for s, i, t in sets[:40]]
+    rows = spark.createDataFrame(sets, "scope string, id long, tokens array<int>")
+    monkeypatch.setattr(similarity, "TOKENS", 100)
+    classes = similarity.set_classes(rows)
+    every = classes.where("id = rep").select("scope", "id", "n", F.explode("hashes").alias("token"))
+    got = {(r["scope"], r["id"], r["token"]): r["df"] for r in similarity._several(every, 2700).collect()}
+    held = [(r["scope"], r["id"], r["token"]) for r in every.collect()]
+    df = Counter((scope, token) for scope, _, token in held)
+    assert got == {x: df[x[0], x[2]] for x in held if df[x[0], x[2]] > 1}
+    found = similarity.similar_sets(classes, 60)
+    reps = {}
+    for scope, i, tokens in sets:
+        reps.setdefault((scope, frozenset(tokens)), i)
+    want = {(i, j) for (s, x), i in reps.items() for (t, y), j in reps.items() if s == t and i < j and 100 * len(x & y) >= 60 * len(x | y)}
+    assert {(r["a"], r["b"]) for r in found.collect()} == want and len(want) >= 40
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "LeftSemi" in plan
