@@ -113,3 +113,23 @@ def test_whole_texts_equal_a_plain_walk(spark, small):
     got = {r["claim_id"]: (r["value"], r["precision"], r["refusal"]) for r in origins.claim_dates(spark, small).collect()}
     assert got == {i: walk(r["text"], r["asked"]) for i, r in texts.items()}
     assert len({v[2] for v in got.values()}) >= 7 and len({v[1] for v in got.values()}) == 4
+
+
+def test_far_from_digits_nothing_is_read(spark):
+    """What is far from every digit isn't looked at, but for copyright marks, words for days and wide white space, which count over any distance."""
+    far = "plain words of no date and the like, " * 30
+    cases = {
+        f"{far}It was taken on March 5, 2021. {far}": ("2021-03-05", None),
+        f"{far}taken in March{' ' * 200}2021. {far}": ("2021-03", None),
+        f"Copyright {far}in 2021.": (None, None),
+        f"{far}yesterday, {far}": ("2021-03-05", None),
+        f"{far}in 2020. {far} It was seen in 2021. {far}": (None, "several_dates"),
+        f"{far}It was in 2021{' ' * 100}": ("2021", None),
+        f"{far}throughout the years 2019 and 2021 {far}": (None, "year_range"),
+        far: (None, None),
+    }
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string")
+    day = F.lit("2021-03-06").cast("date")
+    got = rows.select("i", dates.claim_date(F.col("t"), day).alias("d"), F.length(dates._readable(F.col("t"))["text"]).alias("n")).orderBy("i").collect()
+    assert [(r["d"]["value"], r["d"]["refusal"]) for r in got] == list(cases.values())
+    assert got[0]["n"] < 600 and got[1]["n"] > 2 * len(far) and got[3]["n"] > 2 * len(far) and got[7]["n"] < 300

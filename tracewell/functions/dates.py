@@ -141,6 +141,31 @@ def _read(rest: Column, values: Column) -> Column:
     return state
 
 
+#: Characters kept on either side of a digit: no pattern reaches further, unless a run of white space has SPACES or more.
+NEAR, SPACES = 120, 24
+
+
+def _near_digits(text: Column) -> Column:
+    """The text without what is far from every digit; a mark that no pattern matches stands for each part."""
+    return F.regexp_replace(text, rf"(?<![^0-9])([^0-9]{{{NEAR}}})[^0-9]*([^0-9]{{{NEAR}}})", "$1\u0002$2")
+
+
+def _readable(text: Column) -> Column:
+    """struct(text, owned): what the patterns for dates need of a text, and of one without its copyright lines.
+
+    Every pattern but those of "today" and "yesterday" has a digit.
+    """
+
+    def of(low: Column) -> Column:
+        whole = low.contains("today") | low.contains("yesterday") | text.rlike(rf"\s{{{SPACES}}}")
+        near = lambda t: F.when(whole, t).otherwise(_near_digits(t))
+        marked = low.contains("copyright") | low.contains("©") | low.contains("(c)")
+        owned = lambda t: F.when(marked, near(F.regexp_replace(text, _COPYRIGHT, "\u0001"))).otherwise(t)
+        return let(near(text), lambda t: F.struct(t.alias("text"), owned(t).alias("owned")))
+
+    return let(F.lower(text), of)
+
+
 def claim_date(text: Column, reference: Column | None = None) -> Column:
     """struct(value, precision, refusal) of the one date that a text states; null where the text is.
 
@@ -154,13 +179,17 @@ def claim_date(text: Column, reference: Column | None = None) -> Column:
     reading value and refusal are both null.
     """
     reference = F.lit(None).cast("date") if reference is None else reference
+    return F.when(text.isNotNull(), let(_readable(text), lambda t: _claim_date(t["text"], t["owned"], reference)))
+
+
+def _claim_date(text: Column, owned: Column, reference: Column) -> Column:
     number = r"^(\d{1,2})\s*(\D)\s*(\d{1,2})(.*)$"
     part = lambda m, g: F.regexp_extract(m["m"], number, g)
     small = lambda m, g: part(m, g).cast("int") <= 12
     swapped = lambda m: (m["g"] == "") & (part(m, 2).isin("/", ".") | (part(m, 4) != "")) & small(m, 1) & small(m, 3)
     ambiguous = F.exists(_matches(text, _NUMBERS, 1), swapped)
     year_range = F.exists(_matches(text, _YEAR_RANGE, 2), lambda m: (m["g"] != "") | ~m["m"].contains(","))
-    phrases = _matches(F.regexp_replace(text, _COPYRIGHT, "\u0001"), _IN_YEAR, 3)
+    phrases = _matches(owned, _IN_YEAR, 3)
     years = F.transform(F.filter(phrases, lambda p: (p["g"] != "") | p["m"].rlike(r"(?i)\syear\s")), lambda p: F.right(p["m"], F.lit(4)))
 
     def relative(rest: Column) -> Column:
@@ -192,7 +221,7 @@ def claim_date(text: Column, reference: Column | None = None) -> Column:
         values = F.array_distinct(F.array_compact(F.concat(s["values"], relative(s["rest"]))))
         return let(values, lambda v: settled(v, s["rest"].rlike(_NO_YEAR)))
 
-    return F.when(text.isNotNull(), let(_read(F.regexp_replace(text, _IN_YEAR, " "), years), judged))
+    return let(_read(F.regexp_replace(text, _IN_YEAR, " "), years), judged)
 
 
 def disagree(a_value: Column, a_precision: Column, b_value: Column, b_precision: Column) -> Column:
