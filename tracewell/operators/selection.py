@@ -34,6 +34,11 @@ def for_classification(candidates: DataFrame, most: int = 24) -> DataFrame:
     A row is new if it is the first of its domain, or of its resolved group, in
     preference order: no row before it has either.
     """
+    return placed(candidates).where(F.col("place") <= most)
+
+
+def placed(candidates: DataFrame) -> DataFrame:
+    """Every row with its place in the order of for_classification()."""
     exact = (F.col("relationship") != "EXACT_MATCH").cast("int")
     dated = (~((F.col("date_status") == "usable") & F.col("published_at").isNotNull())).cast("int")
     rows = candidates.withColumn("t1", exact).withColumn("t2", dated)
@@ -43,7 +48,7 @@ def for_classification(candidates: DataFrame, most: int = 24) -> DataFrame:
     in_group = F.row_number().over(Window.partitionBy("inv", open_, "grp").orderBy(*pref))
     rows = rows.withColumn("old", ~((in_domain == 1) | ((in_group == 1) & ~open_)))
     place = F.row_number().over(Window.partitionBy("inv").orderBy("t1", "t2", "old", F.col("position").asc_nulls_last(), "cand_id"))
-    return rows.withColumn("place", place).where(F.col("place") <= most).drop("t1", "t2", "old")
+    return rows.withColumn("place", place).drop("t1", "t2", "old")
 
 
 def deep_reads(candidates: DataFrame, most: int = 5) -> DataFrame:
