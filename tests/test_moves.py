@@ -9,6 +9,7 @@ from tracewell.plans import catalog
 #: Shuffles of each query where the orders go to the items by broadcast; two more where they don't.
 MOVES = {
     "alternate_fact_checks": 1,
+    "deep_read_plan": 1,
 }
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,40 +62,48 @@ def deep_reads(candidates: DataFrame, most: int = 5) -> DataFrame:
     judged if it has a relevance. Needs url and cue (whether its texts hint at an
     earlier use of the media) as well.
 
-    Winners are partial aggregates; of the later roles only the first rows of an
-    investigation can be taken, so a bounded number of them is gathered.
+    One order of strength within each investigation numbers the rows of every
+    later role, of which only the first can be taken; winners and those rows are
+    aggregates of each domain and then of the investigation, so that nothing is
+    joined and a bounded number of rows is gathered.
     """
     c = F.col
     judged, safe = c("relevance").isNotNull(), urls.safe_reference(c("url"))
     rows = flags(candidates).withColumn("judged", judged).withColumn("lead", c("relevant") & safe & F.coalesce(c("cue"), F.lit(False)))
     strongest = F.struct((-F.coalesce(c("relevance"), F.lit(0))).alias("weak"), F.coalesce(c("position"), F.lit(10**9)).alias("rank"), c("cand_id").alias("id"))
-    row = F.struct("cand_id", "domain", "lead")
-    rows = rows.withColumn("by", strongest).withColumn("row", row).withColumn("dated", c("core") & (c("date_status") == "usable") & c("published_at").isNotNull())
-    checked = F.struct((-c("fact_check")).alias("check"), c("by"))
-    days = F.struct(dates.day_start(c("published_at"), c("precision")).alias("a"), dates.day_end(c("published_at"), c("precision")).alias("b"), "cand_id")
+    rows = rows.withColumn("by", strongest).withColumn("r", F.struct("by", F.struct("cand_id", "domain", "lead").alias("row")))
+    dated = c("core") & (c("date_status") == "usable") & c("published_at").isNotNull()
+    checked = F.struct((-c("fact_check")).alias("check"), c("by"), c("r.row").alias("row"))
+    days = F.struct(dates.day_start(c("published_at"), c("precision")).alias("a"), dates.day_end(c("published_at"), c("precision")).alias("b"), "cand_id", c("r.row").alias("row"))
     news = F.coalesce((c("kind") == "google_news") | at_least("reporting", STRONG), F.lit(False))
-    winners = rows.groupBy("inv").agg(
-        F.min_by("row", F.when(c("dated"), days)).alias("first_dated"),
-        F.min_by("row", F.when(c("core") & c("judged"), c("by"))).alias("first_core"),
-        F.min_by("row", F.when(c("support"), c("by"))).alias("support"),
-        F.min_by("row", F.when(c("fact_check") > 0, checked)).alias("fact_check"),
-        F.min_by("row", F.when(news, c("by"))).alias("current_reporting"),
-    ).withColumn("core_anchor", F.coalesce("first_dated", "first_core"))
-    anchors = winners.select("inv", c("core_anchor.domain").alias("anchor_domain"))
-    against = rows.where(c("conflict") & (c("origin_status") == UNRESOLVED)).join(anchors, "inv")
-    against = against.where(~c("domain").eqNullSafe(c("anchor_domain"))).groupBy("inv").agg(F.min_by("row", "by").alias("conflict"))
-
+    later = {"core": F.coalesce(c("core") & c("judged"), F.lit(False)), "leads": F.coalesce(c("lead"), F.lit(False)), "judged": c("judged")}
+    so_far = Window.partitionBy("inv").orderBy("by").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # Of each later role at most twice as many rows as are taken can matter.
-    core = rows.where(c("core") & c("judged"))
-    of_domains = core.groupBy("inv", "domain").agg(F.min_by("row", "by").alias("row"), F.min("by").alias("by")).drop("domain")
-    pools = [of_domains.withColumn("pool", F.lit("domains"))]
-    for name, some in (("core", core), ("leads", rows.where("lead")), ("judged", rows.where("judged"))):
-        pools.append(some.select("inv", "row", "by", F.lit(name).alias("pool")))
-    pool = functools.reduce(DataFrame.unionByName, pools)
-    nth = F.row_number().over(Window.partitionBy("inv", "pool").orderBy("by"))
-    few = pool.withColumn("nth", nth).where(c("nth") <= 2 * most)
-    in_order = lambda name: F.transform(F.array_sort(F.collect_list(F.when(c("pool") == name, F.struct("by", "row")))), lambda x: x["row"])
-    few = few.groupBy("inv").agg(*[in_order(n).alias(n) for n in ("domains", "core", "leads", "judged")])
+    rows = rows.withColumns({f"of_{n}": F.when(is_in & (F.count_if(is_in).over(so_far) <= 2 * most), c("r")) for n, is_in in later.items()})
+    winners = {
+        "first_dated": F.when(dated, days),
+        "first_core": F.when(later["core"], c("r")),
+        "support": F.when(c("support"), c("r")),
+        "fact_check": F.when(c("fact_check") > 0, checked),
+        "current_reporting": F.when(news, c("r")),
+    }
+    of_domain = rows.groupBy("inv", "domain").agg(
+        *[F.min(w).alias(n) for n, w in winners.items()],
+        F.min(F.when(c("conflict") & (c("origin_status") == UNRESOLVED), c("r"))).alias("against"),
+        *[F.collect_list(f"of_{n}").alias(n) for n in later],
+    )
+    # The strongest conflict of another domain than the anchor's is among those of two domains.
+    nth = lambda name: F.row_number().over(Window.partitionBy("inv").orderBy(F.asc_nulls_last(c(name)["by"])))
+    of_domain = of_domain.withColumn("against", F.when(nth("against") <= 2, c("against")))
+    of_domain = of_domain.withColumn("domains", F.when(nth("first_core") <= 2 * most, c("first_core")))
+    in_order = lambda rows_: F.transform(F.array_sort(rows_), lambda x: x["row"])
+    plan = of_domain.groupBy("inv").agg(
+        *[F.min(n)["row"].alias(n) for n in winners],
+        in_order(F.collect_list("against")).alias("against"),
+        in_order(F.collect_list("domains")).alias("domains"),
+        *[in_order(F.flatten(F.collect_list(n))).alias(n) for n in later],
+    ).withColumn("core_anchor", F.coalesce("first_dated", "first_core"))
+    plan = plan.withColumn("conflict", F.get(F.filter("against", lambda r: ~r["domain"].eqNullSafe(c("core_anchor.domain"))), F.lit(0)))
 
     taken_as = lambda r, role: F.struct(F.lit(role).alias("role"), r["cand_id"].alias("cand_id"), r["domain"].alias("domain"), r["lead"].alias("lead"))
     kind = "array<struct<role:string,cand_id:string,domain:string,lead:boolean>>"
@@ -113,7 +119,7 @@ def deep_reads(candidates: DataFrame, most: int = 5) -> DataFrame:
     def fill(taken, rows_, role, also=lambda taken, r: F.lit(True)):
         return F.aggregate(rows_, taken, lambda acc, r: add(acc, r, role, also))
 
-    plan = winners.join(against, "inv", "left").join(few, "inv", "left").withColumn("taken", F.array().cast(kind))
+    plan = plan.withColumn("taken", F.array().cast(kind))
     for role in ("core_anchor", "conflict", "support", "fact_check", "current_reporting"):
         plan = plan.withColumn("taken", add(c("taken"), c(role), role))
     plan = plan.withColumn("undated", c("first_dated").isNull())
