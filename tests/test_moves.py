@@ -10,6 +10,8 @@ from tracewell.plans import catalog
 MOVES = {
     "alternate_fact_checks": 1,
     "deep_read_plan": 1,
+    "claim_status_with_divergence": 1,
+    "divergence_edges": 1,
 }
 
 

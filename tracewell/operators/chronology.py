@@ -16,16 +16,33 @@ from .policy import STRONG, UNRESOLVED, flags
 MOST_SELECTED = 8
 
 
-def dated_core(candidates: DataFrame) -> DataFrame:
-    """The dated core, with day_start, day_end and pos, its place in chronological order from 1."""
+#: Windows of examined() keep the dated core apart from an investigation's other rows.
+APART = ("inv", "eligible")
+
+
+def _in_core() -> Column:
+    """Whether a row is of the dated core; needs core."""
+    dated = (F.col("date_status") == "usable") & F.col("published_at").isNotNull() & (F.col("precision") != "unknown")
+    return F.coalesce(dated & F.col("core"), F.lit(False))
+
+
+def _placed(rows: DataFrame, part: tuple[str, ...] = ("inv",)) -> DataFrame:
     value, precision = F.col("published_at"), F.col("precision")
-    rows = flags(candidates).where((F.col("date_status") == "usable") & value.isNotNull() & (precision != "unknown") & F.col("core"))
     rows = rows.withColumn("day_start", dates.day_start(value, precision)).withColumn("day_end", dates.day_end(value, precision))
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("inv").orderBy("day_start", "day_end", "cand_id")))
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy(*part).orderBy("day_start", "day_end", "cand_id")))
+
+
+def dated_core(candidates: DataFrame) -> DataFrame:
+    """The dated core, with day_start, day_end and pos, its place in chronological order from 1."""
+    return _placed(flags(candidates).where(_in_core()))
 
 
 def roles(candidates: DataFrame) -> DataFrame:
     """(inv, cand_id, bucket): dated core, dated lead, dated contextual or undated."""
+    return _with_bucket(candidates).select("inv", "cand_id", "bucket")
+
+
+def _with_bucket(candidates: DataFrame) -> DataFrame:
     dated = (F.col("date_status") == "usable") & (F.col("precision") != "unknown") & F.col("published_at").isNotNull()
     bucket = (
         F.when(~F.coalesce(dated, F.lit(False)), "undated")
@@ -33,7 +50,7 @@ def roles(candidates: DataFrame) -> DataFrame:
         .when(F.col("relationship") == "VISUAL_LEAD", "dated_lead")
         .otherwise("dated_contextual")
     )
-    return flags(candidates).select("inv", "cand_id", bucket.alias("bucket"))
+    return flags(candidates).withColumn("bucket", bucket)
 
 
 def context_label(same: Column, different: Column, historical: Column) -> Column:
@@ -86,12 +103,23 @@ def connect(selected: DataFrame, judgments: DataFrame) -> DataFrame:
     The first row of a sequence has connector "start". Rows whose interval is not
     wholly after the earlier row's are unexamined, whatever the judgment.
     """
-    order = Window.partitionBy("inv").orderBy("pos")
-    rows = selected.withColumn("from_id", F.lag("cand_id").over(order)).withColumn("from_end", F.lag("day_end").over(order))
     judged = judgments.select(
         "inv", "from_id", F.col("to_id").alias("cand_id"), F.col("same").alias("pair_same"), F.col("different").alias("pair_different")
     )
-    rows = rows.join(judged, ["inv", "from_id", "cand_id"], "left")
+    return _connectors(_after(selected).join(judged, ["inv", "from_id", "cand_id"], "left"))
+
+
+def connect_own(selected: DataFrame, same: Column, different: Column, part: tuple[str, ...] = ("inv",)) -> DataFrame:
+    """connect() where each row has the judgment of its own pair with the row before it, so that no table of judgments is joined."""
+    return _connectors(_after(selected, part).withColumn("pair_same", same).withColumn("pair_different", different))
+
+
+def _after(selected: DataFrame, part: tuple[str, ...] = ("inv",)) -> DataFrame:
+    order = Window.partitionBy(*part).orderBy("pos")
+    return selected.withColumn("from_id", F.lag("cand_id").over(order)).withColumn("from_end", F.lag("day_end").over(order))
+
+
+def _connectors(rows: DataFrame) -> DataFrame:
     kind = (
         F.when(F.col("from_id").isNull(), "start")
         .when(~(F.col("from_end") < F.col("day_start")), "unexamined")
@@ -103,14 +131,36 @@ def connect(selected: DataFrame, judgments: DataFrame) -> DataFrame:
     )
 
 
-def segments(connected: DataFrame) -> DataFrame:
+def segments(connected: DataFrame, part: tuple[str, ...] = ("inv",)) -> DataFrame:
     """Adds segment: the number of changes so far, or null once continuity broke until the next change."""
-    order = Window.partitionBy("inv").orderBy("pos")
+    order = Window.partitionBy(*part).orderBy("pos")
     rows = connected.withColumn("run", F.sum("change").over(order))
-    broken = F.sum("break").over(Window.partitionBy("inv", "run").orderBy("pos"))
+    broken = F.sum("break").over(Window.partitionBy(*part, "run").orderBy("pos"))
     return rows.withColumn("segment", F.when(broken == 0, F.col("run")))
 
 
+def examined(candidates: DataFrame, same: Column, different: Column) -> DataFrame:
+    """Every row with eligible and, for those of the dated core, connector, break, change, run and segment; else these are null.
+
+    The whole dated core is selected, and each row has the judgment of its own
+    pair, as in connect_own(). One pass over the rows: nothing is joined.
+    """
+    rows = _placed(flags(candidates).withColumn("eligible", _in_core()), APART)
+    rows = segments(connect_own(rows, same, different, APART), APART)
+    return rows.withColumns({n: F.when(F.col("eligible"), F.col(n)) for n in ("connector", "break", "change", "run", "segment")})
+
+
+def first_divergence() -> Column:
+    """Aggregate of rows of examined() with breaks_so_far: struct(from_id, to_id, observed_at, earlier_unresolved) of the first change."""
+    c = F.col
+    row = F.struct("from_id", c("cand_id").alias("to_id"), c("published_at").alias("observed_at"), (c("breaks_so_far") > 0).alias("earlier_unresolved"))
+    return F.min_by(row, F.when(c("change") == 1, c("pos")))
+
+
+def breaks_so_far(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("breaks_so_far", F.sum("break").over(Window.partitionBy(*APART).orderBy("pos")))
+
+
 def segment_counts(segmented: DataFrame, dated: DataFrame) -> DataFrame:
     """(inv, eligible, selected, compared, n_segments): n_segments is null unless all eligible rows are selected and every pair is decided."""
     eligible = dated.groupBy("inv").agg(F.count(F.lit(1)).alias("eligible"))
@@ -147,22 +197,34 @@ def divergences(segmented: DataFrame) -> DataFrame:
 def timeline(candidates: DataFrame, segmented: DataFrame) -> DataFrame:
     """(inv, cand_id, bucket, connector, segment): every row; those outside the examined run are unexamined."""
     run = segmented.select("inv", "cand_id", "connector", "segment")
-    rows = roles(candidates).join(run, ["inv", "cand_id"], "left")
-    return rows.withColumn("connector", F.coalesce("connector", F.lit("unexamined")))
+    return _timeline(_with_bucket(candidates).select("inv", "cand_id", "bucket").join(run, ["inv", "cand_id"], "left"))
+
+
+def timeline_of(rows: DataFrame) -> DataFrame:
+    """timeline() of rows of examined(), without a join."""
+    return _timeline(_with_bucket(rows))
+
+
+def _timeline(rows: DataFrame) -> DataFrame:
+    return rows.select("inv", "cand_id", "bucket", F.coalesce("connector", F.lit("unexamined")).alias("connector"), "segment")
 
 
 def graph_nodes(segmented: DataFrame) -> DataFrame:
     """(inv, node_kind, node, n_members): domain and segment nodes of the provenance graph."""
-    domains = segmented.groupBy("inv", F.lit("domain").alias("node_kind"), F.col("domain").alias("node")).agg(F.count(F.lit(1)).alias("n_members"))
-    parts = segmented.where("segment IS NOT NULL").groupBy(
-        "inv", F.lit("segment").alias("node_kind"), F.col("segment").cast("string").alias("node")
-    )
-    return domains.unionByName(parts.agg(F.count(F.lit(1)).alias("n_members")))
+    node = lambda kind, name: F.struct(F.lit(kind).alias("node_kind"), F.col(name).cast("string").alias("node"))
+    nodes = F.array_compact(F.array(node("domain", "domain"), F.when(F.col("segment").isNotNull(), node("segment", "segment"))))
+    rows = segmented.select("inv", F.explode(nodes).alias("n")).select("inv", "n.*")
+    return rows.groupBy("inv", "node_kind", "node").agg(F.count(F.lit(1)).alias("n_members"))
 
 
 def claim_comparisons(candidates: DataFrame, segmented: DataFrame) -> DataFrame:
     """(inv, cand_id, segment, question, answer): a row for each claim question that a core row answers strongly."""
     rows = flags(candidates).where("core AND relevant").join(segmented.select("inv", "cand_id", "segment"), ["inv", "cand_id"], "left")
+    return claim_answers(rows)
+
+
+def claim_answers(rows: DataFrame) -> DataFrame:
+    """claim_comparisons() of rows with their segment, such as relevant core rows of examined()."""
     claim = F.when(F.col("contradicts") >= STRONG, "contradicts").when(F.col("supports") >= STRONG, "supports")
     place = F.when(F.col("loc_different") >= STRONG, "different_location")
     each = F.array(

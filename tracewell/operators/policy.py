@@ -34,13 +34,22 @@ def flags(candidates: DataFrame) -> DataFrame:
 
 
 def _gate(condition: Column) -> Column:
-    """Two rows of different domain and group exist exactly where there are two domains and two groups."""
+    """Two rows of different domain and group exist exactly where there are two domains and two groups: a least and another largest."""
     rows = condition & (F.col("origin_status") == SEPARATE)
-    return (F.count_distinct(F.when(rows, F.col("domain"))) >= 2) & (F.count_distinct(F.when(rows, F.col("grp"))) >= 2)
+    several = lambda name: F.coalesce(F.min(F.when(rows, F.col(name))) < F.max(F.when(rows, F.col(name))), F.lit(False))
+    return several("domain") & several("grp")
 
 
-def claim_status(candidates: DataFrame) -> DataFrame:
-    """(inv, status, n_conflicts, n_core, n_domains, n_groups, n_unresolved, n_support, corroborated, limited)."""
+def _distinct(value: Column) -> Column:
+    """How many values there are. Several count_distinct() would move a copy of every row for each; a set has an investigation's few names."""
+    return F.size(F.collect_set(value)).cast("long")
+
+
+def claim_status(candidates: DataFrame, *more: Column, names: tuple[str, ...] = ()) -> DataFrame:
+    """(inv, status, n_conflicts, n_core, n_domains, n_groups, n_unresolved, n_support, corroborated, limited).
+
+    ``more`` are aggregates of the same rows, kept under ``names``, so that what else is asked of them takes no other pass.
+    """
     relevant_core = F.col("core") & F.col("relevant")
     resolved = relevant_core & (F.col("origin_status") != UNRESOLVED)
     pool = (
@@ -49,13 +58,14 @@ def claim_status(candidates: DataFrame) -> DataFrame:
         .agg(
             F.count_if("conflict").alias("n_conflicts"),
             F.count_if(relevant_core).alias("n_core"),
-            F.count_distinct(F.when(relevant_core, F.col("domain"))).alias("n_domains"),
-            F.count_distinct(F.when(resolved, F.col("grp"))).alias("n_groups"),
+            _distinct(F.when(relevant_core, F.col("domain"))).alias("n_domains"),
+            _distinct(F.when(resolved, F.col("grp"))).alias("n_groups"),
             F.count_if(relevant_core & (F.col("origin_status") == UNRESOLVED)).alias("n_unresolved"),
             F.count_if("support").alias("n_support"),
             _gate(F.col("conflict")).alias("conflict_pair"),
             _gate(relevant_core).alias("core_pair"),
             F.count_if(F.col("conflict") & (F.col("origin_status") == UNRESOLVED)).alias("open_conflicts"),
+            *[m.alias(name) for m, name in zip(more, names, strict=True)],
         )
     )
     corroborated = (F.col("n_core") >= 3) & (F.col("n_domains") >= 2) & (F.col("n_groups") >= 2) & F.col("core_pair")
@@ -73,7 +83,7 @@ def claim_status(candidates: DataFrame) -> DataFrame:
     pair = F.when(F.col("n_conflicts") >= 2, F.col("conflict_pair")).otherwise(F.col("core_pair"))
     return pool.select(
         "inv", status.alias("status"), "n_conflicts", "n_core", "n_domains", "n_groups", "n_unresolved", "n_support",
-        pair.alias("corroborated"), limited.alias("limited"),
+        pair.alias("corroborated"), limited.alias("limited"), *names,
     )
 
 
@@ -199,10 +209,10 @@ def trace_headline(candidates: DataFrame) -> DataFrame:
 def claim_expansion(candidates: DataFrame) -> DataFrame:
     """(inv, expand, reason): whether a checked claim asks for one more search, and why."""
     weak = ~at_least("different", STRONG) & ~at_least("same", STRONG)
-    more = flags(candidates).groupBy("inv").agg(
-        F.bool_or(F.col("conflict") & (F.col("origin_status") == UNRESOLVED)).alias("open_conflict"),
-        F.bool_or(F.col("relationship").isNotNull()).alias("visual"),
-        F.coalesce(F.bool_and(F.when(F.col("conflict"), weak)), F.lit(True)).alias("weak"),
+    more = (
+        F.bool_or(F.col("conflict") & (F.col("origin_status") == UNRESOLVED)),
+        F.bool_or(F.col("relationship").isNotNull()),
+        F.coalesce(F.bool_and(F.when(F.col("conflict"), weak)), F.lit(True)),
     )
     c = F.col
     reason = (
@@ -212,7 +222,7 @@ def claim_expansion(candidates: DataFrame) -> DataFrame:
         .when(c("visual") & c("weak"), "weak_context_evidence")
         .otherwise("already_conclusive")
     )
-    pool = claim_status(candidates).join(more, "inv").select("inv", reason.alias("reason"))
+    pool = claim_status(candidates, *more, names=("open_conflict", "visual", "weak")).select("inv", reason.alias("reason"))
     return pool.select("inv", (c("reason") != "already_conclusive").alias("expand"), "reason")
 
 
