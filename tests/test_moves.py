@@ -14,6 +14,7 @@ MOVES = {
     "divergence_edges": 1,
     "expansion_decision": 1,
     "timeline_rows": 1,
+    "graph_nodes": 1,
 }
 
 
