@@ -18,6 +18,7 @@ MOVES = {
     "claim_comparisons": 1,
     "claim_status": 1,
     "policy_gates": 1,
+    "resolved_dates": 1,
 }
 
 

@@ -78,20 +78,15 @@ def resolve_dates(sources: DataFrame) -> DataFrame:
     """
     rank = _lookup(DATE_SOURCES, "source", 9)
     rows = sources.withColumn("rank", rank).withColumn("tier", (F.col("source") == "provider").cast("int"))
-    good = rows.where("value IS NOT NULL")
-    by = F.struct("rank", "ord")
-    best = good.groupBy("inv", "url").agg(
-        F.min_by(F.struct("value", "precision", "source", "tier"), by).alias("w")
-    )
-    each = good.join(best, ["inv", "url"])
-    differs = dates.disagree(F.col("value"), F.col("precision"), F.col("w.value"), F.col("w.precision"))
-    judged = each.groupBy("inv", "url").agg(
-        F.first("w").alias("w"),
+    by = F.struct("rank", "ord", "value", "precision", "source", "tier")
+    rows = rows.withColumn("w", F.min(F.when(F.col("value").isNotNull(), by)).over(Window.partitionBy("inv", "url")))
+    differs = F.col("value").isNotNull() & dates.disagree(F.col("value"), F.col("precision"), F.col("w.value"), F.col("w.precision"))
+    out = rows.groupBy("inv", "url").agg(
+        F.any_value("w").alias("w"),
         F.bool_or(differs & (F.col("tier") == F.col("w.tier"))).alias("disputed"),
         F.count_if(differs).alias("differ"),
+        F.count_if(F.col("value").isNull()).alias("unparsed"),
     )
-    every = rows.groupBy("inv", "url").agg(F.count_if(F.col("value").isNull()).alias("unparsed"))
-    out = every.join(judged, ["inv", "url"], "left")
     usable = F.col("w").isNotNull() & ~F.col("disputed")
     return out.select(
         "inv",

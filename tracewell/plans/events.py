@@ -142,7 +142,7 @@ def resolved_dates(spark, sf_dir):
     sources = F.create_map(
         *[F.lit(x) for x in ("lens_exact", "json_ld", "lens_visual", "meta", "about_image", "time", "google_search", "provider", "google_news", "provider", "source_link", "provider")]
     )
-    rows = merge.pool_order(candidates(spark, sf_dir)).select(
+    rows = merge.pool_order(candidates(spark, sf_dir, gathered=True)).select(
         "inv", "url", F.element_at(sources, F.col("kind")).alias("source"), "precision", "ord",
         F.when(F.col("date_status") == "usable", F.col("published_at")).alias("value"),
     )
