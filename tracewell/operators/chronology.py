@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from ..functions.text import let
 from .policy import STRONG, UNRESOLVED, flags
 
 MOST_SELECTED = 8
@@ -76,25 +77,58 @@ def pair_class(same: Column, different: Column) -> Column:
 def select_occurrences(dated: DataFrame, most: int = MOST_SELECTED) -> DataFrame:
     """At most ``most`` rows of each dated core: earliest, latest, then the earliest of highest novelty, again and again.
 
-    Rows of one domain and one resolved group are always equally novel, so only
-    the first ``most`` of each such cell can be picked; the rounds run over those,
-    which keeps an investigation of any size small, and all investigations at once.
+    The rounds run within a list of those rows of an investigation that can be
+    picked at all, some 130 at most, whatever its size (_pickable); a domain or
+    group that is missing is like no other.
     """
-    inv, cell = Window.partitionBy("inv"), Window.partitionBy("inv", "domain", "key").orderBy("pos")
-    rows = dated.withColumn("key", F.when(F.col("origin_status") != UNRESOLVED, F.col("grp")).otherwise(""))
-    rows = rows.withColumn("n", F.max("pos").over(inv)).withColumn("ahead", F.row_number().over(cell))
-    rows = rows.where((F.col("ahead") <= most) | (F.col("pos") == F.col("n")))
-    rows = rows.withColumn("picked", (F.col("n") <= most) | (F.col("pos") == 1) | (F.col("pos") == F.col("n")))
-    for _ in range(most - 2):
-        seen = F.collect_set(F.when(F.col("picked"), F.col("domain"))).over(inv)
-        groups = F.collect_set(F.when(F.col("picked"), F.col("key"))).over(inv)
-        novelty = F.when(F.array_contains(seen, F.col("domain")), 0).otherwise(1) + F.when(
-            (F.col("key") == "") | F.array_contains(groups, F.col("key")), 0
-        ).otherwise(1)
-        rows = rows.withColumn("novelty", novelty)
-        best = F.row_number().over(Window.partitionBy("inv").orderBy("picked", F.desc("novelty"), "pos"))
-        rows = rows.withColumn("picked", F.col("picked") | ((F.col("n") > most) & (best == 1)))
-    return rows.where("picked").drop("key", "ahead", "novelty", "picked", "n")
+    c, inv = F.col, Window.partitionBy("inv")
+    own = F.concat(F.lit("\0"), c("pos").cast("string"))
+    key = F.when(c("origin_status") != UNRESOLVED, F.coalesce("grp", own)).otherwise("")
+    rows = dated.withColumn("last", c("pos") == F.max("pos").over(inv))
+    row = F.struct("pos", F.coalesce("domain", own).alias("domain"), key.alias("key"), F.struct(*[c(n) for n in dated.columns if n not in ("inv", "pos")]).alias("row"))
+    rows = _pickable(rows.select("inv", row.alias("r"), "last").select("inv", "r.*", "last"), most)
+    pool = rows.groupBy("inv").agg(F.array_sort(F.collect_list(F.struct("pos", "domain", "key", "row"))).alias("rows"), F.max("pos").alias("n"))
+    few = F.transform("rows", lambda r: F.struct(r["pos"].alias("pos"), r["domain"].alias("domain"), r["key"].alias("key")))
+
+    def pick(picked: Column, _: Column) -> Column:
+        def of(picked: Column) -> Column:
+            held = lambda name, value: F.exists(picked, lambda p: p[name] == value)
+            less = lambda r: -(~held("domain", r["domain"])).cast("int") - ((r["key"] != "") & ~held("key", r["key"])).cast("int")
+            left = F.filter("few", lambda r: ~held("pos", r["pos"]))
+            best = F.array_min(F.transform(left, lambda r: F.struct(less(r).alias("less"), r.alias("r"))))
+            return F.concat(picked, F.array(best["r"]))
+
+        return let(picked, of)
+
+    ends = F.filter("few", lambda r: (r["pos"] == 1) | (r["pos"] == c("n")))
+    pool = pool.withColumn("few", few)
+    rounds = F.aggregate(F.sequence(F.lit(1), F.lit(most - 2)), ends, pick) if most > 2 else ends
+    pool = pool.withColumn("picked", F.when(c("n") > most, F.transform(rounds, lambda p: p["pos"])))
+    taken = F.filter("rows", lambda r: c("picked").isNull() | F.array_contains("picked", r["pos"]))
+    return pool.select("inv", F.explode(taken).alias("r")).select("inv", "r.pos", "r.row.*").select(*dated.columns)
+
+
+def _pickable(rows: DataFrame, most: int) -> DataFrame:
+    """The rows (inv, pos, domain, key, last) that select_occurrences() can pick; key is empty where a row has no resolved group.
+
+    Before any pick under ``most`` rows are picked, so that under ``most`` domains
+    and groups are known. What is not new at all is the earliest row that is left:
+    one of the first ``most``. Other rows are the first of their domain and group,
+    as all of those are equally novel. If none is new in both, the pick is the
+    first row of a new domain or group: of the first ``most`` to appear. Of those
+    new in both, a domain's earlier rows have known groups, and a group's have
+    known domains: so it is among the first ``most`` of each, and, of all such
+    rows, all before it are of known domains and groups, 2 * (most - 1) * most at most.
+    """
+    c = F.col
+    over = lambda *part: F.row_number().over(Window.partitionBy("inv", *part).orderBy(~c("first"), "pos"))
+    rows = rows.withColumn("first", F.row_number().over(Window.partitionBy("inv", "domain", "key").orderBy("pos")) == 1)
+    rows = rows.withColumn("keep", (c("pos") <= most) | c("last")).where("first OR keep")
+    rows = rows.withColumn("in_domain", F.when(c("first"), over("domain"))).withColumn("in_key", F.when(c("first"), over("key")))
+    kinds = ((c("in_domain") == 1, most), (c("in_key") == 1, most), ((c("in_domain") <= most) & (c("in_key") <= most), 2 * (most - 1) * most + 1))
+    so_far = Window.partitionBy("inv").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    able = [F.coalesce(of, F.lit(False)) & (F.count_if(of).over(so_far) <= n) for of, n in kinds]
+    return rows.withColumn("able", able[0] | able[1] | able[2]).where("keep OR able")
 
 
 def connect(selected: DataFrame, judgments: DataFrame) -> DataFrame:
