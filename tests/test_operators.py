@@ -261,3 +261,46 @@ def test_similar_sets_count_tokens_without_a_sort(spark, monkeypatch):
     assert {(r["a"], r["b"]) for r in found.collect()} == want and len(want) >= 40
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "LeftSemi" in plan
+
+
+def near_copies(seed: int) -> list[tuple[str, int, list[str]]]:
+    """Sets of two scopes: large groups of near copies, sets of their own, and some that share a run of common tokens."""
+    rng = random.Random(seed)
+    rows, of = [], itertools.count()
+    for scope, size in (("s", 70), ("t", 40), ("s", 3)):
+        base = [f"{scope}{size}b{k}" for k in range(rng.randint(50, 70))]
+        for _ in range(size):
+            own = rng.sample(range(len(base)), rng.randint(0, len(base) // 5))
+            rows.append((scope, next(of), [f"o{next(of)}" if k in own else w for k, w in enumerate(base)][: rng.randint(len(base) - 10, len(base))]))
+    common = [f"c{k}" for k in range(12)]
+    for k in range(150):
+        rows.append(("st"[k % 2], next(of), [f"u{next(of)}" for _ in range(rng.randint(1, 60))] + common * (k % 3 == 0)))
+    rng.shuffle(rows)
+    return rows
+
+
+def similar_pairs(rows, percent: int) -> dict[tuple[int, int], tuple[int, int]]:
+    reps = {}
+    for scope, i, tokens in sorted(rows, key=lambda r: r[1]):
+        reps.setdefault((scope, frozenset(tokens)), i)
+    sets = [(i, s, x) for (s, x), i in reps.items()]
+    pairs = {(i, j): (len(x & y), len(x | y)) for (i, s, x), (j, t, y) in itertools.permutations(sets, 2) if s == t and i < j}
+    return {k: (c, u) for k, (c, u) in pairs.items() if 100 * c >= percent * u}
+
+
+def test_links_connect_what_all_pairs_connect(spark, monkeypatch):
+    """Of a large group of near copies there are few links, between blocks as well, and sets that can have no partner leave first."""
+    monkeypatch.setattr(similarity, "TOKENS", 500)
+    monkeypatch.setattr(similarity, "PART", 1000)
+    rows = near_copies(1)
+    want = similar_pairs(rows, 60)
+    classes = similarity.set_classes(spark.createDataFrame(rows, "scope string, id long, tokens array<string>"))
+    reps = classes.where("id = rep").select("scope", "id", "hashes", "n")
+    total = sum(len(set(tokens)) for _, _, tokens in rows)
+    possible = {r["id"] for r in similarity._possible(reps, total, 60, 1)[0].select("id").collect()}
+    assert {i for pair in want for i in pair} <= possible and len(possible) < 0.7 * len(rows)
+    links = [(r["a"], r["b"], r["common"], r["union"]) for r in similarity.similar_links(classes, 60).collect()]
+    assert all(want[a, b] == (c, u) for a, b, c, u in links)
+    assert len(want) > 1500 and len(links) < 600
+    group = lambda pairs: {(r["id"], r["group_id"]) for r in similarity.groups(classes, spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert group([link[:2] for link in links]) == group(list(want)) and len(group(list(want))) > 100

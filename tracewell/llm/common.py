@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import discard, scratch, written
+from ..sources.shared import discard, scratch, shuffles_removed, written
 
 __all__ = ["ASCII_LOWER", "ASCII_UPPER", "crc_mod", "discard", "free_name", "scratch", "shuffles_removed", "small_batches", "table", "written"]
 
@@ -33,21 +33,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-@contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Queries run within remove their shuffles' files as they end, not when the driver next collects garbage.
-
-    For written stages, whose shuffles nothing reads again; the session's setting is put back afterwards.
-    """
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 #: Texts handed to Python at once where an operator runs its own job. Some are
 #: very long, and an executor holds a batch twice for each of its tasks.
 BATCH = 500
