@@ -304,3 +304,22 @@ def test_links_connect_what_all_pairs_connect(spark, monkeypatch):
     assert len(want) > 1500 and len(links) < 600
     group = lambda pairs: {(r["id"], r["group_id"]) for r in similarity.groups(classes, spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert group([link[:2] for link in links]) == group(list(want)) and len(group(list(want))) > 100
+
+
+def test_similar_sets_compare_components(spark, monkeypatch):
+    """Near copies are compared as a component, by blocks, and not joined under each common token; what is large and has little alike goes by token."""
+    rows = near_copies(2)
+    monkeypatch.setattr(similarity, "TOKENS", 500)
+    classes = similarity.set_classes(spark.createDataFrame(rows, "scope string, id long, tokens array<string>"))
+    joined = []
+    by_token = similarity._by_token
+    monkeypatch.setattr(similarity, "_by_token", lambda reps, total, *rest: joined.append(total) or by_token(reps, total, *rest))
+    for percent, least, part, sure, steps in ((60, 1, 1 << 19, 2048, 128), (60, 30, 700, 2048, 128), (40, 6, 1000, 2048, 128), (60, 1, 1000, 50, 0)):
+        monkeypatch.setattr(similarity, "PART", part)
+        monkeypatch.setattr(similarity, "SURE", sure)
+        monkeypatch.setattr(similarity, "STEPS", steps)
+        want = {(a, b, c, u) for (a, b), (c, u) in similar_pairs(rows, percent).items() if c >= least}
+        got = [(r["a"], r["b"], r["common"], r["union"]) for r in similarity.similar_sets(classes, percent, least).collect()]
+        assert sorted(got) == sorted(want) and len(want) > 1500
+        # Only the last has components that go by token.
+        assert (joined.pop() > 0) == (sure == 50)
