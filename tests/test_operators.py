@@ -297,7 +297,7 @@ def test_links_connect_what_all_pairs_connect(spark, monkeypatch):
     classes = similarity.set_classes(spark.createDataFrame(rows, "scope string, id long, tokens array<string>"))
     reps = classes.where("id = rep").select("scope", "id", "hashes", "n")
     total = sum(len(set(tokens)) for _, _, tokens in rows)
-    possible = {r["id"] for r in similarity._possible(reps, total, 60, 1)[0].select("id").collect()}
+    possible = {r["id"] for r in similarity._possible(reps, total, 0.55, 60, 1)[0].select("id").collect()}
     assert {i for pair in want for i in pair} <= possible and len(possible) < 0.7 * len(rows)
     links = [(r["a"], r["b"], r["common"], r["union"]) for r in similarity.similar_links(classes, 60).collect()]
     assert all(want[a, b] == (c, u) for a, b, c, u in links)
@@ -321,5 +321,5 @@ def test_similar_sets_compare_components(spark, monkeypatch):
         want = {(a, b, c, u) for (a, b), (c, u) in similar_pairs(rows, percent).items() if c >= least}
         got = [(r["a"], r["b"], r["common"], r["union"]) for r in similarity.similar_sets(classes, percent, least).collect()]
         assert sorted(got) == sorted(want) and len(want) > 1500
-        # Only the last has components that go by token.
-        assert (joined.pop() > 0) == (sure == 50)
+        # Only sets with little in common, and the last's components, go by token.
+        assert (joined.pop() > 0) == (percent == 40 or sure == 50)
